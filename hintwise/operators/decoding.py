@@ -27,11 +27,11 @@ def gather_logits(logits: DataFrame, heads: list[str] = HEADS) -> DataFrame:
 
 def spread_logits(wide: DataFrame, heads: list[str]) -> DataFrame:
     """Wide to long."""
-    long = F.explode(F.concat(*[
-        F.transform(F.col(h), lambda x, i, h=h: F.struct(
-            F.lit(h).alias("head"), i.alias("class_idx"), x.alias("logit")))
-        for h in heads
-    ]))
+    def of(head: str) -> Column:
+        return F.transform(head, lambda x, i: F.struct(
+            F.lit(head).alias("head"), i.alias("class_idx"), x.alias("logit")))
+
+    long = F.explode(F.concat(*[of(h) for h in heads]))
     return wide.select("query_id", long.alias("e")).select("query_id", "e.*")
 
 

@@ -162,8 +162,9 @@ def info_nce(
     )
     most = triplets.agg(F.greatest(F.max(F.size("negatives")), F.lit(1)).alias("m")).scalar()
     padding = F.array_repeat(F.lit(0.0), most - F.col("n"))
-    loss = log_sum_exp(F.concat(F.array("p"), "neg", padding)) - F.col("p")
-    return per_query.agg(F.avg(loss).alias("value")).select(
+    padded = per_query.select("p", F.concat(F.array("p"), "neg", padding).alias("logits"))
+    loss = log_sum_exp(F.col("logits")) - F.col("p")
+    return padded.agg(F.avg(loss).alias("value")).select(
         F.lit("ranker").alias("head"), F.lit("info_nce").alias("metric"), "value"
     )
 

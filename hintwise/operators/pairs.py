@@ -16,7 +16,7 @@ from hintwise.schemas import NUM_NEGATIVES, SEED
 
 MIN_QUESTION = 5
 # largest vocabulary (measured bytes) that is searched inside a row
-IN_ROW_BYTES = 256 * 1024
+IN_ROW_BYTES = 64 * 1024
 
 
 # --- question/column corpus ---------------------------------------------------------------
@@ -143,15 +143,13 @@ def table_negatives(
     if small_enough(positions, IN_ROW_BYTES if limit is None else limit):
         entries = F.array_sort(F.collect_list(F.struct("position", "table")))
         names = positions.agg(F.transform(entries, lambda e: e["table"]).alias("names")).scalar()
-        own_positions = F.transform(
-            F.array_intersect("tables", names), lambda t: F.array_position(names, t) - 1
-        )
-        drawn = queries.withColumn("_taken", F.array_sort(own_positions)).withColumn(
-            "_draws", _draws(F.col(key), total - F.size("_taken"), n, seed)
-        )
+        placed = queries.withColumn("_names", names).withColumn("_taken", F.array_sort(F.transform(
+            F.array_intersect("tables", "_names"), lambda t: F.array_position("_names", t) - 1
+        ))).withColumn("_free", total - F.size("_taken"))
+        drawn = placed.withColumn("_draws", _draws(F.col(key), F.col("_free"), n, seed))
         return drawn.withColumn("negatives", F.transform("_draws", lambda d: F.get(
-            names, _skip_positions(d, F.col("_taken")).cast("int")
-        ))).drop("_taken", "_draws")
+            "_names", _skip_positions(d, F.col("_taken")).cast("int")
+        ))).drop("_names", "_taken", "_free", "_draws")
     own = lookup_join(
         queries.select(key, F.explode(F.array_distinct("tables")).alias("table")),
         positions, "table", limit=limit,
@@ -159,7 +157,8 @@ def table_negatives(
     drawn = (
         queries.join(own, key, "left")
         .withColumn("_taken", F.coalesce("_taken", F.array().cast("array<bigint>")))
-        .withColumn("_draws", _draws(F.col(key), total - F.size("_taken"), n, seed))
+        .withColumn("_free", total - F.size("_taken"))
+        .withColumn("_draws", _draws(F.col(key), F.col("_free"), n, seed))
     )
     picks = drawn.select(key, "_taken", F.posexplode("_draws").alias("_at", "_draw")).select(
         key, "_at", _skip_positions(F.col("_draw"), F.col("_taken")).alias("position")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,8 +109,8 @@ def average_ranks(values: DataFrame, value: str, weight: str | None = None) -> D
     cuts = counts.agg(F.percentile_approx(
         value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 10 * RANK_BUCKETS
     ).alias("cuts"))
-    below = F.filter(cuts.scalar(), lambda c: c < F.col(value))
-    ranged = counts.select(value, "_n", F.size(below).alias("_b"))
+    below = F.filter("_cuts", lambda c: c < F.col(value))
+    ranged = counts.withColumn("_cuts", cuts.scalar()).select(value, "_n", F.size(below).alias("_b"))
     offsets = ranged.groupBy("_b").agg(F.sum("_n").alias("_rows")).select(
         "_b", (F.sum("_rows").over(W.orderBy("_b")) - F.col("_rows")).alias("_before")
     )
@@ -123,13 +123,3 @@ def average_ranks(values: DataFrame, value: str, weight: str | None = None) -> D
             (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"),
         )
     )
-
-
-def with_scalar(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
-    """Attach the only value of a one-row, one-column aggregate to every row."""
-    return df.withColumn(name, one_row.scalar())
-
-
-def rounded(column: Column, digits: int = 6) -> Column:
-    """Round, and turn -0.0 into 0.0."""
-    return F.round(column, digits) + F.lit(0.0)

@@ -82,7 +82,10 @@ def raw_qa_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat_ws(", ", (part % 5).cast("string"), (supp % 5).cast("string")))
     )
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            F.unix_date(F.col("l_shipdate").cast("date")),
+        ).alias("row_id"),
         F.when(part % 50 == 1, F.lit(" ab  "))
         .otherwise(F.concat(F.lit(" which part key has quantity "), F.col("l_quantity").cast("int"), F.lit(" ")))
         .alias("question"),

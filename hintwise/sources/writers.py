@@ -23,4 +23,7 @@ def write_metrics(metrics: DataFrame, path: str, run_id: str, mode: str = "appen
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV in the dialect that :func:`hintwise.sources.readers.read_csv` reads."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (
+        df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
