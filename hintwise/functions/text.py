@@ -1,7 +1,13 @@
-"""Column functions on free text."""
+"""Column functions on free text.
 
+Arrays made by these functions are unfolded with ``explode_outer`` throughout the package: for
+``explode`` the optimizer adds a filter on the array's size, and pushes it down with a second
+copy of whatever computes the array.
+"""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +30,12 @@ def count_text(text: Column, piece: str) -> Column:
     return ((F.length(text) - shorter) / len(piece)).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row. A column that a lambda captures may
+    otherwise be inlined by the optimizer and computed again for every array element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_lit(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hintwise.functions.text import let
+
 
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
@@ -29,8 +31,10 @@ def cosine(left: Column, right: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    length = F.greatest(norm(vector), F.lit(1e-12))
-    return F.transform(as_double(vector), lambda x: x / length)
+    return let(
+        F.greatest(norm(vector), F.lit(1e-12)),
+        lambda length: F.transform(as_double(vector), lambda x: x / length),
+    )
 
 
 def argmax(logits: Column) -> Column:
@@ -38,16 +42,18 @@ def argmax(logits: Column) -> Column:
     return (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
 
 
+def _powers(logits: Column) -> Column:
+    return let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    total = array_sum(powers)
-    return F.transform(powers, lambda p: p / total)
+    return let(_powers(logits), lambda powers: let(
+        array_sum(powers), lambda total: F.transform(powers, lambda p: p / total)
+    ))
 
 
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.log(array_sum(F.transform(logits, lambda x: F.exp(x - top))))
+    return F.array_max(logits) + F.log(array_sum(_powers(logits)))
 
 
 def sigmoid(logit: Column) -> Column:

@@ -16,11 +16,13 @@ matrices, and only the best ``k`` entries per question and block leave the task.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ from pyspark.sql import types as T
 
 from hintwise.operators.scaling import written
 
+# the functions below run in Python workers, which need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PACK_ROWS = 1024
 PACK_VALUES = 1_000_000
 TERM_CHUNK = 2048
@@ -53,39 +58,50 @@ def _pack(df: DataFrame, key: str, terms: str | None, weights: str) -> DataFrame
     columns.append(F.coalesce(F.col(weights).cast("array<double>"), F.array().cast("array<double>")).alias("weights"))
     ordered = df.select(*columns).sortWithinPartitions("id")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        made = 0
-        for batch in batches:
-            lengths = np.asarray(pc.list_value_length(batch.column("weights")))
-            start = 0
-            while start < batch.num_rows:
-                reach = np.searchsorted(np.cumsum(lengths[start:]), PACK_VALUES, side="right")
-                stop = min(batch.num_rows, start + max(1, min(PACK_ROWS, int(reach))))
-                yield _block(batch.slice(start, stop - start), lengths[start:stop], (part << 32) + made)
-                made += 1
-                start = stop
-
-    def _block(rows: pa.RecordBatch, lengths: np.ndarray, number: int) -> pa.RecordBatch:
-        ptr = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        values = np.asarray(rows.column("weights").flatten(), dtype=np.float64)
+    def block(rows: pa.Table, number: int) -> pa.RecordBatch:
+        weights = rows.column("weights").combine_chunks()
+        lengths = np.asarray(pc.list_value_length(weights))
+        values = np.asarray(weights.flatten(), dtype=np.float64)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         norms = np.sqrt(np.bincount(owner, weights=values * values, minlength=len(lengths)))
-        values = values / np.maximum(norms, 1e-12)[owner]
-        codes = rows.column("terms").flatten() if terms else pa.array([], pa.int64())
+        codes = np.asarray(rows.column("terms").combine_chunks().flatten()) if terms else []
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
                 pa.array([rows.column("id").to_pylist()], pa.list_(rows.schema.field("id").type)),
-                pa.array([ptr], pa.list_(pa.int32())),
-                pa.array([np.asarray(codes)], pa.list_(pa.int64())),
-                pa.array([values], pa.list_(pa.float64())),
+                pa.array([np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)], pa.list_(pa.int32())),
+                pa.array([codes], pa.list_(pa.int64())),
+                pa.array([values / np.maximum(norms, 1e-12)[owner]], pa.list_(pa.float64())),
             ],
             names=["block", "ids", "ptr", "terms", "weights"],
         )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held, n_rows, n_values = [], 0, 0
+        for batch in batches:
+            ends = np.cumsum(np.asarray(pc.list_value_length(batch.column("weights"))))
+            start = 0
+            while start < batch.num_rows:
+                used = ends[start - 1] if start else 0
+                fitting = int(np.searchsorted(ends, used + PACK_VALUES - n_values, side="right"))
+                stop = min(batch.num_rows, start + PACK_ROWS - n_rows, fitting)
+                if stop <= start and not held:
+                    stop = start + 1
+                if stop > start:
+                    held.append(batch.slice(start, stop - start))
+                    n_rows += stop - start
+                    n_values += int(ends[stop - 1] - used)
+                    start = stop
+                if start < batch.num_rows:
+                    yield block(pa.Table.from_batches(held), number)
+                    number += 1
+                    held, n_rows, n_values = [], 0, 0
+        if held:
+            yield block(pa.Table.from_batches(held), number)
+
     return ordered.mapInArrow(pack, schema)
 
 
@@ -197,12 +213,14 @@ def ranked_by_blocks(
     cosine descending and then by name."""
     q_type, c_type = questions.schema[query_id].dataType, catalog.schema[name].dataType
     spark = questions.sparkSession
-    # a catalog counted to fit one block may be brought together in one task
-    gathered = catalog.repartition(1) if catalog.count() <= PACK_ROWS else catalog
-    entries = _side(written(_pack(gathered, name, terms, weights), "catalog-blocks"), "c")
+    stored = written(catalog.select(name, *([terms] if terms else []), weights), "catalog-vectors")
+    size = stored.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(weights)), F.lit(0)).alias("values")
+    ).first()
     asked = _side(_pack(questions, query_id, terms, weights), "q")
-    blocks = entries.count()
-    if blocks <= 1:
+    if size.rows <= PACK_ROWS and size["values"] <= PACK_VALUES:
+        # measured to fit one block, so one task may hold it and every executor a copy
+        entries = _side(_pack(stored.repartition(1), name, terms, weights), "c")
         pairs = asked.withColumn("_cell", F.lit(0)).join(
             F.broadcast(entries.withColumn("_cell", F.lit(0))), "_cell"
         ).drop("_cell")
@@ -210,6 +228,8 @@ def ranked_by_blocks(
         return best.select(
             F.col("q").alias(query_id), F.col("place").alias("rank"), F.col("c").alias(name), "score"
         )
+    entries = _side(_pack(stored, name, terms, weights), "c")
+    blocks = math.ceil(max(size.rows / PACK_ROWS, size["values"] / PACK_VALUES))
     cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, columns = grid_shape(math.ceil(questions.count() / PACK_ROWS), blocks, cells)
     pairs = asked.select(

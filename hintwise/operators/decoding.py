@@ -31,7 +31,7 @@ def spread_logits(wide: DataFrame, heads: list[str]) -> DataFrame:
         return F.transform(head, lambda x, i: F.struct(
             F.lit(head).alias("head"), i.alias("class_idx"), x.alias("logit")))
 
-    long = F.explode(F.concat(*[of(h) for h in heads]))
+    long = F.explode_outer(F.concat(*[of(h) for h in heads]))
     return wide.select("query_id", long.alias("e")).select("query_id", "e.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hintwise.functions.text import array_lit
+from hintwise.functions.text import array_lit, let
 from hintwise.schemas import CATEGORIES
 
 
@@ -16,7 +16,7 @@ def fit_label_dict(df: DataFrame, heads: dict[str, str]) -> DataFrame:
     ``heads`` maps head names to columns. All heads are fitted in one pass; the window only
     ever sees the distinct classes, after the aggregation.
     """
-    entries = F.explode(F.array(*[
+    entries = F.explode_outer(F.array(*[
         F.struct(F.lit(h).alias("head"), F.col(c).cast("string").alias("label"))
         for h, c in heads.items()
     ]))
@@ -35,7 +35,9 @@ def index_labels(df: DataFrame, head: str, column: str, label_dict: DataFrame) -
 
 def multi_hot(tags: Column, classes: list[str]) -> Column:
     """Array of tags to a 0/1 vector in declared class order; unknown tags are ignored."""
-    return F.transform(array_lit(classes), lambda c: F.array_contains(tags, c).cast("int"))
+    return let(tags, lambda held: F.transform(
+        array_lit(classes), lambda c: F.array_contains(held, c).cast("int")
+    ))
 
 
 def decode_index(df: DataFrame, head: str, idx: str, label_dict: DataFrame, label: str) -> DataFrame:
@@ -67,4 +69,4 @@ def label_shapes(df: DataFrame, heads: dict[str, str], declared: dict[str, list[
         F.struct(F.lit(h).alias("head"), F.lit(len(c)).cast("bigint").alias("classes"))
         for h, c in declared.items()
     ]
-    return seen.select("rows", F.explode(F.array(*entries)).alias("e")).select("e.head", "rows", "e.classes")
+    return seen.select("rows", F.explode_outer(F.array(*entries)).alias("e")).select("e.head", "rows", "e.classes")

@@ -11,7 +11,7 @@ from hintwise.schemas import LOSS_WEIGHTS
 
 
 def _long(one_row: DataFrame, metric: str, heads: list[str]) -> DataFrame:
-    entries = F.explode(F.array(*[
+    entries = F.explode_outer(F.array(*[
         F.struct(F.lit(h).alias("head"), F.lit(metric).alias("metric"), F.col(h).alias("value"))
         for h in heads
     ]))
@@ -65,7 +65,7 @@ def _class_scores(df: DataFrame, predicted: str, truth: str) -> DataFrame:
     """Precision, recall, F1 and support of every class among truths and predictions. Each row
     counts once for its true and once for its predicted class; no join."""
     right = (F.col(predicted) == F.col(truth)).cast("int")
-    votes = F.explode(F.array(
+    votes = F.explode_outer(F.array(
         F.struct(F.col(truth).cast("string").alias("class"), F.lit(1).alias("is_true"),
                  F.lit(0).alias("is_pred"), right.alias("hit")),
         F.struct(F.col(predicted).cast("string").alias("class"), F.lit(0).alias("is_true"),
@@ -90,7 +90,7 @@ def classification_report(df: DataFrame, predicted: str, truth: str) -> DataFram
     """``(class, precision, recall, f1, support)`` per class, plus accuracy (under f1), macro
     and weighted averages. The averages are further groups of the same small table."""
     scores = _class_scores(df, predicted, truth)
-    lines = F.explode(F.array(
+    lines = F.explode_outer(F.array(
         F.struct(F.col("class").alias("name"), F.lit(1.0).alias("w")),
         F.struct(F.lit("accuracy").alias("name"), F.lit(0.0).alias("w")),
         F.struct(F.lit("macro avg").alias("name"), F.lit(1.0).alias("w")),
@@ -145,7 +145,7 @@ def info_nce(
     and missing negatives (up to the largest number of negatives of any question, at least one)
     count as zero vectors, similarity 0.
     """
-    tables = F.explode(F.array_union(F.array("positive"), "negatives"))
+    tables = F.explode_outer(F.array_union(F.array("positive"), "negatives"))
     met = lookup_join(
         triplets.select("query_id", "vec", "positive", F.size("negatives").alias("n"), tables.alias("table")),
         vectors.withColumnRenamed("vec", "table_vec"), "table", "left",
@@ -203,7 +203,7 @@ def score_correlation(pairs: DataFrame) -> DataFrame:
         correlation(F.col("score") - F.col("m.score"), F.col("label") - F.col("m.label")).alias("pearson"),
         correlation(F.col("score_rank") - F.col("m.rank"), F.col("label_rank") - F.col("m.rank")).alias("spearman"),
     )
-    entries = F.explode(F.array(*[
+    entries = F.explode_outer(F.array(*[
         F.struct(F.lit("ranker").alias("head"), F.lit(c).alias("metric"), F.col(c).alias("value"))
         for c in ("pearson", "spearman")
     ]))
@@ -229,7 +229,7 @@ def recall_at_k(hints: DataFrame, expected: DataFrame, ks: list[int]) -> DataFra
         F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"r{k}") for k in ks
     ])
     row = shares.agg(*[F.avg(f"r{k}").alias(f"r{k}") for k in ks])
-    entries = F.explode(F.array(*[
+    entries = F.explode_outer(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in ks
     ]))
     return row.select(entries.alias("e")).select("e.*")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hintwise.functions.text import let
+
 
 def _ordered(hints: DataFrame) -> DataFrame:
     """One row per question with its hints in rank order; as many as were ranked."""
@@ -18,14 +20,13 @@ def hint_names(hints: DataFrame) -> DataFrame:
     return _ordered(hints).select("query_id", F.transform("_h", lambda h: h["table"]).alias("tables"))
 
 
-def _scores_map(column: str):
+def _scores_map(column: str) -> Column:
     """Table to score; of two hints with the same name the later one counts."""
-    last = F.map_from_entries(F.transform(
-        F.filter(column, lambda h: ~F.exists(
-            column, lambda o: (o["table"] == h["table"]) & (o["rank"] > h["rank"]))),
+    return let(F.col(column), lambda hints: F.map_from_entries(F.transform(
+        F.filter(hints, lambda h: ~F.exists(
+            hints, lambda o: (o["table"] == h["table"]) & (o["rank"] > h["rank"]))),
         lambda h: F.struct(h["table"], h["score"]),
-    ))
-    return last
+    )))
 
 
 def hint_scores(hints: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hintwise.functions.hashing import md5_number, seeded_md5
-from hintwise.functions.text import strip
+from hintwise.functions.text import let, strip
 from hintwise.operators.scaling import dense_positions, lookup_join, small_enough, written
 from hintwise.schemas import NUM_NEGATIVES, SEED
 
@@ -61,9 +61,9 @@ def condition_columns(sql: Column) -> Column:
 def relevant_indices(headers: Column, sel: Column, conds: Column) -> Column:
     """Distinct indexes among the selected and the condition columns that point into the
     headers. Negative indexes are refused rather than counted from the end."""
-    inside = F.filter(
-        F.concat(F.array(sel), conds), lambda i: (i >= 0) & (i < F.size(headers))
-    )
+    inside = let(F.size(headers), lambda n: F.filter(
+        F.concat(F.array(sel), conds), lambda i: (i >= 0) & (i < n)
+    ))
     return F.array_sort(F.array_distinct(inside)).cast("array<int>")
 
 
@@ -98,7 +98,7 @@ def column_pairs(usable: DataFrame, key: str, seed: int = SEED) -> DataFrame:
         F.transform("relevant", lambda i: F.struct(i.alias("pos"), F.lit(1.0).alias("label"))),
         F.transform(negatives, lambda n: F.struct(n["pos"].alias("pos"), F.lit(0.0).alias("label"))),
     )
-    return usable.select(key, "question", "headers", F.explode(picks).alias("p")).select(
+    return usable.select(key, "question", "headers", F.explode_outer(picks).alias("p")).select(
         key, "question", F.get("headers", F.col("p.pos")).alias("header"),
         F.col("p.pos").alias("header_pos"), F.col("p.label").alias("label"),
     )
@@ -109,17 +109,17 @@ def column_pairs(usable: DataFrame, key: str, seed: int = SEED) -> DataFrame:
 def _draws(key: Column, free: Column, n: int, seed: int) -> Column:
     """``min(n, free)`` distinct numbers below ``free``: uniform sampling without replacement
     in one pass (Floyd's method, Communications of the ACM 30, 1987), one hash per draw."""
-    size = F.least(F.lit(n), free)
+    def draw(free: Column) -> Column:
+        first = F.greatest(free - n, F.lit(0))
 
-    def step(taken: Column, i: Column) -> Column:
-        top = free - size + i
-        pick = md5_number(seeded_md5(seed, key, i)) % (top + 1)
-        return F.array_append(taken, F.when(F.array_contains(taken, pick), top).otherwise(pick))
+        def step(taken: Column, top: Column) -> Column:
+            pick = md5_number(seeded_md5(seed, key, top - first)) % (top + 1)
+            return F.array_append(taken, F.when(F.array_contains(taken, pick), top).otherwise(pick))
 
-    steps = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i - 1).cast("bigint"))
-    return F.aggregate(
-        F.filter(steps, lambda i: i < size), F.array().cast("array<bigint>"), step
-    )
+        tops = F.filter(F.sequence(first, first + n - 1), lambda top: top < free)
+        return F.aggregate(tops, F.array().cast("array<bigint>"), step)
+
+    return let(free.cast("bigint"), draw)
 
 
 def _skip_positions(draw: Column, taken: Column) -> Column:
@@ -147,11 +147,13 @@ def table_negatives(
             F.array_intersect("tables", "_names"), lambda t: F.array_position("_names", t) - 1
         ))).withColumn("_free", total - F.size("_taken"))
         drawn = placed.withColumn("_draws", _draws(F.col(key), F.col("_free"), n, seed))
-        return drawn.withColumn("negatives", F.transform("_draws", lambda d: F.get(
-            "_names", _skip_positions(d, F.col("_taken")).cast("int")
-        ))).drop("_names", "_taken", "_free", "_draws")
+        picked = let(F.col("_taken"), lambda taken: F.transform("_draws", lambda d: F.get(
+            "_names", _skip_positions(d, taken).cast("int")
+        )))
+        return drawn.withColumn("negatives", picked).drop("_names", "_taken", "_free", "_draws")
     own = lookup_join(
-        queries.select(key, F.explode(F.array_distinct("tables")).alias("table")),
+        queries.select(key, F.explode_outer(F.array_distinct("tables")).alias("table")).where(
+            "table IS NOT NULL"),
         positions, "table", limit=limit,
     ).groupBy(key).agg(F.array_sort(F.collect_list("position")).alias("_taken"))
     drawn = (
@@ -160,7 +162,9 @@ def table_negatives(
         .withColumn("_free", total - F.size("_taken"))
         .withColumn("_draws", _draws(F.col(key), F.col("_free"), n, seed))
     )
-    picks = drawn.select(key, "_taken", F.posexplode("_draws").alias("_at", "_draw")).select(
+    picks = drawn.select(key, "_taken", F.posexplode_outer("_draws").alias("_at", "_draw")).where(
+        "_draw IS NOT NULL"
+    ).select(
         key, "_at", _skip_positions(F.col("_draw"), F.col("_taken")).alias("position")
     )
     named = picks.join(positions, "position").groupBy(key).agg(

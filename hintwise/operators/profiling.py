@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(feature, value, n)`` for several columns from one scan."""
-    values = F.explode(F.array(*[
+    values = F.explode_outer(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns
     ]))
     return (
@@ -21,7 +21,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The n most frequent elements of an array column."""
     return (
-        df.select(F.explode(column).alias("value")).groupBy("value")
+        df.select(F.explode_outer(column).alias("value")).where("value IS NOT NULL").groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "value").limit(n)
     )
@@ -40,7 +40,7 @@ def pair_balance(pairs: DataFrame) -> DataFrame:
 
 def table_vocabulary(log: DataFrame) -> DataFrame:
     """Distinct referenced tables."""
-    return log.select(F.explode("tables").alias("table")).distinct()
+    return log.select(F.explode_outer("tables").alias("table")).where("table IS NOT NULL").distinct()
 
 
 def ranking_corpus_stats(log: DataFrame, sample: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hintwise.functions.text import word_tokens
 from hintwise.operators.blocks import ranked_by_blocks
-from hintwise.operators.scaling import dense_positions, lookup_join, written
+from hintwise.operators.scaling import dense_positions, lookup_join, small_enough, written
 from hintwise.schemas import HINTS_TOP_K
 
 
@@ -56,8 +56,8 @@ def token_document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(token, df, idf)`` over a catalog: in how many entries each word occurs, and
     ln((N + 1) / (df + 1)) + 1. Counts combine before the shuffle, so common words are cheap."""
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    words = docs.select(key, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("token"))
-    return words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn(
+    words = docs.select(key, F.explode_outer(F.array_distinct(word_tokens(F.col(text)))).alias("token"))
+    return words.where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn(
         "idf", F.log((total + 1) / (F.col("df") + 1)) + 1
     )
 
@@ -81,12 +81,15 @@ def fit_vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def tfidf_vectors(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
+def tfidf_vectors(
+    texts: DataFrame, key: str, text: str, vocabulary: DataFrame, small: bool | None = None
+) -> DataFrame:
     """``(key, terms, weights)`` with one row per text; words outside the vocabulary are left
     out, as with a vectorizer fitted on the catalog. Texts without a known word keep an empty
     vector."""
     weighted = lookup_join(
-        term_counts(texts, key, text), vocabulary.select("token", "term", "idf"), "token", "left"
+        term_counts(texts, key, text), vocabulary.select("token", "term", "idf"), "token", "left",
+        small=small,
     )
     entry = F.when(
         F.col("term").isNotNull(), F.struct("term", (F.col("n") * F.col("idf")).alias("weight"))
@@ -106,8 +109,9 @@ def rank_by_text(
     vocabulary is that of the catalog and can be fitted beforehand."""
     if vocabulary is None:
         vocabulary = fit_vocabulary(catalog, "table", "doc")
-    asked = tfidf_vectors(questions, "query_id", "text", vocabulary)
-    entries = tfidf_vectors(catalog, "table", "doc", vocabulary)
+    small = small_enough(vocabulary)
+    asked = tfidf_vectors(questions, "query_id", "text", vocabulary, small)
+    entries = tfidf_vectors(catalog, "table", "doc", vocabulary, small)
     ranked = ranked_by_blocks(
         asked, entries, "query_id", "table", "weights", terms="terms", k=top_k
     )

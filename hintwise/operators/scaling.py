@@ -52,18 +52,19 @@ def small_enough(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def lookup_join(
-    big: DataFrame, dictionary: DataFrame, key: str, how: str = "inner", limit: int | None = None
+    big: DataFrame, dictionary: DataFrame, key: str, how: str = "inner", limit: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join ``big`` to a dictionary with one row per key, safe against hot keys.
 
     A dictionary measured to be small is broadcast. Beyond that, the rows of hot keys meet only
     the dictionary entries of the hot keys (at most 1/HOT_SHARE rows, so that side can be
     broadcast), and the other rows take a shuffle join in which no key holds more than
-    HOT_SHARE of the rows.
+    HOT_SHARE of the rows. Callers that have measured the dictionary before pass ``small``.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
-    if small_enough(dictionary, limit):
+    if small_enough(dictionary, limit) if small is None else small:
         return big.join(F.broadcast(dictionary), key, how)
     big = written(big, "lookup-side")
     hot = F.broadcast(written(hot_keys(big, key), "hot-keys"))

@@ -16,14 +16,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hintwise.functions.text import word_tokens
+from hintwise.functions.text import array_lit, let, word_tokens
 from hintwise.operators.ranking import term_counts, token_document_frequency
-from hintwise.operators.scaling import lookup_join, written
+from hintwise.operators.scaling import lookup_join, small_enough, written
 
 
 def tokens(texts: DataFrame, key: str, text: str, max_tokens: int | None = None) -> DataFrame:
     """``(key, pos, token)``: words in order, all of them unless ``max_tokens`` is set."""
-    return texts.select(key, F.posexplode(word_tokens(F.col(text), max_tokens)).alias("pos", "token"))
+    words = F.posexplode_outer(word_tokens(F.col(text), max_tokens))
+    return texts.select(key, words.alias("pos", "token")).where("token IS NOT NULL")
 
 
 @dataclass(frozen=True)
@@ -36,72 +37,100 @@ class Head:
     size: int
     multi: bool = False
 
-    def members(self) -> list[Column]:
-        """0/1 per class, for a row of the training table."""
-        if self.multi:
-            return [F.coalesce(F.get(self.column, F.lit(i)), F.lit(0)) for i in range(self.size)]
-        return [F.coalesce((F.col(self.column) == i).cast("int"), F.lit(0)) for i in range(self.size)]
+    def members(self, offset: int) -> Column:
+        """The classes that hold for a row, numbered from ``offset``."""
+        if not self.multi:
+            return F.array(F.col(self.column) + offset)
+        numbered = F.transform(self.column, lambda flag, i: F.when(flag == 1, i + offset))
+        return F.coalesce(F.array_compact(numbered), F.array().cast("array<int>"))
 
 
 @dataclass(frozen=True)
 class TextModel:
     """``words(token, weights)`` and the one-row ``priors(weights)``; weights are in the order
-    of the heads and of their classes."""
+    of the heads and of their classes. ``small`` tells whether the words were measured to fit
+    every executor."""
 
     words: DataFrame
     priors: DataFrame
     heads: tuple[Head, ...]
+    small: bool | None = None
+
+
+# stands for "any class" in the counts: every word of every text counts once under it
+ANY = -1
 
 
 def fit_text_labels(train: DataFrame, text: str, heads: list[Head]) -> TextModel:
     """Fit all heads from one pass over the words of the training texts.
 
-    The words are counted per token with one 0/1 sum per class, combined before the shuffle,
-    so a common word costs as much as a rare one. Multi-label tags get the log odds of the tag
+    Words are counted per class that holds for their text, combined before the shuffle, so a
+    common word costs as much as a rare one. Multi-label tags get the log odds of the tag
     against its absence. Counts are smoothed by one.
     """
-    flags = [m for h in heads for m in h.members()]
-    multi = [h.multi for h in heads for _ in range(h.size)]
-    sizes = [h.size for h in heads for _ in range(h.size)]
-    labelled = train.select(F.col(text).alias("_text"), *[f.alias(f"f{i}") for i, f in enumerate(flags)])
-    names = [f"f{i}" for i in range(len(flags))]
+    width = sum(h.size for h in heads)
+    members, offset = [F.array(F.lit(ANY))], 0
+    for head in heads:
+        members.append(head.members(offset))
+        offset += head.size
+    multi = array_lit([h.multi for h in heads for _ in range(h.size)])
+    sizes = array_lit([h.size for h in heads for _ in range(h.size)])
+    classes = F.array_compact(F.concat(*members))
+    labelled = train.select(F.col(text).alias("_text"), classes.alias("classes"))
 
-    docs = labelled.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in names])
+    def per_class(counts: DataFrame, n: str) -> DataFrame:
+        """One row: class number to count, at most ``width`` + 1 entries."""
+        return counts.agg(F.map_from_entries(F.collect_list(F.struct("class", n))).alias("m"))
 
-    def prior(i: int) -> Column:
-        if multi[i]:
-            return F.log((F.col(names[i]) + 1) / (F.col("n") - F.col(names[i]) + 1))
-        return F.log((F.col(names[i]) + 1) / (F.col("n") + sizes[i]))
+    def of(counts: Column, c: Column) -> Column:
+        return F.coalesce(F.try_element_at(counts, c), F.lit(0))
 
-    priors = docs.select(F.array(*[prior(i) for i in range(len(names))]).alias("weights"))
+    def for_classes(weight) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), weight)
 
-    counted = written(
-        labelled.select(F.explode(word_tokens(F.col("_text"))).alias("token"), *names)
-        .groupBy("token").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in names]),
-        "word-counts",
-    )
-    totals = counted.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), *[F.sum(f).alias(f) for f in names]
-        ).alias("t")
+    texts = labelled.select(F.explode_outer("classes").alias("class")).groupBy("class").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    def prior(m: Column, c: Column) -> Column:
+        rows, has = m[ANY], of(m, c)
+        return F.when(F.get(multi, c), F.log((has + 1) / (rows - has + 1))).otherwise(
+            F.log((has + 1) / (rows + F.get(sizes, c)))
+        )
 
-    def likelihood(i: int) -> Column:
-        seen = F.log((F.col(names[i]) + 1) / (F.col(f"t.{names[i]}") + F.col("t.v")))
-        if not multi[i]:
-            return seen
-        other = F.col("n") - F.col(names[i])
-        return seen - F.log((other + 1) / (F.col("t.n") - F.col(f"t.{names[i]}") + F.col("t.v")))
+    priors = per_class(texts, "n").select(
+        let(F.col("m"), lambda m: for_classes(lambda c: prior(m, c))).alias("weights")
+    )
 
-    words = counted.withColumn("t", totals.scalar()).select(
-        "token", F.array(*[likelihood(i) for i in range(len(names))]).alias("weights")
+    counted = written(
+        labelled.select(F.explode_outer(word_tokens(F.col("_text"))).alias("token"), "classes")
+        .where("token IS NOT NULL")
+        .select("token", F.explode_outer("classes").alias("class"))
+        .groupBy("token", "class").agg(F.count(F.lit(1)).alias("n")),
+        "word-counts",
     )
-    return TextModel(written(words, "word-weights"), written(priors, "priors"), tuple(heads))
+    totals = per_class(counted.groupBy("class").agg(F.sum("n").alias("n")), "n")
+    vocabulary = counted.where(F.col("class") == ANY).agg(F.count(F.lit(1)).alias("v"))
+    # a group is one word with its classes
+    per_word = counted.groupBy("token").agg(
+        F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("m")
+    ).withColumns({"total": totals.scalar(), "v": vocabulary.scalar()})
+
+    def likelihood(m: Column, total: Column, c: Column) -> Column:
+        n, t = of(m, c), of(total, c)
+        share = F.log((n + 1) / (t + F.col("v")))
+        rest = F.log((m[ANY] - n + 1) / (total[ANY] - t + F.col("v")))
+        return F.when(F.get(multi, c), share - rest).otherwise(share)
+
+    words = per_word.select("token", let(F.col("m"), lambda m: let(
+        F.col("total"), lambda total: for_classes(lambda c: likelihood(m, total, c))
+    )).alias("weights"))
+    stored = written(words, "word-weights")
+    return TextModel(stored, written(priors, "priors"), tuple(heads), small_enough(stored))
 
 
 def predict_text_labels(model: TextModel, texts: DataFrame, key: str, text: str) -> DataFrame:
     """One array of logits per head. Words that the model has not seen are left out."""
-    weighted = lookup_join(term_counts(texts, key, text), model.words, "token", "left")
+    weighted = lookup_join(term_counts(texts, key, text), model.words, "token", "left", small=model.small)
     width = sum(h.size for h in model.heads)
     sums = weighted.groupBy(key).agg(*[
         F.sum(F.coalesce(F.col("n") * F.get("weights", F.lit(i)), F.lit(0.0))).alias(f"s{i}")
@@ -191,7 +220,8 @@ def pair_features(pairs: DataFrame, key: str, question: str, name: str) -> DataF
     idf = written(token_document_frequency(names, name, name), "name-idf").select("token", "idf")
     # idf is looked up once per distinct name, of which there are far fewer than pairs
     per_name = lookup_join(
-        names.select(name, F.explode(F.array_distinct(word_tokens(F.col(name)))).alias("token")),
+        names.select(name, F.explode_outer(F.array_distinct(word_tokens(F.col(name)))).alias("token"))
+        .where("token IS NOT NULL"),
         idf, "token",
     ).groupBy(name).agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("_idf"))
 
@@ -199,7 +229,7 @@ def pair_features(pairs: DataFrame, key: str, question: str, name: str) -> DataF
         return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["idf"])
 
     joined = lookup_join(base, per_name, name, "left")
-    hit = F.filter("_idf", lambda e: F.array_contains("_q", e["token"]))
+    hit = let(F.col("_q"), lambda q: F.filter("_idf", lambda e: F.array_contains(q, e["token"])))
     return joined.withColumn(
         "idf_share", F.coalesce(F.try_divide(total(hit), total("_idf")), F.lit(0.0))
     ).drop("_q", "_n", "_idf")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hintwise.functions.text import strip
+from hintwise.functions.text import let, strip
 from hintwise.functions.vectors import l2_normalize
 from hintwise.operators import decoding
 from hintwise.operators.blocks import SCORE_DIGITS
@@ -44,9 +44,13 @@ def analyze(
 
 
 def _sparse_dot(terms: Column, weights: Column, other_terms: Column, other_weights: Column) -> Column:
-    products = F.transform(terms, lambda t, i: F.get(weights, i) * F.coalesce(
-        F.get(other_weights, (F.array_position(other_terms, t) - 1).cast("int")), F.lit(0.0)))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+    def products(w: Column, other_w: Column, other_t: Column) -> Column:
+        return F.transform(terms, lambda t, i: F.get(w, i) * F.coalesce(
+            F.get(other_w, (F.array_position(other_t, t) - 1).cast("int")), F.lit(0.0)))
+
+    bound = let(weights, lambda w: let(other_weights, lambda ow: let(
+        other_terms, lambda ot: products(w, ow, ot))))
+    return F.aggregate(bound, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def rank_requests(requests: DataFrame, top_k: int = 10) -> DataFrame:

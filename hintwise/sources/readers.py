@@ -89,7 +89,9 @@ def parse_catalog_list(df: DataFrame, text: str) -> DataFrame:
     column = F.col(text)
     pieces = F.when(column.contains("|"), F.split(column, r"\|")).otherwise(F.split(column, ","))
     entries = F.filter(F.transform(pieces, strip), lambda e: e != "")
-    return df.select("*", F.posexplode(entries).alias("entry_pos", "table"))
+    return df.select("*", F.posexplode_outer(entries).alias("entry_pos", "table")).where(
+        "table IS NOT NULL"
+    )
 
 
 def validate_requests(requests: DataFrame, need_tables: bool = False) -> DataFrame:
