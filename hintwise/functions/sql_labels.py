@@ -135,5 +135,5 @@ def referenced_tables(sql: Column) -> Column:
     ])
     lowered = F.transform(names, lambda n: F.lower(n))
     return F.when(sql.isNull(), F.array().cast("array<string>")).otherwise(
-        F.array_sort(F.array_except(lowered, array_lit(NOT_TABLE_NAMES)))
+        F.sort_array(F.array_except(lowered, array_lit(NOT_TABLE_NAMES)))
     )

@@ -37,7 +37,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def array_lit(values: list) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array, built in one call however long it is."""
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(value).lower()
+
+    return F.expr("array(" + ", ".join(literal(v) for v in values) + ")")
 
 
 def _between_markers(text: Column) -> Column:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,6 +205,10 @@ def grid_shape(q_blocks: int, c_blocks: int, cells: int) -> tuple[int, int]:
     return rows, columns
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def ranked_by_blocks(
     questions: DataFrame, catalog: DataFrame, query_id: str, name: str, weights: str,
     terms: str | None = None, k: int | None = None,
@@ -234,11 +238,11 @@ def ranked_by_blocks(
     rows, columns = grid_shape(math.ceil(questions.count() / PACK_ROWS), blocks, cells)
     pairs = asked.select(
         "*", F.pmod(F.xxhash64("q_block"), F.lit(columns)).alias("_column"),
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("bigint").alias("_row"),
+        F.explode(_numbers(rows)).alias("_row"),
     ).join(
         entries.select(
             "*", F.pmod(F.xxhash64("c_block"), F.lit(rows)).alias("_row"),
-            F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).cast("bigint").alias("_column"),
+            F.explode(_numbers(columns)).alias("_column"),
         ),
         ["_row", "_column"],
     ).drop("_row", "_column")

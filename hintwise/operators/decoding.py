@@ -20,7 +20,7 @@ def gather_logits(logits: DataFrame, heads: list[str] = HEADS) -> DataFrame:
     """Long to wide: one array per head, in class order. A group is one question's classes."""
     def of(head: str) -> Column:
         entries = F.collect_list(F.when(F.col("head") == head, F.struct("class_idx", "logit")))
-        return F.transform(F.array_sort(entries), lambda e: e["logit"]).alias(head)
+        return F.transform(F.sort_array(entries), lambda e: e["logit"]).alias(head)
 
     return logits.groupBy("query_id").agg(*[of(h) for h in heads])
 
@@ -83,7 +83,7 @@ def analysis_record(decoded: DataFrame, questions: DataFrame, hints: DataFrame |
         nothing = F.lit(None).cast("array<struct<table:string,confidence:double>>")
         return records.withColumn("tables", nothing)
     ranked = hints.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "table", "score"))).alias("_h")
+        F.sort_array(F.collect_list(F.struct("rank", "table", "score"))).alias("_h")
     )
     tables = F.transform("_h", lambda h: F.struct(h["table"].alias("table"), h["score"].alias("confidence")))
     return records.join(ranked, "query_id", "left").withColumn("tables", tables).drop("_h")

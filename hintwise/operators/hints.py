@@ -12,7 +12,7 @@ from hintwise.functions.text import let
 def _ordered(hints: DataFrame) -> DataFrame:
     """One row per question with its hints in rank order; as many as were ranked."""
     return hints.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "table", "score"))).alias("_h")
+        F.sort_array(F.collect_list(F.struct("rank", "table", "score"))).alias("_h")
     )
 
 

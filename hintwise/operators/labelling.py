@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hintwise.functions import sql_labels as L
+from hintwise.operators.scaling import compute_once
 
 
 def label_query_log(log: DataFrame, sql: str = "sql") -> DataFrame:
     """Add keywords, complexity, category, subcategories and table_count.
 
-    Two projections, no shuffle: the upper-cased text is computed once, and the keyword array
-    feeds the complexity and the tags.
+    One narrow pass, no shuffle: the upper-cased text and the keywords are computed once and
+    feed the complexity and the tags.
     """
     text, upper, keywords = F.col(sql), F.col("_upper"), F.col("keywords")
-    staged = log.withColumn("_upper", F.upper(text)).withColumn(
-        "keywords", L.sql_keywords(text, upper)
+    staged = compute_once(
+        log.withColumn("_upper", F.upper(text)), {"keywords": L.sql_keywords(text, upper)}
     )
     return staged.withColumns({
         "complexity": L.sql_complexity(text, keywords, upper),
@@ -27,7 +28,7 @@ def label_query_log(log: DataFrame, sql: str = "sql") -> DataFrame:
 
 
 def with_referenced_tables(log: DataFrame, sql: str = "sql") -> DataFrame:
-    return log.withColumn("tables", L.referenced_tables(F.col(sql)))
+    return compute_once(log, {"tables": L.referenced_tables(F.col(sql))})
 
 
 def drop_unlabelled(log: DataFrame) -> DataFrame:

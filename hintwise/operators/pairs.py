@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hintwise.functions.hashing import md5_number, seeded_md5
 from hintwise.functions.text import let, strip
-from hintwise.operators.scaling import dense_positions, lookup_join, small_enough, written
+from hintwise.operators.scaling import compute_once, dense_positions, lookup_join, small_enough, written
 from hintwise.schemas import NUM_NEGATIVES, SEED
 
 MIN_QUESTION = 5
@@ -53,9 +53,9 @@ def condition_columns(sql: Column) -> Column:
     pieces = F.filter(F.transform(F.split(inner, ","), strip), lambda x: x != "")
     numbers = F.transform(pieces, lambda x: x.try_cast("bigint"))
     empty = F.array().cast("array<bigint>")
-    return F.when(F.exists(numbers, lambda x: x.isNull()), empty).otherwise(
-        F.coalesce(numbers, empty)
-    )
+    return F.coalesce(let(
+        numbers, lambda ns: F.when(~F.exists(ns, lambda x: x.isNull()), ns)
+    ), empty)
 
 
 def relevant_indices(headers: Column, sel: Column, conds: Column) -> Column:
@@ -64,19 +64,19 @@ def relevant_indices(headers: Column, sel: Column, conds: Column) -> Column:
     inside = let(F.size(headers), lambda n: F.filter(
         F.concat(F.array(sel), conds), lambda i: (i >= 0) & (i < n)
     ))
-    return F.array_sort(F.array_distinct(inside)).cast("array<int>")
+    return F.sort_array(F.array_distinct(inside)).cast("array<int>")
 
 
 def with_qa_columns(df: DataFrame) -> DataFrame:
     """Parse the printed ``table`` and ``sql`` of a corpus into headers, sel, conds, relevant."""
-    parsed = df.withColumns({
+    parsed = compute_once(df, {
         "headers": extract_headers(F.col("table")),
         "sel": selected_column(F.col("sql")),
         "conds": condition_columns(F.col("sql")),
     })
-    return parsed.withColumn(
-        "relevant", relevant_indices(F.col("headers"), F.col("sel"), F.col("conds"))
-    )
+    return compute_once(parsed, {
+        "relevant": relevant_indices(F.col("headers"), F.col("sel"), F.col("conds"))
+    })
 
 
 def usable_qa_rows(parsed: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def column_pairs(usable: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     """``(key, question, header, header_pos, label)``: every relevant header as 1.0 and up to
     twice as many irrelevant ones as 0.0, chosen by hash order."""
     irrelevant = F.array_except(F.sequence(F.lit(0), F.size("headers") - 1), "relevant")
-    shuffled = F.array_sort(F.transform(
+    shuffled = F.sort_array(F.transform(
         irrelevant, lambda i: F.struct(seeded_md5(seed, F.col(key), i).alias("h"), i.alias("pos"))
     ))
     negatives = F.slice(shuffled, 1, 2 * F.size("relevant"))
@@ -141,9 +141,9 @@ def table_negatives(
     positions = written(dense_positions(vocabulary, "table"), "vocabulary")
     total = positions.agg(F.count(F.lit(1)).alias("n")).scalar()
     if small_enough(positions, IN_ROW_BYTES if limit is None else limit):
-        entries = F.array_sort(F.collect_list(F.struct("position", "table")))
+        entries = F.sort_array(F.collect_list(F.struct("position", "table")))
         names = positions.agg(F.transform(entries, lambda e: e["table"]).alias("names")).scalar()
-        placed = queries.withColumn("_names", names).withColumn("_taken", F.array_sort(F.transform(
+        placed = queries.withColumn("_names", names).withColumn("_taken", F.sort_array(F.transform(
             F.array_intersect("tables", "_names"), lambda t: F.array_position("_names", t) - 1
         ))).withColumn("_free", total - F.size("_taken"))
         drawn = placed.withColumn("_draws", _draws(F.col(key), F.col("_free"), n, seed))
@@ -155,7 +155,7 @@ def table_negatives(
         queries.select(key, F.explode_outer(F.array_distinct("tables")).alias("table")).where(
             "table IS NOT NULL"),
         positions, "table", limit=limit,
-    ).groupBy(key).agg(F.array_sort(F.collect_list("position")).alias("_taken"))
+    ).groupBy(key).agg(F.sort_array(F.collect_list("position")).alias("_taken"))
     drawn = (
         queries.join(own, key, "left")
         .withColumn("_taken", F.coalesce("_taken", F.array().cast("array<bigint>")))
@@ -168,7 +168,7 @@ def table_negatives(
         key, "_at", _skip_positions(F.col("_draw"), F.col("_taken")).alias("position")
     )
     named = picks.join(positions, "position").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_at", "table"))).alias("_picked")
+        F.sort_array(F.collect_list(F.struct("_at", "table"))).alias("_picked")
     )
     picked = F.transform("_picked", lambda p: p["table"])
     return queries.join(named, key, "left").withColumn(

@@ -47,7 +47,7 @@ def ranking_corpus_stats(log: DataFrame, sample: int = 10) -> DataFrame:
     """Queries, distinct tables and the first few table names, in one row."""
     vocabulary = table_vocabulary(log)
     first = vocabulary.orderBy("table").limit(sample).agg(
-        F.array_join(F.array_sort(F.collect_list("table")), ",").alias("t")
+        F.array_join(F.sort_array(F.collect_list("table")), ",").alias("t")
     )
     tables = vocabulary.agg(F.count(F.lit(1)).alias("n"))
     return log.agg(F.count(F.lit(1)).alias("queries")).select(

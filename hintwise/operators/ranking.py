@@ -94,7 +94,7 @@ def tfidf_vectors(
     entry = F.when(
         F.col("term").isNotNull(), F.struct("term", (F.col("n") * F.col("idf")).alias("weight"))
     )
-    return weighted.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_v")).select(
+    return weighted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_v")).select(
         key,
         F.transform("_v", lambda e: e["term"]).alias("terms"),
         F.transform("_v", lambda e: e["weight"]).alias("weights"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A plain projection of a costly expression is copied into every filter that is pushed below
+    it and into every expression that is merged with it. The output of a generator is not, so
+    the columns are unfolded from an array with one struct.
+    """
+    struct = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(struct)))
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold at least ``share`` of the rows: at most 1/share of them, by counting."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

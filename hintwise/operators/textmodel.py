@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hintwise.functions.text import array_lit, let, word_tokens
 from hintwise.operators.ranking import term_counts, token_document_frequency
-from hintwise.operators.scaling import lookup_join, small_enough, written
+from hintwise.operators.scaling import compute_once, lookup_join, small_enough, written
 
 
 def tokens(texts: DataFrame, key: str, text: str, max_tokens: int | None = None) -> DataFrame:
@@ -210,7 +210,7 @@ def pair_features(pairs: DataFrame, key: str, question: str, name: str) -> DataF
     question holds. ``key`` is unique per pair."""
     asked = F.array_distinct(word_tokens(F.col(question)))
     named = F.array_distinct(word_tokens(F.col(name)))
-    base = pairs.withColumns({"_q": asked, "_n": named}).withColumns({
+    base = compute_once(pairs, {"_q": asked, "_n": named}).withColumns({
         "shared": F.size(F.array_intersect("_q", "_n")).cast("double"),
         "jaccard": F.coalesce(F.try_divide(
             F.size(F.array_intersect("_q", "_n")).cast("double"), F.size(F.array_union("_q", "_n"))
@@ -223,7 +223,7 @@ def pair_features(pairs: DataFrame, key: str, question: str, name: str) -> DataF
         names.select(name, F.explode_outer(F.array_distinct(word_tokens(F.col(name)))).alias("token"))
         .where("token IS NOT NULL"),
         idf, "token",
-    ).groupBy(name).agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("_idf"))
+    ).groupBy(name).agg(F.sort_array(F.collect_list(F.struct("token", "idf"))).alias("_idf"))
 
     def total(entries) -> Column:
         return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["idf"])

@@ -97,7 +97,7 @@ def read_qa_corpus(spark, sf):
 def table_lists(spark, sf):
     """A delimited list of part names per order: by pipe or by comma, with blanks and gaps."""
     lines = derived.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set(F.concat_ws("_", F.lit(" part"), "l_partkey"))).alias("names")
+        F.sort_array(F.collect_set(F.concat_ws("_", F.lit(" part"), "l_partkey"))).alias("names")
     )
     return lines.select(
         F.col("l_orderkey").alias("query_id"),
@@ -467,7 +467,7 @@ def benchmark_questions(spark, sf):
 
 
 def document_catalog(spark, sf):
-    return derived.table(spark, sf, "documents").select(
+    return derived.spread(derived.table(spark, sf, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("table"), F.col("text").alias("doc")
     )
 
@@ -637,7 +637,7 @@ def analysis_record(spark, sf):
 
 def document_labels(spark, sf):
     """Documents with quality and toxic flags, split."""
-    docs = derived.table(spark, sf, "documents").select("doc_id", "text")
+    docs = derived.spread(derived.table(spark, sf, "documents").select("doc_id", "text"))
     return sampling.split_train_val_test(docs.join(derived.table(spark, sf, "labels"), "doc_id"), "doc_id")
 
 

@@ -84,7 +84,7 @@ def rank_requests(requests: DataFrame, top_k: int = 10) -> DataFrame:
 
 def label_info(label_dict: DataFrame) -> DataFrame:
     """``(head, labels)``: the classes of every head in code order."""
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "label")))
+    ordered = F.sort_array(F.collect_list(F.struct("idx", "label")))
     return label_dict.groupBy("head").agg(F.transform(ordered, lambda e: e["label"]).alias("labels"))
 
 

@@ -42,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer splits than the cluster has cores out to all cores, before costly
+    per-row work. A large table has many more splits and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _by_template(number: Column, texts: list[str | None], key: Column) -> Column:
     return F.replace(F.get(array_lit(texts), number), F.lit("{k}"), key)
 
@@ -60,7 +67,8 @@ def raw_query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(order % 13 == 5, F.concat(F.lit("x prompt: "), question, F.lit(" prompt: again schema: s")))
         .otherwise(F.concat(F.lit("x prompt: \n"), question, F.lit("  schema: t (a, b)")))
     )
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    return orders.select(
         F.col("o_orderkey").alias("query_id"),
         prompt.alias("structured_input"),
         F.when(order % 3 == 0, F.lower(statement)).otherwise(statement).alias("sql"),
@@ -81,7 +89,10 @@ def raw_qa_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(part % 10 == 7, F.lit("1., 2"))
         .otherwise(F.concat_ws(", ", (part % 5).cast("string"), (supp % 5).cast("string")))
     )
-    return table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"
+    ))
+    return lines.select(
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
             F.unix_date(F.col("l_shipdate").cast("date")),
