@@ -7,6 +7,7 @@ reads, one array of logits per head.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -59,14 +60,16 @@ class TextModel:
 
 # stands for "any class" in the counts: every word of every text counts once under it
 ANY = -1
+# stands for "any text" among the words, and counts every text once; no word is empty
+TEXT = ""
 
 
 def fit_text_labels(train: DataFrame, text: str, heads: list[Head]) -> TextModel:
-    """Fit all heads from one pass over the words of the training texts.
+    """Fit all heads from one pass over the training texts.
 
     Words are counted per class that holds for their text, combined before the shuffle, so a
-    common word costs as much as a rare one. Multi-label tags get the log odds of the tag
-    against its absence. Counts are smoothed by one.
+    common word costs as much as a rare one; the texts are counted in the same pass. Multi-label
+    tags get the log odds of the tag against its absence. Counts are smoothed by one.
     """
     width = sum(h.size for h in heads)
     members, offset = [F.array(F.lit(ANY))], 0
@@ -75,55 +78,55 @@ def fit_text_labels(train: DataFrame, text: str, heads: list[Head]) -> TextModel
         offset += head.size
     multi = array_lit([h.multi for h in heads for _ in range(h.size)])
     sizes = array_lit([h.size for h in heads for _ in range(h.size)])
-    classes = F.array_compact(F.concat(*members))
-    labelled = train.select(F.col(text).alias("_text"), classes.alias("classes"))
-
-    def per_class(counts: DataFrame, n: str) -> DataFrame:
-        """One row: class number to count, at most ``width`` + 1 entries."""
-        return counts.agg(F.map_from_entries(F.collect_list(F.struct("class", n))).alias("m"))
-
-    def of(counts: Column, c: Column) -> Column:
-        return F.coalesce(F.try_element_at(counts, c), F.lit(0))
-
-    def for_classes(weight) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), weight)
-
-    texts = labelled.select(F.explode_outer("classes").alias("class")).groupBy("class").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    def prior(m: Column, c: Column) -> Column:
-        rows, has = m[ANY], of(m, c)
-        return F.when(F.get(multi, c), F.log((has + 1) / (rows - has + 1))).otherwise(
-            F.log((has + 1) / (rows + F.get(sizes, c)))
-        )
-
-    priors = per_class(texts, "n").select(
-        let(F.col("m"), lambda m: for_classes(lambda c: prior(m, c))).alias("weights")
-    )
+    class_numbers = F.sequence(F.lit(0), F.lit(width - 1))
 
+    entries = F.concat(F.array(F.lit(TEXT)), F.coalesce(
+        word_tokens(F.col(text)), F.array().cast("array<string>")))
     counted = written(
-        labelled.select(F.explode_outer(word_tokens(F.col("_text"))).alias("token"), "classes")
-        .where("token IS NOT NULL")
+        train.select(
+            F.explode_outer(entries).alias("token"), F.array_compact(F.concat(*members)).alias("classes")
+        )
         .select("token", F.explode_outer("classes").alias("class"))
         .groupBy("token", "class").agg(F.count(F.lit(1)).alias("n")),
         "word-counts",
     )
-    totals = per_class(counted.groupBy("class").agg(F.sum("n").alias("n")), "n")
-    vocabulary = counted.where(F.col("class") == ANY).agg(F.count(F.lit(1)).alias("v"))
+
+    def dense(counts: str) -> Column:
+        """Map of class to count as an array over all classes."""
+        return let(F.col(counts), lambda m: F.transform(
+            class_numbers, lambda c: F.coalesce(F.try_element_at(m, c), F.lit(0).cast("bigint"))))
+
+    def per_class(counts: DataFrame) -> DataFrame:
+        """One row: counts of all classes and of any class."""
+        gathered = counts.agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("m"))
+        return gathered.select(F.struct(dense("m").alias("of"), F.col("m")[ANY].alias("any")).alias("t"))
+
+    def over_classes(counts: Column, weight: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(counts, weight).alias("weights")
+
+    is_text = F.col("token") == TEXT
+    texts = per_class(counted.where(is_text).select("class", "n"))
+    priors = texts.select(over_classes(F.col("t.of"), lambda n, c: F.when(
+        F.get(multi, c), F.log((n + 1) / (F.col("t.any") - n + 1))
+    ).otherwise(F.log((n + 1) / (F.col("t.any") + F.get(sizes, c))))))
+
+    word_counts = counted.where(~is_text)
+    totals = per_class(word_counts.groupBy("class").agg(F.sum("n").alias("n")))
+    vocabulary = word_counts.where(F.col("class") == ANY).agg(F.count(F.lit(1)).alias("v"))
     # a group is one word with its classes
-    per_word = counted.groupBy("token").agg(
+    per_word = word_counts.groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("m")
-    ).withColumns({"total": totals.scalar(), "v": vocabulary.scalar()})
+    ).withColumns({"t": totals.scalar(), "v": vocabulary.scalar()})
+    per_word = compute_once(per_word, {
+        "of": dense("m"), "any": F.col("m")[ANY], "total": F.col("t.of"), "all": F.col("t.any"),
+    })
 
-    def likelihood(m: Column, total: Column, c: Column) -> Column:
-        n, t = of(m, c), of(total, c)
-        share = F.log((n + 1) / (t + F.col("v")))
-        rest = F.log((m[ANY] - n + 1) / (total[ANY] - t + F.col("v")))
+    def likelihood(n: Column, c: Column) -> Column:
+        share = F.log((n + 1) / (F.get("total", c) + F.col("v")))
+        rest = F.log((F.col("any") - n + 1) / (F.col("all") - F.get("total", c) + F.col("v")))
         return F.when(F.get(multi, c), share - rest).otherwise(share)
 
-    words = per_word.select("token", let(F.col("m"), lambda m: let(
-        F.col("total"), lambda total: for_classes(lambda c: likelihood(m, total, c))
-    )).alias("weights"))
+    words = per_word.select("token", over_classes(F.col("of"), likelihood))
     stored = written(words, "word-weights")
     return TextModel(stored, written(priors, "priors"), tuple(heads), small_enough(stored))
 
