@@ -4,8 +4,8 @@ A pair of rows is never a row of any DataFrame here. Both sides are packed into
 most ``PACK_ROWS`` vectors; a join brings blocks together, a task multiplies two blocks as
 matrices, and only the best ``k`` entries per question and block leave the task.
 
-* A catalog of up to ``PACK_ROWS`` entries (the usual schema) is one block. It is joined to all
-  question blocks by broadcast, and the ranks come straight out of the task: no shuffle.
+* A catalog of up to ``PACK_ROWS`` entries (the usual schema) is one block. It is handed to all
+  question blocks as a scalar, and the ranks come straight out of the task: no shuffle, no join.
 * A larger catalog forms a grid (the 1-Bucket-Theta layout of Okcan and Riedewald, SIGMOD
   2011): catalog blocks are dealt to rows of the grid and question blocks to columns, and each
   cell is one join key. Rows and columns are sized so that the two sides are copied as little
@@ -225,9 +225,8 @@ def ranked_by_blocks(
     if size.rows <= PACK_ROWS and size["values"] <= PACK_VALUES:
         # measured to fit one block, so one task may hold it and every executor a copy
         entries = _side(_pack(stored.repartition(1), name, terms, weights), "c")
-        pairs = asked.withColumn("_cell", F.lit(0)).join(
-            F.broadcast(entries.withColumn("_cell", F.lit(0))), "_cell"
-        ).drop("_cell")
+        block = entries.select(F.struct(*entries.columns).alias("_c")).scalar()
+        pairs = asked.withColumn("_c", block).where("_c IS NOT NULL").select(*asked.columns, "_c.*")
         best = _score_blocks(pairs, q_type, c_type, k, terms is not None)
         return best.select(
             F.col("q").alias(query_id), F.col("place").alias("rank"), F.col("c").alias(name), "score"
