@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hintwise.functions.text import array_lit, let
+from hintwise.operators.scaling import lookup_join
 from hintwise.schemas import CATEGORIES
 
 
@@ -14,7 +15,8 @@ def fit_label_dict(df: DataFrame, heads: dict[str, str]) -> DataFrame:
     """``label_dict(head, idx, label)``: position among the sorted labels that occur.
 
     ``heads`` maps head names to columns. All heads are fitted in one pass; the window only
-    ever sees the distinct classes, after the aggregation.
+    ever sees the distinct classes, after the aggregation. Write the result out before using it
+    several times.
     """
     entries = F.explode_outer(F.array(*[
         F.struct(F.lit(h).alias("head"), F.col(c).cast("string").alias("label"))
@@ -30,7 +32,7 @@ def index_labels(df: DataFrame, head: str, column: str, label_dict: DataFrame) -
     codes = label_dict.where(F.col("head") == head).select(
         F.col("label").alias(column), F.col("idx").alias(f"{head}_idx")
     )
-    return df.join(codes, column, "left")
+    return lookup_join(df, codes, column, "left")
 
 
 def multi_hot(tags: Column, classes: list[str]) -> Column:
@@ -45,7 +47,7 @@ def decode_index(df: DataFrame, head: str, idx: str, label_dict: DataFrame, labe
     names = label_dict.where(F.col("head") == head).select(
         F.col("idx").alias(idx), F.col("label").alias(label)
     )
-    return df.join(names, idx, "left")
+    return lookup_join(df, names, idx, "left")
 
 
 def category_name(idx: Column) -> Column:

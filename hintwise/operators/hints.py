@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hintwise.functions.text import let
+from hintwise.operators.scaling import lookup_join
 
 
 def _ordered(hints: DataFrame) -> DataFrame:
@@ -67,7 +68,8 @@ def hints_count(hints: DataFrame) -> DataFrame:
 
 def apply_filter(results: DataFrame, hints: DataFrame) -> DataFrame:
     """Keep the rows of ``results(query_id, table, …)`` whose table is among the hints."""
-    return results.join(hints.select("query_id", "table"), ["query_id", "table"], "left_semi")
+    wanted = hints.select("query_id", "table").distinct()
+    return lookup_join(results, wanted, ["query_id", "table"]).select(*results.columns)
 
 
 def apply_boost(results: DataFrame, hints: DataFrame, relevance: str, base_weight: float = 1.0) -> DataFrame:
@@ -75,6 +77,6 @@ def apply_boost(results: DataFrame, hints: DataFrame, relevance: str, base_weigh
     boosts = hints_boost(hints, base_weight).groupBy("query_id", "table").agg(
         F.max_by("boost", "rank").alias("boost")
     )
-    return results.join(boosts, ["query_id", "table"], "left").withColumn(
+    return lookup_join(results, boosts, ["query_id", "table"], "left").withColumn(
         relevance, F.col(relevance) * F.coalesce("boost", F.lit(1.0))
-    ).drop("boost")
+    ).select(*results.columns)

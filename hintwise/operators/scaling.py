@@ -44,11 +44,12 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline_outer(F.array(struct)))
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(df: DataFrame, key: str | list[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold at least ``share`` of the rows: at most 1/share of them, by counting."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [key] if isinstance(key, str) else key
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.where(F.col("_n") >= F.greatest(total.scalar() * share, F.lit(2))).select(key)
+    return counts.where(F.col("_n") >= F.greatest(total.scalar() * share, F.lit(2))).select(*keys)
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -64,8 +65,8 @@ def small_enough(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def lookup_join(
-    big: DataFrame, dictionary: DataFrame, key: str, how: str = "inner", limit: int | None = None,
-    small: bool | None = None,
+    big: DataFrame, dictionary: DataFrame, key: str | list[str], how: str = "inner",
+    limit: int | None = None, small: bool | None = None,
 ) -> DataFrame:
     """Join ``big`` to a dictionary with one row per key, safe against hot keys.
 

@@ -244,7 +244,7 @@ def label_query_log_query(spark, sf):
 @query
 def index_labels(spark, sf):
     log = labelled_log(spark, sf)
-    codes = encoding.fit_label_dict(log, HEAD_CODES)
+    codes = written(encoding.fit_label_dict(log, HEAD_CODES), "label-dict")
     for head in HEAD_CODES:
         log = encoding.index_labels(log, head, head, codes)
     return log.select("query_id", *[f"{h}_idx" for h in HEAD_CODES])
@@ -574,6 +574,7 @@ def found_rows(spark, sf):
 @query
 def apply_hints(spark, sf):
     found, best = found_rows(spark, sf), top_hints(spark, sf)
+    best = written(best, "hints")
     kept = hints.apply_boost(hints.apply_filter(found, best), best, "relevance")
     return kept.groupBy("query_id", "table").agg(
         F.count(F.lit(1)).alias("items"), rounded(F.sum("relevance"), 4).alias("relevance")
@@ -836,7 +837,9 @@ def log_questions(spark, sf):
 
 
 def log_catalog(spark, sf):
-    return profiling.table_vocabulary(table_log(spark, sf)).withColumn("doc", F.col("table"))
+    """The tables of the log as a catalog, written out because a ranking reads it several times."""
+    names = written(profiling.table_vocabulary(table_log(spark, sf)), "log-catalog")
+    return names.withColumn("doc", F.col("table"))
 
 
 @query
