@@ -211,10 +211,10 @@ def _numbers(n: int) -> Column:
 
 def ranked_by_blocks(
     questions: DataFrame, catalog: DataFrame, query_id: str, name: str, weights: str,
-    terms: str | None = None, k: int | None = None,
+    terms: str | None = None, k: int | None = None, asked_rows: int | None = None,
 ) -> DataFrame:
     """``(query_id, rank, name, score)`` of the k best entries per question (all for None), by
-    cosine descending and then by name."""
+    cosine descending and then by name. ``asked_rows`` saves counting the questions."""
     q_type, c_type = questions.schema[query_id].dataType, catalog.schema[name].dataType
     spark = questions.sparkSession
     stored = written(catalog.select(name, *([terms] if terms else []), weights), "catalog-vectors")
@@ -234,7 +234,8 @@ def ranked_by_blocks(
     entries = _side(_pack(stored, name, terms, weights), "c")
     blocks = math.ceil(max(size.rows / PACK_ROWS, size["values"] / PACK_VALUES))
     cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, columns = grid_shape(math.ceil(questions.count() / PACK_ROWS), blocks, cells)
+    asked_rows = questions.count() if asked_rows is None else asked_rows
+    rows, columns = grid_shape(math.ceil(asked_rows / PACK_ROWS), blocks, cells)
     pairs = asked.select(
         "*", F.pmod(F.xxhash64("q_block"), F.lit(columns)).alias("_column"),
         F.explode(_numbers(rows)).alias("_row"),

@@ -113,7 +113,8 @@ def rank_by_text(
     asked = tfidf_vectors(questions, "query_id", "text", vocabulary, small)
     entries = tfidf_vectors(catalog, "table", "doc", vocabulary, small)
     ranked = ranked_by_blocks(
-        asked, entries, "query_id", "table", "weights", terms="terms", k=top_k
+        asked, entries, "query_id", "table", "weights", terms="terms", k=top_k,
+        asked_rows=questions.count(),
     )
     return ranked.where(F.col("score") >= min_score)
 

@@ -92,9 +92,10 @@ def dense_positions(keys: DataFrame, key: str, name: str = "position") -> DataFr
     """Add ``name``: the distinct keys numbered 0..n-1, without sorting them in one task.
 
     Keys are dealt to buckets by md5, numbered inside their bucket, and shifted by the
-    number of keys in earlier buckets (a table of at most ``NUMBERING_BUCKETS`` rows).
+    number of keys in earlier buckets (a table of at most ``NUMBERING_BUCKETS`` rows). The keys
+    are read twice and therefore written out first.
     """
-    bucketed = keys.select(
+    bucketed = written(keys, "keys").select(
         "*", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 3), 16, 10).cast("int").alias("_b")
     )
     offsets = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(
