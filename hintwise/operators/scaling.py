@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,11 @@ RANK_BUCKETS = 1000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder path of the cluster's shared checkpoint folder."""
+    """A fresh sub-folder path of the cluster's shared checkpoint folder. Only a local session,
+    whose one machine runs everything, may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = f"{tempfile.gettempdir()}/spark-checkpoints"
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/hintwise/{name}-{uuid.uuid4().hex}"
