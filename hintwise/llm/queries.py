@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hintwise.llm import mixing, quality_rules, secrets
+from hintwise.llm import (
+    language_id, mixing, quality_rules, secrets, simhash, substring_dedup, token_output,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,8 +37,36 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op6_token_files(spark, sf_dir):
+    return token_output.encoded_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out()
+    model = language_id.fit(docs.where(~held_out & F.col("lang").isNotNull()))
+    return language_id.predict(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
+    )
+
+
+@query
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op9_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     ratios = secrets.fit_ratio(secrets.labelled_samples(docs))
     return secrets.digest(secrets.scan(docs, ratios))
+
+
+@query
+def op10_simhash_groups(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
