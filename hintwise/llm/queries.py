@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hintwise.llm import (
-    language_id, mixing, quality_rules, secrets, simhash, substring_dedup, token_output,
+    decontamination, language_id, licenses, mixing, quality_classifier, quality_rules, secrets, simhash,
+    substring_dedup, token_output,
 )
+from hintwise.operators.scaling import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,6 +39,38 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op3_quality_classifier(spark, sf_dir):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    inputs = written(quality_classifier.statistics(table(spark, sf_dir, "documents")), "quality-inputs")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    model = quality_classifier.fit(inputs, labels)
+    return quality_classifier.predict(inputs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["line"].cast("string")))
+    return found.select(
+        "doc_id", F.size("matches").cast("bigint").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m["dice"])), F.lit(0.0)), 6).alias("best_dice"),
+        F.array_join(spans, ",").alias("passages"),
+    )
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op6_token_files(spark, sf_dir):
     return token_output.encoded_documents(table(spark, sf_dir, "documents"))
