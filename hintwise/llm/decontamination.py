@@ -93,14 +93,19 @@ def candidates(index: DataFrame, looked_up: DataFrame, slack: int = 0) -> DataFr
     return starts.where("t2 IS NULL").select(*columns).unionByName(met.select(*columns)).distinct()
 
 
-def _with_candidates(docs: DataFrame, items: DataFrame, length: int, slack: int) -> DataFrame:
-    """doc_id, words and the candidates (c) of every row; rows without any have null."""
+def _found(docs: DataFrame, items: DataFrame, length: int, slack: int) -> DataFrame:
+    """(_k1, _k2, c): the candidates of the documents that have any."""
     looked_up = written(anchors(written(windows(items, length), "test-windows"), docs), "test-anchors")
     terms = written(looked_up.select(F.explode(F.array("t1", "t2")).alias("term")).where(
         "term IS NOT NULL").distinct(), "anchor-terms")
     index = written(postings(docs, terms), "postings")
-    found = written(candidates(index, looked_up, slack).groupBy("_k1", "_k2").agg(F.collect_list(F.struct(
+    return written(candidates(index, looked_up, slack).groupBy("_k1", "_k2").agg(F.collect_list(F.struct(
         "start", "length", "phrase", "items")).cast(CANDIDATES).alias("c")), "candidates")
+
+
+def _with_candidates(docs: DataFrame, items: DataFrame, length: int, slack: int) -> DataFrame:
+    """doc_id, words and the candidates (c) of every row; rows without any have null."""
+    found = _found(docs, items, length, slack)
     rows = keyed(docs.select("doc_id", "text"))
     return rows.join(F.broadcast(found) if small_enough(found) else found, ["_k1", "_k2"], "left").select(
         F.nullif("_k1", F.lit(ABSENT)).alias("doc_id"), plain_words(F.col("text")).alias("words"), "c")
@@ -150,3 +155,13 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS)
     )))
     return rows.select("doc_id", found.alias("_r")).select(
         "doc_id", F.col("_r.n_words").cast("bigint").alias("n_words"), F.col("_r.n_hit").cast("bigint").alias("n_hit"), "_r.items")
+
+
+def clean(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``docs``, with their columns, in which no benchmark window occurs."""
+    found = _found(docs, items, length, 0)
+    rows = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"))
+    joined = rows.join(F.broadcast(found) if small_enough(found) else found, ["_k1", "_k2"], "left")
+    hit = F.when(F.col("c").isNull(), False).otherwise(let(plain_words(F.col("text")), lambda w: F.exists(
+        "c", lambda x: _at(w, x) == x["phrase"])))
+    return joined.where(~hit).select("_row.*")

@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDER = 4
@@ -227,15 +227,7 @@ def fit(
     return model
 
 
-def predict(docs: DataFrame, model: Model, more: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *more, lang_pred, score, cross_entropy, rejected), one row per input row.
-
-    ``und`` with score 0 and rejected stand where a text is null or has no letter, and everywhere
-    if the model learned no language. The score is the best language's share of the likelihoods,
-    at no more than ``SURE_AFTER`` characters. Ties go to the first language by name. Long texts are
-    scored whole. Repeated rows give repeated results; an empty table gives none.
-    """
-    spark = docs.sparkSession
+def _scorer(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
@@ -261,9 +253,28 @@ def predict(docs: DataFrame, model: Model, more: tuple[str, ...] = ()) -> DataFr
                 rejected[rows] = least > limits[at] + SLACK + SHORT_SLACK / np.sqrt(n)
             yield pd.DataFrame({"lang_pred": names[best], "score": sure, "cross_entropy": entropy, "rejected": rejected})
 
+    return score
+
+
+def predict(docs: DataFrame, model: Model, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *more, lang_pred, score, cross_entropy, rejected), one row per input row.
+
+    ``und`` with score 0 and rejected stand where a text is null or has no letter, and everywhere
+    if the model learned no language. The score is the best language's share of the likelihoods,
+    at no more than ``SURE_AFTER`` characters. Ties go to the first language by name. Long texts are
+    scored whole. Repeated rows give repeated results; an empty table gives none.
+    """
+    score = _scorer(docs.sparkSession, model)
     return docs.select("doc_id", *more, score("text").alias("_r")).select(
-        "doc_id", *more, "_r.lang_pred", "_r.score", F.nanvl("_r.cross_entropy", F.lit(None).cast("double")).alias("cross_entropy"),
-        "_r.rejected")
+        "doc_id", *more, "_r.lang_pred", "_r.score",
+        F.nanvl("_r.cross_entropy", F.lit(None).cast("double")).alias("cross_entropy"), "_r.rejected")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose language is identified and not rejected."""
+    score = _scorer(docs.sparkSession, model)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), score("text").alias("_r"))
+    return rows.where("NOT _r.rejected").select("_row.*")
 
 
 def held_out(modulus: int = 4, remainder: int = 2):
