@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PACK_ROWS = 1024
 PACK_VALUES = 1_000_000
 TERM_CHUNK = 2048
+CELLS_PER_TASK = 4
 # scores are compared at this many digits, so that summation order cannot decide a rank
 SCORE_DIGITS = 9
 
@@ -157,6 +159,7 @@ def _score_blocks(pairs: DataFrame, q_type: T.DataType, c_type: T.DataType, k: i
     schema = T.StructType([
         T.StructField("q", q_type), T.StructField("c", c_type),
         T.StructField("score", T.DoubleType()), T.StructField("place", T.IntegerType()),
+        T.StructField("block", T.LongType()), T.StructField("at", T.IntegerType()),
     ])
 
     def one(row: dict, name: str) -> np.ndarray:
@@ -183,8 +186,10 @@ def _score_blocks(pairs: DataFrame, q_type: T.DataType, c_type: T.DataType, k: i
                         row["c_ids"].values.take(pa.array(c_at)),
                         pa.array(scores[q_at, c_at]),
                         pa.array(place.astype(np.int32)),
+                        pa.array(np.full(len(q_at), row["q_block"].as_py(), np.int64)),
+                        pa.array(q_at.astype(np.int32)),
                     ],
-                    names=["q", "c", "score", "place"],
+                    names=["q", "c", "score", "place", "block", "at"],
                 )
 
     return pairs.mapInArrow(score, schema)
@@ -209,31 +214,53 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
 
+@dataclass(frozen=True)
+class PackedCatalog:
+    """A catalog as blocks in the shared folder, with its measured size: packed once, ranked often."""
+
+    blocks: DataFrame
+    name: str
+    name_type: T.DataType
+    rows: int
+    values: int
+    single: bool
+    sparse: bool
+
+
+def pack_catalog(catalog: DataFrame, name: str, weights: str, terms: str | None = None) -> PackedCatalog:
+    """Pack ``catalog`` for :func:`ranked_by_blocks`. A catalog measured to fit one block is one, so
+    that one task may hold it and every executor a copy."""
+    stored = written(catalog.select(name, *([terms] if terms else []), weights), "catalog-vectors")
+    size = stored.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(weights)), F.lit(0)).alias("values")
+    ).first()
+    single = size.rows <= PACK_ROWS and size["values"] <= PACK_VALUES
+    blocks = written(_side(_pack(stored.repartition(1) if single else stored, name, terms, weights), "c"), "catalog-blocks")
+    return PackedCatalog(
+        blocks, name, catalog.schema[name].dataType, size.rows, size["values"], single, terms is not None)
+
+
 def ranked_by_blocks(
-    questions: DataFrame, catalog: DataFrame, query_id: str, name: str, weights: str,
+    questions: DataFrame, catalog: DataFrame | PackedCatalog, query_id: str, name: str, weights: str,
     terms: str | None = None, k: int | None = None, asked_rows: int | None = None,
 ) -> DataFrame:
     """``(query_id, rank, name, score)`` of the k best entries per question (all for None), by
     cosine descending and then by name. ``asked_rows`` saves counting the questions."""
-    q_type, c_type = questions.schema[query_id].dataType, catalog.schema[name].dataType
+    packed = catalog if isinstance(catalog, PackedCatalog) else pack_catalog(catalog, name, weights, terms)
+    q_type, c_type = questions.schema[query_id].dataType, packed.name_type
     spark = questions.sparkSession
-    stored = written(catalog.select(name, *([terms] if terms else []), weights), "catalog-vectors")
-    size = stored.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(weights)), F.lit(0)).alias("values")
-    ).first()
+    entries = packed.blocks
     asked = _side(_pack(questions, query_id, terms, weights), "q")
-    if size.rows <= PACK_ROWS and size["values"] <= PACK_VALUES:
-        # measured to fit one block, so one task may hold it and every executor a copy
-        entries = _side(_pack(stored.repartition(1), name, terms, weights), "c")
+    if packed.single:
         block = entries.select(F.struct(*entries.columns).alias("_c")).scalar()
         pairs = asked.withColumn("_c", block).where("_c IS NOT NULL").select(*asked.columns, "_c.*")
         best = _score_blocks(pairs, q_type, c_type, k, terms is not None)
         return best.select(
             F.col("q").alias(query_id), F.col("place").alias("rank"), F.col("c").alias(name), "score"
         )
-    entries = _side(_pack(stored, name, terms, weights), "c")
-    blocks = math.ceil(max(size.rows / PACK_ROWS, size["values"] / PACK_VALUES))
-    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = math.ceil(max(packed.rows / PACK_ROWS, packed.values / PACK_VALUES))
+    # several cells per task, so that dealing cells to tasks by hash evens out
+    cells = CELLS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked_rows = questions.count() if asked_rows is None else asked_rows
     rows, columns = grid_shape(math.ceil(asked_rows / PACK_ROWS), blocks, cells)
     pairs = asked.select(
@@ -247,7 +274,8 @@ def ranked_by_blocks(
         ["_row", "_column"],
     ).drop("_row", "_column")
     best = _score_blocks(pairs, q_type, c_type, k, terms is not None)
-    order = W.partitionBy("q").orderBy(F.desc("score"), "c")
+    # a question is a row of a block, as two rows may have the same id
+    order = W.partitionBy("block", "at").orderBy(F.desc("score"), "c")
     ranked = best.withColumn("rank", F.row_number().over(order))
     if k is not None:
         ranked = ranked.where(F.col("rank") <= k)

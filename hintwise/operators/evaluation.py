@@ -87,26 +87,27 @@ def _class_scores(df: DataFrame, predicted: str, truth: str) -> DataFrame:
 
 
 def classification_report(df: DataFrame, predicted: str, truth: str) -> DataFrame:
-    """``(class, precision, recall, f1, support)`` per class, plus accuracy (under f1), macro
-    and weighted averages. The averages are further groups of the same small table."""
+    """``(kind, class, precision, recall, f1, support)``: one line per class (kind ``class``), plus
+    accuracy (under f1), macro and weighted averages (kind ``summary``), which are further groups of
+    the same small table. A class may have the name of a summary."""
     scores = _class_scores(df, predicted, truth)
     lines = F.explode_outer(F.array(
-        F.struct(F.col("class").alias("name"), F.lit(1.0).alias("w")),
-        F.struct(F.lit("accuracy").alias("name"), F.lit(0.0).alias("w")),
-        F.struct(F.lit("macro avg").alias("name"), F.lit(1.0).alias("w")),
-        F.struct(F.lit("weighted avg").alias("name"), F.col("support").cast("double").alias("w")),
+        F.struct(F.lit("class").alias("kind"), F.col("class").alias("name"), F.lit(1.0).alias("w")),
+        F.struct(F.lit("summary").alias("kind"), F.lit("accuracy").alias("name"), F.lit(0.0).alias("w")),
+        F.struct(F.lit("summary").alias("kind"), F.lit("macro avg").alias("name"), F.lit(1.0).alias("w")),
+        F.struct(F.lit("summary").alias("kind"), F.lit("weighted avg").alias("name"), F.col("support").cast("double").alias("w")),
     ))
     spread = scores.select("*", lines.alias("line"))
 
     def mean(column: str) -> Column:
         return F.coalesce(F.try_divide(F.sum(F.col(column) * F.col("line.w")), F.sum("line.w")))
 
-    is_accuracy = F.col("class") == "accuracy"
-    return spread.groupBy(F.col("line.name").alias("class")).agg(
+    is_accuracy = (F.col("kind") == "summary") & (F.col("class") == "accuracy")
+    return spread.groupBy(F.col("line.kind").alias("kind"), F.col("line.name").alias("class")).agg(
         mean("precision").alias("precision"), mean("recall").alias("recall"),
         mean("f1").alias("f1"), F.sum("support").alias("support"), F.sum("hits").alias("hits"),
     ).select(
-        "class", "precision", "recall",
+        "kind", "class", "precision", "recall",
         F.when(is_accuracy, F.try_divide(F.col("hits"), F.col("support"))).otherwise(F.col("f1")).alias("f1"),
         "support",
     )

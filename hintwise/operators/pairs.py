@@ -131,7 +131,8 @@ def table_negatives(
     queries: DataFrame, vocabulary: DataFrame, key: str, n: int = NUM_NEGATIVES,
     seed: int = SEED, limit: int | None = None,
 ) -> DataFrame:
-    """Add ``negatives``: up to ``n`` vocabulary tables that are not among ``tables``.
+    """Add ``negatives``: up to ``n`` vocabulary tables that are not among ``tables``; none where
+    ``tables`` is null. Rows with one key have the same draws, and stay rows of their own.
 
     Each query draws positions in the vocabulary without its own tables, so the work per
     query is n draws and not a pass over the vocabulary. A vocabulary measured to be small
@@ -140,40 +141,44 @@ def table_negatives(
     """
     positions = written(dense_positions(vocabulary, "table"), "vocabulary")
     total = positions.agg(F.count(F.lit(1)).alias("n")).scalar()
+    free = F.when(F.col("tables").isNull(), F.lit(0).cast("bigint")).otherwise(total - F.size("_taken"))
     if small_enough(positions, IN_ROW_BYTES if limit is None else limit):
         entries = F.sort_array(F.collect_list(F.struct("position", "table")))
         names = positions.agg(F.transform(entries, lambda e: e["table"]).alias("names")).scalar()
         placed = queries.withColumn("_names", names).withColumn("_taken", F.sort_array(F.transform(
             F.array_intersect("tables", "_names"), lambda t: F.array_position("_names", t) - 1
-        ))).withColumn("_free", total - F.size("_taken"))
+        ))).withColumn("_free", free)
         drawn = placed.withColumn("_draws", _draws(F.col(key), F.col("_free"), n, seed))
         picked = let(F.col("_taken"), lambda taken: F.transform("_draws", lambda d: F.get(
             "_names", _skip_positions(d, taken).cast("int")
         )))
-        return drawn.withColumn("negatives", picked).drop("_names", "_taken", "_free", "_draws")
+        return drawn.withColumn("negatives", F.coalesce(picked, F.array().cast("array<string>"))).drop(
+            "_names", "_taken", "_free", "_draws")
+    # numbered and written once, so that a row keeps its number whatever is computed again
+    rows = written(queries.withColumn("_row", F.monotonically_increasing_id()), "pair-queries")
     own = lookup_join(
-        queries.select(key, F.explode_outer(F.array_distinct("tables")).alias("table")).where(
+        rows.select("_row", F.explode_outer(F.array_distinct("tables")).alias("table")).where(
             "table IS NOT NULL"),
         positions, "table", limit=limit,
-    ).groupBy(key).agg(F.sort_array(F.collect_list("position")).alias("_taken"))
+    ).groupBy("_row").agg(F.sort_array(F.collect_list("position")).alias("_taken"))
     drawn = (
-        queries.join(own, key, "left")
+        rows.join(own, "_row", "left")
         .withColumn("_taken", F.coalesce("_taken", F.array().cast("array<bigint>")))
-        .withColumn("_free", total - F.size("_taken"))
+        .withColumn("_free", free)
         .withColumn("_draws", _draws(F.col(key), F.col("_free"), n, seed))
     )
-    picks = drawn.select(key, "_taken", F.posexplode_outer("_draws").alias("_at", "_draw")).where(
+    picks = drawn.select("_row", "_taken", F.posexplode_outer("_draws").alias("_at", "_draw")).where(
         "_draw IS NOT NULL"
     ).select(
-        key, "_at", _skip_positions(F.col("_draw"), F.col("_taken")).alias("position")
+        "_row", "_at", _skip_positions(F.col("_draw"), F.col("_taken")).alias("position")
     )
-    named = picks.join(positions, "position").groupBy(key).agg(
+    named = picks.join(positions, "position").groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("_at", "table"))).alias("_picked")
     )
     picked = F.transform("_picked", lambda p: p["table"])
-    return queries.join(named, key, "left").withColumn(
+    return rows.join(named, "_row", "left").withColumn(
         "negatives", F.coalesce(picked, F.array().cast("array<string>"))
-    ).drop("_picked")
+    ).drop("_picked", "_row")
 
 
 def first_positive(tables: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hintwise.functions.text import word_tokens
-from hintwise.operators.blocks import ranked_by_blocks
+from hintwise.operators.blocks import PackedCatalog, pack_catalog, ranked_by_blocks
 from hintwise.operators.scaling import dense_positions, lookup_join, small_enough, written
 from hintwise.schemas import HINTS_TOP_K
 
@@ -29,10 +30,12 @@ def rank_all(questions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def rank_top_k(
-    questions: DataFrame, catalog: DataFrame, top_k: int = HINTS_TOP_K, min_score: float = 0.0
+    questions: DataFrame, catalog: DataFrame | PackedCatalog, top_k: int = HINTS_TOP_K,
+    min_score: float = 0.0,
 ) -> DataFrame:
     """The ``top_k`` best entries per question, of which those below ``min_score`` are then
-    dropped. ``questions(query_id, vec)``, ``catalog(table, vec)``."""
+    dropped. ``questions(query_id, vec)``, ``catalog(table, vec)`` or the result of
+    ``pack_catalog(catalog, "table", "vec")``, which many rankings can share."""
     ranked = ranked_by_blocks(questions, catalog, "query_id", "table", "vec", k=top_k)
     return ranked.where(F.col("score") >= min_score)
 
@@ -40,14 +43,11 @@ def rank_top_k(
 def rank_columns(
     questions: DataFrame, columns: DataFrame, top_k: int = HINTS_TOP_K, min_score: float = 0.0
 ) -> DataFrame:
-    """:func:`rank_top_k` over ``columns(table, column, vec)``; entries read ``table.column``."""
-    entries = columns.select(F.concat_ws(".", "table", "column").alias("table"), "vec")
+    """:func:`rank_top_k` over ``columns(table, column, vec)``. An entry is the pair of names, so
+    either may hold dots; ties go by table, then column."""
+    entries = columns.select(F.struct("table", "column").alias("table"), "vec")
     ranked = rank_top_k(questions, entries, top_k, min_score)
-    return ranked.select(
-        "query_id", "rank",
-        F.split_part("table", F.lit("."), F.lit(1)).alias("table"),
-        F.split_part("table", F.lit("."), F.lit(2)).alias("column"), "score",
-    )
+    return ranked.select("query_id", "rank", "table.table", "table.column", "score")
 
 
 # --- text ------------------------------------------------------------------------------------
@@ -87,9 +87,12 @@ def tfidf_vectors(
     """``(key, terms, weights)`` with one row per text; words outside the vocabulary are left
     out, as with a vectorizer fitted on the catalog. Texts without a known word keep an empty
     vector."""
+    return _weighted_vectors(term_counts(texts, key, text), key, vocabulary, small)
+
+
+def _weighted_vectors(counts: DataFrame, key: str, vocabulary: DataFrame, small: bool | None) -> DataFrame:
     weighted = lookup_join(
-        term_counts(texts, key, text), vocabulary.select("token", "term", "idf"), "token", "left",
-        small=small,
+        counts, vocabulary.select("token", "term", "idf"), "token", "left", small=small
     )
     entry = F.when(
         F.col("term").isNotNull(), F.struct("term", (F.col("n") * F.col("idf")).alias("weight"))
@@ -101,20 +104,42 @@ def tfidf_vectors(
     )
 
 
+@dataclass(frozen=True)
+class TextCatalog:
+    """A catalog that is ready to be ranked by text: its vocabulary, whether that was measured to fit
+    every executor, and its packed vectors."""
+
+    vocabulary: DataFrame
+    small: bool
+    packed: PackedCatalog
+
+
+def fit_catalog(catalog: DataFrame, vocabulary: DataFrame | None = None) -> TextCatalog:
+    """Weight and pack ``catalog(table, doc)`` once, for any number of rankings. Its words are
+    counted once, for the vocabulary and for the vectors alike."""
+    counts = written(term_counts(catalog, "table", "doc"), "catalog-terms")
+    if vocabulary is None:
+        total = catalog.agg(F.count(F.lit(1)).alias("n")).scalar()
+        df = counts.where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn(
+            "idf", F.log((total + 1) / (F.col("df") + 1)) + 1)
+        vocabulary = written(dense_positions(df, "token", "term"), "vocabulary")
+    small = small_enough(vocabulary)
+    vectors = _weighted_vectors(counts, "table", vocabulary, small)
+    return TextCatalog(vocabulary, small, pack_catalog(vectors, "table", "weights", "terms"))
+
+
 def rank_by_text(
-    questions: DataFrame, catalog: DataFrame, top_k: int = HINTS_TOP_K, min_score: float = 0.0,
+    questions: DataFrame, catalog: DataFrame | TextCatalog, top_k: int = HINTS_TOP_K, min_score: float = 0.0,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Rank ``catalog(table, doc)`` for ``questions(query_id, text)`` by tf-idf cosine. The
-    vocabulary is that of the catalog and can be fitted beforehand."""
-    if vocabulary is None:
-        vocabulary = fit_vocabulary(catalog, "table", "doc")
-    small = small_enough(vocabulary)
-    asked = tfidf_vectors(questions, "query_id", "text", vocabulary, small)
-    entries = tfidf_vectors(catalog, "table", "doc", vocabulary, small)
+    """Rank ``catalog(table, doc)``, or what :func:`fit_catalog` made of it, for
+    ``questions(query_id, text)`` by tf-idf cosine. The vocabulary is the catalog's own, unless
+    another is given."""
+    ready = catalog if isinstance(catalog, TextCatalog) else fit_catalog(catalog, vocabulary)
+    asked = tfidf_vectors(questions, "query_id", "text", ready.vocabulary, ready.small)
     ranked = ranked_by_blocks(
-        asked, entries, "query_id", "table", "weights", terms="terms", k=top_k,
-        asked_rows=questions.count(),
+        asked, ready.packed, "query_id", "table", "weights", terms="terms", k=top_k,
+        asked_rows=1 if ready.packed.single else questions.count(),
     )
     return ranked.where(F.col("score") >= min_score)
 

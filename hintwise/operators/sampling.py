@@ -10,26 +10,16 @@ from pyspark.sql import functions as F
 from hintwise.functions.hashing import md5_number, seeded_md5
 from hintwise.schemas import SEED, SPLIT_SHARES
 
-# up to this many rows a top-n (one heap per task) is the cheaper plan
-TOP_N_LIMIT = 200_000
 HASH_CELLS = 65_536
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     """Exactly ``n`` rows without replacement, or all rows of a smaller frame.
 
-    Small samples are a distributed top-n. Large ones find the hash cell in which the n-th row
-    falls from a histogram of at most 65,536 counts, keep the cells below it whole, and order
-    only the rows of that one cell.
+    A histogram of at most 65,536 counts shows the hash cell in which the n-th row falls. The cells
+    below it are kept whole, and only the rows of that one cell are ordered.
     """
-    digest = seeded_md5(seed, F.col(key))
-    if n <= TOP_N_LIMIT:
-        return df.withColumn("_h", digest).orderBy("_h", key).limit(n).drop("_h")
-    return _sample_by_cells(df, key, n, digest)
-
-
-def _sample_by_cells(df: DataFrame, key: str, n: int, digest: Column) -> DataFrame:
-    hashed = df.withColumn("_h", digest).withColumn(
+    hashed = df.withColumn("_h", seeded_md5(seed, F.col(key))).withColumn(
         "_cell", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
     )
     counts = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))

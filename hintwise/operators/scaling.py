@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,10 +32,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/hintwise/{name}-{uuid.uuid4().hex}"
 
 
+_folders: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, the tables that :func:`written` wrote since entering: for streams and
+    long sessions, around work whose results have been stored elsewhere."""
+    _folders.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for folder in _folders.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives the loss
     of executors, and lets several consumers share one computation."""
     path = shared_folder(df.sparkSession, name)
+    for folders in _folders[-1:]:
+        folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -85,11 +108,17 @@ def lookup_join(
         return big.join(F.broadcast(dictionary), key, how)
     big = written(big, "lookup-side")
     hot = F.broadcast(written(hot_keys(big, key), "hot-keys"))
+    # a null key finds nothing; such rows stay where they are, and never meet in one task
+    keys = [key] if isinstance(key, str) else key
+    nowhere = reduce(or_, [F.col(k).isNull() for k in keys])
+    unmatched = big.where(nowhere)
+    big = big.where(~nowhere)
     from_hot = big.join(hot, key, "left_semi").join(
         F.broadcast(dictionary.join(hot, key, "left_semi")), key, how
     )
     from_cold = big.join(hot, key, "left_anti").join(dictionary, key, how)
-    return from_hot.unionByName(from_cold)
+    found = from_hot.unionByName(from_cold)
+    return found if how == "inner" else found.unionByName(unmatched, allowMissingColumns=True)
 
 
 def dense_positions(keys: DataFrame, key: str, name: str = "position") -> DataFrame:

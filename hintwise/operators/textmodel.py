@@ -49,7 +49,8 @@ class Head:
 @dataclass(frozen=True)
 class TextModel:
     """``words(token, weights)`` and the one-row ``priors(weights)``; weights are in the order
-    of the heads and of their classes. ``small`` tells whether the words were measured to fit
+    of the heads and of their classes. A class without a training text keeps its place, with a
+    prior of ``NEVER``, so it is never predicted. ``small`` tells whether the words were measured to fit
     every executor."""
 
     words: DataFrame
@@ -58,6 +59,8 @@ class TextModel:
     small: bool | None = None
 
 
+# prior of a single-label class that no training text has
+NEVER = -1e6
 # stands for "any class" in the counts: every word of every text counts once under it
 ANY = -1
 # stands for "any text" among the words, and counts every text once; no word is empty
@@ -108,7 +111,7 @@ def fit_text_labels(train: DataFrame, text: str, heads: list[Head]) -> TextModel
     texts = per_class(counted.where(is_text).select("class", "n"))
     priors = texts.select(over_classes(F.col("t.of"), lambda n, c: F.when(
         F.get(multi, c), F.log((n + 1) / (F.col("t.any") - n + 1))
-    ).otherwise(F.log((n + 1) / (F.col("t.any") + F.get(sizes, c))))))
+    ).when(n == 0, F.lit(NEVER)).otherwise(F.log((n + 1) / (F.col("t.any") + F.get(sizes, c))))))
 
     word_counts = counted.where(~is_text)
     totals = per_class(word_counts.groupBy("class").agg(F.sum("n").alias("n")))

@@ -159,8 +159,8 @@ SELECT query_id, instruction, {joined('keywords')} AS keywords, complexity, cate
   {joined('subcategories')} AS subcategories, table_count FROM labelled""")
 ORACLES["validate_requests"] = with_([RAW, LOG], f"""
 SELECT query_id, instruction AS query,
-  CASE WHEN trim(instruction, {BLANKS}) = '' THEN 'Query cannot be empty'
-       WHEN len({_names('sql')}) = 0 THEN 'Tables list cannot be empty' END AS reason FROM log""")
+  CASE WHEN trim(instruction, {BLANKS}) = '' THEN 'blank_query'
+       WHEN len({_names('sql')}) = 0 THEN 'no_tables' END AS reason FROM log""")
 
 
 def bucket(key: str) -> str:
@@ -172,8 +172,7 @@ def split(key: str) -> str:
 
 
 ORACLES["write_labelled"] = with_(LOG_LABELLED, f"""
-SELECT * FROM (SELECT query_id, complexity, {joined('keywords')} AS keywords, {split('query_id')} AS split
-FROM labelled) WHERE split = 'val'""")
+SELECT query_id, complexity, {joined('keywords')} AS keywords, {split('query_id')} AS split FROM labelled""")
 ORACLES["split_train_val_test"] = f"SELECT o_orderkey AS query_id, {split('o_orderkey')} AS split FROM orders"
 ORACLES["split_report"] = f"""
 SELECT split, count(*) AS rows, {r('count(*) / sum(count(*)) OVER ()')} AS share
@@ -304,18 +303,18 @@ FROM lineitem GROUP BY l_orderkey"""
 _part_doc = "replace(p_name, ' ', '_') || '_' || p_partkey || ' (id, size, ' || lower(p_type) || ')'"
 ORACLES["catalog_name"] = f"SELECT doc, split_part(doc, ' ', 1) AS name FROM (SELECT {_part_doc} AS doc FROM part)"
 ORACLES["expand_catalog"] = f"""
-WITH p AS (SELECT unnest(['', 'archive_', 'backup_', 'temp_', 'staging_', 'legacy_', 'v2_', 'test_', 'dev_']) AS prefix)
+WITH p AS (SELECT '' AS prefix UNION ALL SELECT 'region' || i || '_' FROM range(1, 6) t(i))
 SELECT prefix || {_part_doc} AS doc FROM part, p
-UNION ALL SELECT format('misc_table_{{:03d}} (id, field1, field2, field3)', i) FROM range(272) t(i)"""
+UNION ALL SELECT format('sheet_{{:05d}} (row, column, value)', i) FROM range((SELECT count(*) FROM supplier)) t(i)"""
 
 # --- negatives ---------------------------------------------------------------------------------
 
 
-def negatives(queries: str, key: str = "query_id") -> list[str]:
+def negatives(queries: str, key: str = "query_id", vocabulary: str | None = None) -> list[str]:
     """Vocabulary positions, five draws without replacement, and the table of each draw."""
     ctes = [
         f"vocab AS (SELECT t, row_number() OVER (ORDER BY substr(md5(t), 1, 3), t) - 1 AS position "
-        f"FROM (SELECT DISTINCT unnest(tables) AS t FROM {queries}))",
+        f"FROM ({vocabulary or f'SELECT DISTINCT unnest(tables) AS t FROM {queries}'}))",
         f"d0 AS (SELECT {key}, tables, (SELECT count(*) FROM vocab) - len(list_distinct(tables)) AS m, "
         f"[]::BIGINT[] AS draws FROM {queries})",
     ]
@@ -338,6 +337,18 @@ def negatives(queries: str, key: str = "query_id") -> list[str]:
 ORACLES["table_negatives"] = with_(
     [*TABLE_LOG, *negatives("table_log")], "SELECT query_id, t AS negative FROM negative"
 )
+PART_LISTS = """parts AS (
+  SELECT 'catalog.part_' || lpad(p_partkey::VARCHAR, 9, '0') || '_' || replace(p_name, ' ', '_') AS t, p_partkey FROM part),
+part_lists AS (
+  SELECT c_custkey AS query_id, CASE WHEN c_custkey % 10 <> 0 THEN list_sort(list(DISTINCT t)) END AS tables
+  FROM (SELECT c_custkey, unnest([c_custkey, c_custkey * 7 + 3, c_custkey * 31 + 11]) % (SELECT count(*) FROM part) + 1 AS p_partkey
+        FROM customer) JOIN parts USING (p_partkey) GROUP BY c_custkey),
+listed_parts AS (SELECT * FROM part_lists WHERE tables IS NOT NULL)"""
+_large = [PART_LISTS, *negatives("listed_parts", vocabulary="SELECT DISTINCT t FROM parts")]
+ORACLES["table_negatives_large"] = with_(_large, "SELECT query_id, t AS negative FROM negative")
+ORACLES["ranking_triplets_large"] = with_(_large, """
+SELECT l.query_id, list_min(any_value(tables)) AS positive, coalesce(string_agg(t, ',' ORDER BY turn), '') AS negatives
+FROM part_lists l LEFT JOIN negative n ON n.query_id = l.query_id GROUP BY l.query_id""")
 ORACLES["first_positive"] = with_(TABLE_LOG, "SELECT query_id, list_min(tables) AS positive FROM table_log")
 ORACLES["ranking_triplets"] = with_([*TABLE_LOG, *negatives("table_log")], """
 SELECT l.query_id, any_value(instruction) AS instruction, any_value(list_min(tables)) AS positive,
@@ -371,10 +382,10 @@ ORACLES["rank_all"] = with_(RANKED, f'SELECT query_id, rank, "table", {_score} A
 ORACLES["rank_columns"] = f"""
 WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS vec, label FROM embeddings),
 dims AS (SELECT query_id, label, unnest(range(64)) AS i, unnest(vec) AS x FROM q),
-cat AS (SELECT 'label_' || label AS "table", 'c' || c AS "column", list(x ORDER BY i) AS vec
+cat AS (SELECT 'mart.label_' || label AS "table", 'c.' || c AS "column", list(x ORDER BY i) AS vec
   FROM (SELECT label, query_id % 4 AS c, i, avg(x) AS x FROM dims GROUP BY ALL) GROUP BY label, c),
 s AS (SELECT query_id, "table", "column", {cosine('q.vec', 'c.vec')} AS score FROM q, cat c),
-k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "table" || '.' || "column"))::INT AS rank FROM s)
+k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "table", "column"))::INT AS rank FROM s)
 SELECT query_id, rank, "table", "column", {_score} AS score FROM k WHERE rank <= 5 AND score >= 0"""
 
 ORACLES["hint_names"] = with_(RANKED, """
@@ -384,17 +395,18 @@ ORACLES["hints_top"] = with_(RANKED, f'SELECT query_id, rank, "table", {_score}
 ORACLES["hints_above"] = with_(RANKED, f'SELECT query_id, rank, "table", {_score} AS score FROM hints WHERE score >= 0.2')
 BOOST = """CASE WHEN max(score) OVER (PARTITION BY query_id) > 0
   THEN 1.0::DOUBLE + score / max(score) OVER (PARTITION BY query_id) ELSE 1.0::DOUBLE END"""
-ORACLES["hints_boost"] = with_(RANKED, f'SELECT query_id, "table", {r(BOOST)} AS boost FROM ranked')
+ORACLES["hints_boost"] = with_(RANKED, f'SELECT query_id, "table", {r(BOOST)} AS boost FROM (SELECT * FROM ranked WHERE rank <= 5 AND score >= 0)')
 ORACLES["hints_filter_record"] = with_(RANKED, """
 SELECT query_id, 'question ' || query_id AS query, min_by("table", rank) AS first_table, count(*) AS n
 FROM hints GROUP BY query_id""")
 ORACLES["hints_count"] = with_(RANKED, "SELECT query_id, count(*) AS n FROM hints GROUP BY query_id")
 ORACLES["apply_hints"] = with_([*RANKED, f"""
 boosts AS (SELECT query_id, "table", {BOOST} AS boost FROM hints),
-found AS (SELECT l_partkey AS query_id, 'label_' || ((label + l_linenumber) % 10) AS "table", l_quantity AS relevance
-          FROM lineitem JOIN embeddings ON vec_id = l_partkey)"""], f"""
-SELECT query_id, "table", count(*) AS items, {r('sum(relevance * boost)', 4)} AS relevance
-FROM found JOIN boosts USING (query_id, "table") GROUP BY query_id, "table" """)
+found AS (SELECT l_partkey % (SELECT count(*) FROM embeddings) AS query_id,
+    'label_' || ((l_suppkey + l_linenumber) % 10) AS "table", l_quantity AS relevance FROM lineitem)"""], f"""
+SELECT query_id, "table", count(*) AS items, {r('sum(relevance * coalesce(boost, 1))', 4)} AS relevance,
+  max((boost IS NOT NULL)::INT) AS hinted
+FROM found LEFT JOIN boosts USING (query_id, "table") GROUP BY query_id, "table" """)
 
 # --- text ranking ------------------------------------------------------------------------------
 
@@ -426,6 +438,20 @@ bench AS (SELECT item_id AS query_id, text FROM benchmark)"""
 ORACLES["rank_by_text"] = with_(
     [DOCS, *text_ranking("bench", "docs", 5)], f'SELECT query_id, rank, "table", {_score} AS score FROM text_hints'
 )
+ORACLES["rank_by_text_large"] = with_([f"""grown AS (
+  SELECT prefix || {_part_doc} AS doc
+  FROM part, (SELECT '' AS prefix UNION ALL SELECT 'region' || i || '_' FROM range(1, 6) t(i))),
+named AS (SELECT split_part(doc, ' ', 1) AS "table", doc FROM grown),
+few AS (SELECT p_partkey AS query_id, p_name || ' ' || p_type AS text FROM part WHERE p_size >= 45)""",
+    *text_ranking("few", "named", 5)], f'SELECT query_id, rank, "table", {_score} AS score FROM text_hints')
+ORACLES["rank_top_k_large"] = f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+c AS (SELECT 'part_' || p_partkey AS "table", list_append(v, p_size / 50.0::DOUBLE) AS vec
+      FROM part JOIN e ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
+q AS (SELECT vec_id AS query_id, list_append(v, label / 10.0::DOUBLE) AS vec FROM e),
+s AS (SELECT query_id, "table", {cosine('q.vec', 'c.vec')} AS score FROM q, c),
+k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "table"))::INT AS rank FROM s)
+SELECT query_id, rank, "table", {_score} AS score FROM k WHERE rank <= 5 AND score >= 0"""
 ORACLES["token_document_frequency"] = f"""
 WITH t AS (SELECT DISTINCT doc_id, unnest({words('text')}) AS token FROM documents)
 SELECT token, count(*) AS df, {r('ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1')} AS idf FROM t GROUP BY token"""
@@ -520,8 +546,8 @@ ORACLES["fit_text_labels"] = with_([DOC_TRAIN], "SELECT tok AS token, " + ", ".j
     f"{r(c)} AS {c}" for c in ("q0", "q1", "t0", "t1")
 ) + " FROM wts")
 ORACLES["predict_text_labels"] = with_([DOC_TRAIN, f"""
-pr AS (SELECT ln((count(*) FILTER (quality = 0) + 1) / (count(*) + 2)) AS q0, ln((count(*) FILTER (quality = 1) + 1) / (count(*) + 2)) AS q1,
-         ln((count(*) FILTER (toxic = 0) + 1) / (count(*) + 2)) AS t0, ln((count(*) FILTER (toxic = 1) + 1) / (count(*) + 2)) AS t1 FROM train),
+pr AS (SELECT CASE WHEN count(*) FILTER (quality = 0) = 0 THEN -1e6::DOUBLE ELSE ln((count(*) FILTER (quality = 0) + 1) / (count(*) + 2)) END AS q0, CASE WHEN count(*) FILTER (quality = 1) = 0 THEN -1e6::DOUBLE ELSE ln((count(*) FILTER (quality = 1) + 1) / (count(*) + 2)) END AS q1,
+         CASE WHEN count(*) FILTER (toxic = 0) = 0 THEN -1e6::DOUBLE ELSE ln((count(*) FILTER (toxic = 0) + 1) / (count(*) + 2)) END AS t0, CASE WHEN count(*) FILTER (toxic = 1) = 0 THEN -1e6::DOUBLE ELSE ln((count(*) FILTER (toxic = 1) + 1) / (count(*) + 2)) END AS t1 FROM train),
 dt AS (SELECT doc_id, unnest({words('text')}) AS tok FROM documents),
 ds AS (SELECT doc_id, sum(q0) AS q0, sum(q1) AS q1, sum(t0) AS t0, sum(t1) AS t1 FROM dt JOIN wts USING (tok) GROUP BY doc_id),
 lg AS (SELECT d.doc_id, """ + ", ".join(
@@ -557,7 +583,7 @@ weight AS (SELECT tok, head, cls, CASE WHEN multi
     THEN ln((n1 + 1) / (t1 + v)) - ln((n - n1 + 1) / (t - t1 + v)) ELSE ln((n1 + 1) / (t1 + v)) END AS w
   FROM tcount JOIN ttotal USING (head, cls) JOIN is_multi USING (head) JOIN tn USING (tok), nall),
 prior AS (SELECT head, cls, CASE WHEN any_value(multi) THEN ln((sum(y) + 1) / (count(*) - sum(y) + 1))
-    ELSE ln((sum(y) + 1) / (count(*) + any_value(size))) END AS p FROM truth JOIN is_multi USING (head) GROUP BY head, cls)"""
+    WHEN sum(y) = 0 THEN -1e6::DOUBLE ELSE ln((sum(y) + 1) / (count(*) + any_value(size))) END AS p FROM truth JOIN is_multi USING (head) GROUP BY head, cls)"""
 
 
 def analyzed(questions: str) -> list[str]:
@@ -572,18 +598,18 @@ along AS (SELECT a.query_id, prior.head, prior.cls, p + coalesce(s, 0) AS logit
 logits AS (SELECT query_id, {gathered} FROM along GROUP BY query_id)""", records("logits")]
 
 
-ASKED = f"""questions AS (SELECT query_id, instruction AS text FROM log WHERE trim(instruction, {BLANKS}) <> '')"""
+ASKED = f"""questions AS (SELECT query_id, instruction AS text FROM log)"""
 LOG_CATALOG = """log_catalog AS (SELECT t AS "table", t AS doc FROM (SELECT DISTINCT unnest(tables) AS t FROM table_log))"""
 MODEL = [RAW, LOG, LABELLED, ANALYZER]
 RECORD = "query, complexity, complexity_confidence, keywords, category, category_confidence, subcategories, estimated_tables, table_count_confidence"
 
 ORACLES["analyze_batch"] = with_([
     *MODEL, STRICT, TABLES, ASKED, LOG_CATALOG, *analyzed("questions"),
-    *text_ranking("questions", "log_catalog", None), listed("text_hints"),
+    *text_ranking("questions", "log_catalog", S.HINTS_TOP_K), listed("text_hints"),
 ], """SELECT d.*, text AS query, tables, best FROM decoded d JOIN questions USING (query_id) JOIN listed USING (query_id)""")
 ORACLES["analyze"] = with_([
     *MODEL, STRICT, TABLES, "questions AS (SELECT 0::BIGINT AS query_id, 'Find customers who placed orders above the average' AS text)",
-    LOG_CATALOG, *analyzed("questions"), *text_ranking("questions", "log_catalog", None), listed("text_hints"),
+    LOG_CATALOG, *analyzed("questions"), *text_ranking("questions", "log_catalog", S.HINTS_TOP_K), listed("text_hints"),
 ], """SELECT d.*, text AS query, tables, best FROM decoded d JOIN questions USING (query_id) JOIN listed USING (query_id)""")
 ORACLES["route_queries"] = with_([
     *MODEL, STRICT, TABLES, ASKED, "every AS (SELECT query_id, instruction AS text FROM log)", LOG_CATALOG,
@@ -591,7 +617,7 @@ ORACLES["route_queries"] = with_([
 ], """SELECT query_id, complexity, CASE WHEN complexity = 'simple' THEN 'template' ELSE 'model' END AS route, tables
 FROM decoded JOIN listed USING (query_id)""")
 ORACLES["analyze_stream"] = with_([
-    *MODEL, f"questions AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE trim(text, {BLANKS}) <> '')",
+    *MODEL, "questions AS (SELECT conv_id * 1000 + turn AS query_id, coalesce(text, '') AS text FROM conversations)",
     """items AS (SELECT 'item_' || item_id AS "table", text AS doc FROM benchmark)""",
     *analyzed("questions"), *text_ranking("questions", "items", 5), "kept AS (SELECT * FROM text_hints WHERE score >= 0)",
     listed("kept"),
@@ -663,10 +689,10 @@ prf AS (SELECT *, coalesce(hits / nullif(guessed, 0), 0) AS precision, coalesce(
 _weighted = ", ".join(f"{r(f'sum({c} * support) / sum(support)')} AS {c}" for c in ("precision", "recall", "f1"))
 ORACLES["weighted_prf"] = with_([PREDICTED, CLASSES], f"SELECT {_weighted} FROM prf")
 ORACLES["classification_report"] = with_([PREDICTED, CLASSES], f"""
-SELECT class::VARCHAR AS class, support::BIGINT AS support, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1 FROM prf
-UNION ALL SELECT 'accuracy', sum(support)::BIGINT, NULL, NULL, {r('sum(hits) / sum(support)')} FROM prf
-UNION ALL SELECT 'macro avg', sum(support)::BIGINT, {r('avg(precision)')}, {r('avg(recall)')}, {r('avg(f1)')} FROM prf
-UNION ALL SELECT 'weighted avg', sum(support)::BIGINT, {_weighted} FROM prf""")
+SELECT 'class' AS kind, class::VARCHAR AS class, support::BIGINT AS support, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1 FROM prf
+UNION ALL SELECT 'summary', 'accuracy', sum(support)::BIGINT, NULL, NULL, {r('sum(hits) / sum(support)')} FROM prf
+UNION ALL SELECT 'summary', 'macro avg', sum(support)::BIGINT, {r('avg(precision)')}, {r('avg(recall)')}, {r('avg(f1)')} FROM prf
+UNION ALL SELECT 'summary', 'weighted avg', sum(support)::BIGINT, {_weighted} FROM prf""")
 
 
 def _ce(h: str) -> str:
@@ -721,3 +747,17 @@ ORACLES["recall_at_k"] = with_([*RANKED, EXPECTED], f"""
 SELECT k, {r('avg(share)')} AS recall FROM (
   SELECT e.query_id, k, count(*) FILTER (h.rank <= k AND list_contains(names, h."table")) / 2 AS share
   FROM expected e JOIN ranked h ON h.query_id = e.query_id, (SELECT unnest([1, 3, 5]) AS k) GROUP BY e.query_id, k) GROUP BY k""")
+
+# --- pair features -----------------------------------------------------------------------------
+
+ORACLES["pair_features"] = with_([QA, PARSED, PAIRS, f"""
+header_names AS (SELECT DISTINCT header AS name, list_distinct({words('header')}) AS ws FROM pairs),
+header_words AS (SELECT name, unnest(ws) AS tok FROM header_names),
+word_idf AS (SELECT tok, ln(((SELECT count(*) FROM header_names) + 1) / (count(*) + 1)) + 1 AS w FROM header_words GROUP BY tok),
+pair_words AS (SELECT row_id, header, header_pos, list_distinct({words('question')}) AS q, list_distinct({words('header')}) AS h FROM pairs),
+shares AS (SELECT row_id, header_pos, sum(w) FILTER (list_contains(q, tok)) / sum(w) AS share
+  FROM (SELECT row_id, header_pos, q, unnest(h) AS tok FROM pair_words) JOIN word_idf USING (tok) GROUP BY ALL)"""], f"""
+SELECT row_id, header, len(list_intersect(q, h))::DOUBLE AS shared,
+  {r('coalesce(len(list_intersect(q, h)) / nullif(len(list_distinct(list_concat(q, h))), 0), 0)')} AS jaccard,
+  {r('coalesce(share, 0)')} AS idf_share
+FROM pair_words LEFT JOIN shares USING (row_id, header_pos)""")

@@ -117,7 +117,7 @@ def parse_catalog_list(spark, sf):
 def write_labelled(spark, sf):
     path = shared_folder(spark, "labelled")
     writers.write_split(sampling.split_train_val_test(labelled_log(spark, sf), "query_id"), path)
-    return spark.read.parquet(path).where("split = 'val'").select(
+    return spark.read.parquet(path).select(
         "query_id", "complexity", joined("keywords").alias("keywords"), F.col("split")
     )
 
@@ -374,16 +374,14 @@ def catalog_name(spark, sf):
     return part_docs(spark, sf).select("doc", catalog.catalog_name(F.col("doc")).alias("name"))
 
 
-# fixed values: prefixes of the scaled-up catalog and the number of its filler tables
-CATALOG_PREFIXES = [
-    "archive_", "backup_", "temp_", "staging_", "legacy_", "v2_", "test_", "dev_",
-]
-CATALOG_FILLERS = 272
+CATALOG_PREFIXES = [f"region{i}_" for i in range(1, 6)]
+CATALOG_FILLER = "sheet_%05d (row, column, value)"
 
 
 @query
 def expand_catalog(spark, sf):
-    return catalog.expand_catalog(part_docs(spark, sf), CATALOG_PREFIXES, CATALOG_FILLERS)
+    fillers = derived.table(spark, sf, "supplier").count()
+    return catalog.expand_catalog(part_docs(spark, sf), CATALOG_PREFIXES, fillers, CATALOG_FILLER)
 
 
 # --- pairs ----------------------------------------------------------------------------------------
@@ -400,6 +398,32 @@ def table_negatives(spark, sf):
     return mined.select("query_id", F.explode("negatives").alias("negative"))
 
 
+def part_lists(spark, sf):
+    """Every customer with two or three parts as its tables, or none at all; and all parts."""
+    names = derived.table(spark, sf, "part").select(F.concat(
+        F.lit("catalog.part_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    ).alias("table"), "p_partkey")
+    total = names.agg(F.count(F.lit(1))).scalar()
+    spread = derived.table(spark, sf, "customer").select("c_custkey", F.explode(F.array(
+        F.col("c_custkey"), F.col("c_custkey") * 7 + 3, F.col("c_custkey") * 31 + 11
+    )).alias("n")).select("c_custkey", (F.col("n") % total + 1).alias("p_partkey"))
+    listed = spread.join(names, "p_partkey").groupBy("c_custkey").agg(F.sort_array(F.collect_set("table")).alias("t"))
+    tables = F.when(F.col("c_custkey") % 10 != 0, F.col("t"))
+    return listed.select(F.col("c_custkey").alias("query_id"), tables.alias("tables")), names.select("table")
+
+
+@query
+def table_negatives_large(spark, sf):
+    mined = pairs.table_negatives(*part_lists(spark, sf), "query_id")
+    return mined.select("query_id", F.explode("negatives").alias("negative"))
+
+
+@query
+def ranking_triplets_large(spark, sf):
+    mined = pairs.ranking_triplets(*part_lists(spark, sf), "query_id")
+    return mined.select("query_id", "positive", joined("negatives").alias("negatives"))
+
+
 @query
 def first_positive(spark, sf):
     return table_log(spark, sf).select("query_id", pairs.first_positive(F.col("tables")).alias("positive"))
@@ -478,6 +502,34 @@ def rank_by_text(spark, sf):
     return scored(ranked, "query_id", "rank", "table")
 
 
+@query
+def rank_by_text_large(spark, sf):
+    """Over a catalog of several blocks."""
+    entries = catalog.expand_catalog(part_docs(spark, sf), CATALOG_PREFIXES).select(
+        catalog.catalog_name(F.col("doc")).alias("table"), "doc"
+    )
+    asked = derived.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text")
+    ).where("p_size >= 45")
+    return scored(ranking.rank_by_text(asked, entries, top_k=5), "query_id", "rank", "table")
+
+
+@query
+def rank_top_k_large(spark, sf):
+    """Dense vectors over a catalog of several blocks: parts with a vector and their size."""
+    vectors = derived.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    total = vectors.agg(F.count(F.lit(1))).scalar()
+    entries = derived.table(spark, sf, "part").select(
+        F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("table"),
+        (F.col("p_partkey") % total).alias("vec_id"), (F.col("p_size") / 50.0).alias("x"),
+    ).join(vectors, "vec_id").select("table", F.concat("v", F.array("x")).alias("vec"))
+    asked = derived.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("query_id"),
+        F.concat(F.col("embedding").cast("array<double>"), F.array(F.col("label") / 10.0)).alias("vec"),
+    )
+    return scored(ranking.rank_top_k(asked, entries, 5), "query_id", "rank", "table")
+
+
 HASH_DIM = 16
 
 
@@ -537,7 +589,7 @@ def hints_above(spark, sf):
 
 @query
 def hints_boost(spark, sf):
-    boosted = hints.hints_boost(ranking.rank_all(*vectors(spark, sf)), 1.0)
+    boosted = hints.hints_boost(ranking.rank_top_k(*vectors(spark, sf), top_k=5), 1.0)
     return boosted.select("query_id", "table", rounded(F.col("boost")).alias("boost"))
 
 
@@ -561,12 +613,11 @@ def hints_count(spark, sf):
 
 
 def found_rows(spark, sf):
-    """Results of some search: the vectors' neighbours in line items, one table per row."""
-    return derived.table(spark, sf, "lineitem").join(
-        derived.table(spark, sf, "embeddings").select(F.col("vec_id").alias("l_partkey"), "label"), "l_partkey"
-    ).select(
-        F.col("l_partkey").alias("query_id"),
-        F.concat(F.lit("label_"), ((F.col("label") + F.col("l_linenumber")) % 10).cast("string")).alias("table"),
+    """Results of some search: every line item answers one vector's question, with one table."""
+    questions = derived.table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
+    return derived.table(spark, sf, "lineitem").select(
+        (F.col("l_partkey") % questions).alias("query_id"),
+        F.concat(F.lit("label_"), ((F.col("l_suppkey") + F.col("l_linenumber")) % 10).cast("string")).alias("table"),
         F.col("l_orderkey").alias("item"), F.col("l_quantity").alias("relevance"),
     )
 
@@ -575,9 +626,12 @@ def found_rows(spark, sf):
 def apply_hints(spark, sf):
     found, best = found_rows(spark, sf), top_hints(spark, sf)
     best = written(best, "hints")
-    kept = hints.apply_boost(hints.apply_filter(found, best), best, "relevance")
-    return kept.groupBy("query_id", "table").agg(
+    wanted = hints.apply_filter(found, best).select("query_id", "table").distinct().withColumn("hinted", F.lit(1))
+    boosted = hints.apply_boost(found, best, "relevance")
+    return boosted.groupBy("query_id", "table").agg(
         F.count(F.lit(1)).alias("items"), rounded(F.sum("relevance"), 4).alias("relevance")
+    ).join(wanted, ["query_id", "table"], "left").select(
+        "query_id", "table", "items", "relevance", F.coalesce("hinted", F.lit(0)).alias("hinted")
     )
 
 
@@ -692,6 +746,13 @@ def fit_text_labels_lr(spark, sf):
     )
 
 
+@query
+def pair_features(spark, sf):
+    mined = pairs.column_pairs(pairs.usable_qa_rows(parsed_qa(spark, sf)), "row_id")
+    features = textmodel.pair_features(mined, "row_id", "question", "header")
+    return features.select("row_id", "header", "shared", *[rounded(F.col(c)).alias(c) for c in ("jaccard", "idf_share")])
+
+
 @query
 def fit_pair_relevance(spark, sf):
     mined = pairs.column_pairs(pairs.usable_qa_rows(parsed_qa(spark, sf)), "row_id")
@@ -758,7 +819,7 @@ def mean_accuracy(spark, sf):
 @query
 def classification_report(spark, sf):
     report = evaluation.classification_report(predictions(spark, sf), "category_pred", "category_true")
-    return report.select("class", "support", *[rounded(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+    return report.select("kind", "class", "support", *[rounded(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query
@@ -822,7 +883,7 @@ def recall_at_k(spark, sf):
         F.concat(F.lit("label_"), F.col("label").cast("string")),
         F.concat(F.lit("label_"), ((F.col("label") + 1) % 10).cast("string")),
     )).alias("table"))
-    recall = evaluation.recall_at_k(ranking.rank_all(*vectors(spark, sf)), expected, [1, 3, 5])
+    recall = evaluation.recall_at_k(ranking.rank_top_k(*vectors(spark, sf), 5, -1.0), expected, [1, 3, 5])
     return recall.select("k", rounded(F.col("recall")).alias("recall"))
 
 

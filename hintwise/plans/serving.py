@@ -11,24 +11,21 @@ from hintwise.functions.vectors import l2_normalize
 from hintwise.operators import decoding
 from hintwise.operators.blocks import SCORE_DIGITS
 from hintwise.operators.hints import hint_names
-from hintwise.operators.ranking import fit_vocabulary, rank_by_text, scaled_scores, tfidf_vectors
+from hintwise.operators.ranking import TextCatalog, fit_vocabulary, rank_by_text, scaled_scores, tfidf_vectors
 from hintwise.operators.scaling import lookup_join, written
 from hintwise.operators.textmodel import TextModel, predict_text_labels
 from hintwise.schemas import HINTS_TOP_K
-from hintwise.sources.readers import parse_catalog_list, validate_requests
-
-
-def _usable(queries: DataFrame) -> DataFrame:
-    return queries.where(strip(F.col("text")) != "")
+from hintwise.sources.readers import parse_catalog_list, split_requests, validate_requests
 
 
 def analyze_batch(
-    queries: DataFrame, model: TextModel, catalog: DataFrame | None = None,
-    top_k: int | None = None, vocabulary: DataFrame | None = None,
+    queries: DataFrame, model: TextModel, catalog: DataFrame | TextCatalog | None = None,
+    top_k: int = HINTS_TOP_K, vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """One record per usable question of ``queries(query_id, text)``: labels, confidences and,
-    with a ``catalog(table, doc)``, its tables ranked (all of them unless ``top_k`` is set)."""
-    asked = _usable(queries)
+    """One record per question of ``queries(query_id, text)``: labels, confidences and, with a
+    ``catalog(table, doc)`` or what ``fit_catalog`` made of it, its ``top_k`` best tables. A blank or null question is answered like
+    one without known words: by the models' priors, and by tables in name order."""
+    asked = queries.withColumn("text", F.coalesce("text", F.lit("")))
     decoded = decoding.decode(predict_text_labels(model, asked, "query_id", "text"))
     hints = None
     if catalog is not None:
@@ -37,10 +34,16 @@ def analyze_batch(
 
 
 def analyze(
-    spark: SparkSession, text: str, model: TextModel, catalog: DataFrame | None = None
+    spark: SparkSession, text: str, model: TextModel, catalog: DataFrame | TextCatalog | None = None,
+    top_k: int = HINTS_TOP_K,
 ) -> DataFrame:
-    """:func:`analyze_batch` for a single question."""
-    return analyze_batch(spark.createDataFrame([(0, text)], "query_id bigint, text string"), model, catalog)
+    """:func:`analyze_batch` for a single question, which must not be blank."""
+    request = spark.createDataFrame([(0, text)], "query_id bigint, query string")
+    valid, rejected = split_requests(request)
+    refused = rejected.first()
+    if refused is not None:
+        raise ValueError(refused.reason)
+    return analyze_batch(valid.withColumnRenamed("query", "text"), model, catalog, top_k)
 
 
 def _sparse_dot(terms: Column, weights: Column, other_terms: Column, other_weights: Column) -> Column:
@@ -91,7 +94,7 @@ def label_info(label_dict: DataFrame) -> DataFrame:
 def combined_analysis(
     requests: DataFrame, model: TextModel, top_k: int = 10
 ) -> DataFrame:
-    """Analysis of every request, with a ranking where the request lists tables:
+    """Analysis of every request, with a ranking where a request with a question lists tables:
     ``requests(query_id, query, tables)``."""
     texts = requests.select("query_id", F.col("query").alias("text"))
     records = analyze_batch(texts, model).drop("tables")

@@ -127,12 +127,12 @@ def vector_catalog(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame
 
 
 def column_catalog(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
-    """``(table, column, vec)``: four columns per label."""
+    """``(table, column, vec)``: four columns per label, both names with a dot."""
     return table(spark, sf_dir, "embeddings").groupBy(
         "label", (F.col("vec_id") % 4).alias("c")
     ).agg(mean_vector("embedding", dim).alias("vec")).select(
-        F.concat(F.lit("label_"), F.col("label").cast("string")).alias("table"),
-        F.concat(F.lit("c"), F.col("c").cast("string")).alias("column"), "vec",
+        F.concat(F.lit("mart.label_"), F.col("label").cast("string")).alias("table"),
+        F.concat(F.lit("c."), F.col("c").cast("string")).alias("column"), "vec",
     )
 
 

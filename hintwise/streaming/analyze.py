@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from hintwise.operators.ranking import fit_vocabulary
+from hintwise.operators.ranking import TextCatalog, fit_catalog
+from hintwise.operators.scaling import scratch
 from hintwise.operators.textmodel import TextModel
 from hintwise.plans.serving import analyze_batch
+from hintwise.schemas import HINTS_TOP_K
 
 
 def analyze_stream(
-    arrivals: DataFrame, model: TextModel, catalog: DataFrame, sink: str, checkpoint: str,
-    top_k: int | None = None, available_now: bool = False,
+    arrivals: DataFrame, model: TextModel, catalog: DataFrame | TextCatalog, sink: str, checkpoint: str,
+    top_k: int = HINTS_TOP_K, available_now: bool = False,
 ) -> StreamingQuery:
     """Run :func:`analyze_batch` on every micro-batch of ``arrivals(query_id, text)`` and write
     the records to ``sink``.
 
     Questions do not depend on each other, so there is no state and no watermark. A batch owns
     one folder and overwrites it when it is replayed, which makes the sink exactly-once. The
-    catalog is prepared before the stream starts.
+    catalog is weighted and packed before the stream starts, and what a batch writes for itself is
+    deleted after it.
     """
-    vocabulary = fit_vocabulary(catalog, "table", "doc")
+    ready = catalog if isinstance(catalog, TextCatalog) else fit_catalog(catalog)
 
     def one_batch(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        records = analyze_batch(batch, model, catalog, top_k, vocabulary)
-        records.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        with scratch(batch.sparkSession):
+            records = analyze_batch(batch, model, ready, top_k)
+            records.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     writer = arrivals.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     if available_now:

@@ -41,6 +41,22 @@ def test_naive_bayes_by_hand(spark):
     assert out[9].m[1] == pytest.approx(math.log(1 / 4) + math.log(1 / 3) - math.log(3 / 9))
 
 
+def test_classes_without_training_texts_are_never_predicted(spark):
+    train = spark.createDataFrame([(1, "good " * 50, 1), (2, "bad fine", 0)], "id bigint, text string, y int")
+    model = textmodel.fit_text_labels(train, "text", [Head("h", "y", 4)])
+    asked = spark.createDataFrame([(1, "good rare " * 20), (2, "rare"), (3, None)], "id bigint, text string")
+    for r in textmodel.predict_text_labels(model, asked, "id", "text").collect():
+        assert max(r.h[2:]) < min(r.h[:2])
+
+
+def test_class_names_like_summaries(spark):
+    rows = [("accuracy", "accuracy"), ("macro avg", "accuracy"), ("x", "x")]
+    report = evaluation.classification_report(spark.createDataFrame(rows, "p string, t string"), "p", "t")
+    lines = {(r.kind, r["class"]): r.support for r in report.collect()}
+    assert lines == {("class", "accuracy"): 2, ("class", "macro avg"): 0, ("class", "x"): 1,
+                     ("summary", "accuracy"): 3, ("summary", "macro avg"): 3, ("summary", "weighted avg"): 3}
+
+
 def test_linear_model_separates(spark):
     rows = [(i, "alpha beta" if i % 2 else "gamma delta", i % 2, [i % 2, 1 - i % 2]) for i in range(40)]
     df = spark.createDataFrame(rows, "id bigint, text string, y int, tags array<int>")

@@ -47,7 +47,10 @@ def test_negatives_both_ways(spark, sf):
 def test_small_vocabularies(spark):
     log = spark.createDataFrame([(1, ["a"]), (2, ["a", "b", "c"]), (3, []), (4, ["zzz", "b"])], "query_id bigint, tables array<string>")
     vocabulary = spark.createDataFrame([("a",), ("b",), ("c",)], "table string")
+    odd = spark.createDataFrame([(1, ["a"]), (1, ["b"]), (2, None), (None, ["c"]), (None, ["c"])], "query_id bigint, tables array<string>")
     for limit in (None, -1):
+        rows = sorted(((r.query_id or 0, r.tables or [], sorted(r.negatives)) for r in pairs.table_negatives(odd, vocabulary, "query_id", limit=limit).collect()), key=str)
+        assert rows == [(0, ["c"], ["a", "b"]), (0, ["c"], ["a", "b"]), (1, ["a"], ["b", "c"]), (1, ["b"], ["a", "c"]), (2, [], [])]
         got = pairs.ranking_triplets(log, vocabulary, "query_id", limit=limit).orderBy("query_id").collect()
         assert [sorted(r.negatives) for r in got] == [["b", "c"], [], ["a", "b", "c"], ["a", "c"]]
         assert [r.positive for r in got] == ["a", "a", None, "b"]

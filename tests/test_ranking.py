@@ -62,6 +62,32 @@ def test_small_blocks_by_values(data, monkeypatch):
     same(collected(ranking.rank_top_k(q, c, 5, min_score=-1.0)), brute(questions, catalog, 5))
 
 
+@pytest.mark.parametrize("pack", [1024, 16])
+def test_rows_with_one_id_stay_apart(spark, data, monkeypatch, pack):
+    monkeypatch.setattr(blocks, "PACK_ROWS", pack)
+    questions, catalog, _, c = data
+    twice = spark.createDataFrame([(5, questions[0][1]), (5, questions[1][1])], "query_id bigint, vec array<double>")
+    want = brute(questions[:2], catalog, 2)
+    got = sorted((r.table, r.rank) for r in ranking.rank_top_k(twice, c, 2, -1.0).collect())
+    assert got == sorted((t, i + 1) for q in (0, 1) for i, (t, _) in enumerate(want[q]))
+
+
+@pytest.mark.parametrize("pack", [1024, 16])
+def test_packed_once_ranked_often(data, monkeypatch, pack):
+    monkeypatch.setattr(blocks, "PACK_ROWS", pack)
+    questions, catalog, q, c = data
+    ready = blocks.pack_catalog(c, "table", "vec")
+    monkeypatch.setattr(blocks, "pack_catalog", None)
+    for k in (1, 5):
+        same(collected(ranking.rank_top_k(q, ready, k, -1.0)), brute(questions, catalog, k))
+
+
+def test_qualified_names(spark, data):
+    columns = spark.createDataFrame([("sales.orders", "a.id", [1.0] * 8), ("sales", "orders.x", [-1.0] + [0.0] * 7)], "table string, column string, vec array<double>")
+    got = ranking.rank_columns(data[2], columns, 2, -1.0).collect()
+    assert {(r.table, r.column) for r in got} == {("sales.orders", "a.id"), ("sales", "orders.x")}
+
+
 def test_min_score_after_top_k(data):
     _, _, q, c = data
     full = ranking.rank_top_k(q, c, 3, min_score=-1.0)
@@ -146,6 +172,17 @@ def test_request_lists(spark):
     assert got[3] == [("only", 0.0)] and 2 not in got
 
 
+def test_batches_keep_every_question(spark, sf):
+    model = registry.analyzer(spark, sf)
+    asked = spark.createDataFrame([(1, "Find customers"), (2, "  "), (3, None)], "query_id bigint, text string")
+    items = spark.createDataFrame([("t", "customers"), ("u", "logs")], "table string, doc string")
+    for c in (items, ranking.fit_catalog(items)):
+        got = {r.query_id: r for r in serving.analyze_batch(asked, model, c).collect()}
+        assert got.keys() == {1, 2, 3} and all(len(r.tables) == 2 for r in got.values())
+    with pytest.raises(ValueError, match="blank_query"):
+        serving.analyze(spark, " \t", model)
+
+
 def test_spread_keeps_rows(spark, sf):
     orders = derived.table(spark, sf, "orders")
     assert derived.spread(orders).count() == orders.count()

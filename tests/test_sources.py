@@ -48,6 +48,36 @@ def test_plain_layout(spark, tmp_path):
     assert one(corpus.select("instruction", "sql")) == [("ask", "SELECT 1")]
 
 
+def write_file(path, lines):
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    structured = write_file(tmp_path / "a.csv", ["query_id,sql,extra,structured_input", "7,SELECT 1 FROM t,z,x prompt: hello schema: s"])
+    log = readers.read_query_log(spark, structured, S.QUERY_LOG)
+    assert one(log.select("query_id", "instruction", "sql")) == [(7, "hello", "SELECT 1 FROM t")]
+    plain = write_file(tmp_path / "b.csv", ["query,instruction", "SELECT 2,ask", "SELECT 2,ask", "SELECT 3,"])
+    log = readers.read_query_log(spark, plain)
+    assert sorted(one(log.select("sql", "instruction")), key=str) == [("SELECT 2", "ask"), ("SELECT 2", "ask"), ("SELECT 3", None)]
+    keys = [r.query_id for r in log.collect()]
+    assert len(set(keys)) == 3 and sorted(keys) == sorted(r.query_id for r in readers.read_query_log(spark, plain, multi_line=False).collect())
+    with pytest.raises(ValueError, match="structured_input"):
+        readers.read_query_log(spark, plain, S.QUERY_LOG)
+    with pytest.raises(ValueError, match="query"):
+        readers.read_query_log(spark, write_file(tmp_path / "c.csv", ["instruction,other", "a,b"]))
+    write_file(tmp_path / "train.csv", ["sql,question,table", "s,q,t"])
+    assert one(readers.read_qa_corpus(spark, str(tmp_path), "train").select("question", "table", "sql", "split")) == [("q", "t", "s", "train")]
+
+
+def test_row_keys_number_duplicates(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), (None, 1), ("a", 1)], "x string, y int")
+    keyed = readers.with_row_key(df, "k")
+    assert sorted(one(keyed.select("x", "y")), key=str) == sorted(one(df), key=str)
+    keys = {r.k for r in keyed.collect()}
+    assert len(keys) == 5 and keys == {r.k for r in readers.with_row_key(df.repartition(3), "k").collect()}
+
+
 def test_qa_split_names(spark, tmp_path):
     for name in ("train", "validation", "test"):
         writers.write_csv(spark.createDataFrame([("r", name, "t", "s")], S.QA_CORPUS), str(tmp_path / f"{name}.csv"))
@@ -59,8 +89,9 @@ def test_catalog_lists(spark):
     df = spark.createDataFrame([(1, "a (x, y)| b |"), (2, "a, b,, c"), (3, " , "), (4, None)], "id int, t string")
     assert one(readers.parse_catalog_list(df, "t").select("id", "entry_pos", "table").orderBy("id", "entry_pos")) == [
         (1, 0, "a (x, y)"), (1, 1, "b"), (2, 0, "a"), (2, 1, "b"), (2, 2, "c")]
-    names = spark.createDataFrame([("customers (id, name)",), ("plain",)], "doc string").select(catalog_name(F.col("doc")))
-    assert one(names) == [("customers",), ("plain",)]
+    docs = ["customers (id, name)", "plain", "\t users (id)", "\n\xa0wide\u3000(id)", "  "]
+    names = spark.createDataFrame([(d,) for d in docs], "doc string").select(catalog_name(F.col("doc")))
+    assert one(names) == [("customers",), ("plain",), ("users",), ("wide",), ("",)]
 
 
 def test_requests(spark):
@@ -68,7 +99,7 @@ def test_requests(spark):
     valid, rejected = readers.split_requests(df, need_tables=True)
     assert one(valid.select("query")) == [("q",)]
     assert sorted(r.reason for r in rejected.collect()) == [
-        "Query cannot be empty", "Query cannot be empty", "Tables list cannot be empty"]
+        "blank_query", "blank_query", "no_tables"]
     with pytest.raises(ValueError):
         readers.split_requests(df.where("false"))
 
