@@ -16,6 +16,17 @@ SMALL_ROWS = 100_000
 ABSENT = -(1 << 63)
 
 
+def per_process(name: str, make: Callable):
+    """A value that a Python process makes once and keeps from task to task. It is held by the
+    pyspark package, as functions that travel by value get new globals with every task."""
+    import pyspark
+
+    kept = pyspark.__dict__.setdefault("_hintwise_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]

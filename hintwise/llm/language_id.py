@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hintwise.llm.common import per_process
+
 ORDER = 4
 UNKNOWN = "und"
 # labelled texts that a model is fitted on, and as many others that set its rejection limits
@@ -31,10 +32,9 @@ SLACK, SHORT_SLACK = 0.5, 4.0
 SURE_AFTER = 60
 
 
-@cache
 def _letters() -> np.ndarray:
     """By 16-bit character: whether it is a letter. Characters beyond count by their lower half."""
-    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+    return per_process("letters", lambda: np.array([chr(i).isalpha() for i in range(1 << 16)]))
 
 
 def character_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,14 +228,14 @@ def fit(
 
 
 def _scorer(spark: SparkSession, model: Model):
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(dict(vars(model)))  # plain arrays
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import regex
 
         letter = regex.compile(r"\p{L}").search
-        m = shared.value
+        m = Model(**shared.value)
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         limits = np.array([(m.limits or {}).get(x, np.inf) for x in m.languages])
         for batch in batches:

@@ -12,7 +12,6 @@ the keys bring together, and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hintwise.llm.common import keyed
+from hintwise.llm.common import keyed, per_process
 from hintwise.operators.scaling import written
 
 GENERATOR = 0b110001110101  # the Golay code's generator polynomial
@@ -82,10 +81,13 @@ def syndrome(word: int) -> int:
     return word
 
 
-@cache
 def error_patterns() -> tuple[np.ndarray, np.ndarray]:
     """By syndrome: the error of weight 3 or less, and the five of weight 4 that go with an error
     of weight 3 (its own otherwise). XORed to a word they give the codewords nearby."""
+    return per_process("golay", _error_patterns)
+
+
+def _error_patterns() -> tuple[np.ndarray, np.ndarray]:
     single = [syndrome(1 << i) for i in range(WORD_BITS)]
     near, far = np.zeros(1 << CHECK_BITS, np.int64), [[] for _ in range(1 << CHECK_BITS)]
     for weight in range(1, 5):

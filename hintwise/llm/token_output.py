@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hintwise.llm.common import text_hash
+from hintwise.llm.common import per_process, text_hash
 from hintwise.operators.scaling import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -146,17 +146,12 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
     """One per worker process and vocabulary, kept from task to task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return per_process(f"words:{path}", lambda: WordEncoder(path))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
