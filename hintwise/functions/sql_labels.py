@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hintwise.functions.text import array_lit, count_text, strip
-from hintwise.schemas import NOT_TABLE_NAMES, SQL_KEYWORDS, SUBCATEGORIES
+from hintwise.schemas import (
+    AGGREGATES, DEFINING_WORDS, JOINS, NOT_TABLE_NAMES, RIGHTS_WORDS, SET_OPERATORS, SQL_KEYWORDS,
+    SUBCATEGORIES, TRANSACTION_WORDS, WINDOW_SIGNS,
+)
 
-AGGREGATES = ["COUNT", "SUM", "AVG", "MAX", "MIN"]
-JOINS = ["JOIN", "INNER JOIN", "LEFT JOIN", "RIGHT JOIN"]
-SET_OPERATORS = ["UNION", "INTERSECT", "EXCEPT"]
 IDENTIFIER = r"([a-zA-Z_][a-zA-Z0-9_]*)"
 
 PHRASES = [k for k in SQL_KEYWORDS if " " in k]
@@ -64,7 +64,7 @@ def sql_complexity(sql: Column, keywords: Column, upper: Column | None = None) -
         count_text(upper, "SELECT") > 1,
         F.array_contains(keywords, "CASE"),
         F.array_contains(keywords, "HAVING"),
-        _contains_any(upper, ["OVER(", "OVER ("]),
+        _contains_any(upper, WINDOW_SIGNS),
     ]
     medium_signs = [
         _has_any(keywords, JOINS),
@@ -95,9 +95,9 @@ def sql_category(sql: Column, upper: Column | None = None) -> Column:
     upper = F.upper(sql) if upper is None else upper
     start = strip(upper)
     return (
-        F.when(_starts_with_any(start, ["CREATE", "ALTER", "DROP", "TRUNCATE"]), "Schema Definition")
-        .when(_starts_with_any(start, ["GRANT", "REVOKE"]), "Security")
-        .when(_starts_with_any(start, ["BEGIN", "COMMIT", "ROLLBACK"]), "Transaction Control")
+        F.when(_starts_with_any(start, DEFINING_WORDS), "Schema Definition")
+        .when(_starts_with_any(start, RIGHTS_WORDS), "Security")
+        .when(_starts_with_any(start, TRANSACTION_WORDS), "Transaction Control")
         .when(_contains_any(upper, SET_OPERATORS), "Set Operations")
         .otherwise("Data Manipulation")
     )
@@ -116,7 +116,7 @@ def sql_subcategories(sql: Column, keywords: Column, upper: Column | None = None
         F.when(F.array_contains(keywords, "GROUP BY"), "Grouping"),
         F.when(_has_any(keywords, ["LIMIT", "OFFSET", "DISTINCT"]), "Limiting"),
         F.when(F.array_contains(keywords, "SUBQUERY"), "Subquery"),
-        F.when(_contains_any(upper, ["OVER(", "OVER (", "PARTITION BY"]), "Windowing"),
+        F.when(_contains_any(upper, [*WINDOW_SIGNS, "PARTITION BY"]), "Windowing"),
         F.when(_has_any(keywords, SET_OPERATORS), "Set Logic"),
         F.when(_has_any(keywords, ["CREATE", "ALTER", "DROP"]), "Object DDL"),
     ))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hintwise.functions.text import let
 from hintwise.operators.scaling import lookup_join
 
 
@@ -21,17 +20,12 @@ def hint_names(hints: DataFrame) -> DataFrame:
     return _ordered(hints).select("query_id", F.transform("_h", lambda h: h["table"]).alias("tables"))
 
 
-def _scores_map(column: str) -> Column:
-    """Table to score; of two hints with the same name the later one counts."""
-    return let(F.col(column), lambda hints: F.map_from_entries(F.transform(
-        F.filter(hints, lambda h: ~F.exists(
-            hints, lambda o: (o["table"] == h["table"]) & (o["rank"] > h["rank"]))),
-        lambda h: F.struct(h["table"], h["score"]),
-    )))
-
-
 def hint_scores(hints: DataFrame) -> DataFrame:
-    return _ordered(hints).select("query_id", _scores_map("_h").alias("scores"))
+    """Table to score; of two hints with the same name the later one counts."""
+    last = hints.groupBy("query_id", "table").agg(F.max_by("score", "rank").alias("score"), F.max("rank").alias("rank"))
+    entries = F.sort_array(F.collect_list(F.struct("rank", "table", "score")))
+    return last.groupBy("query_id").agg(entries.alias("_e")).select("query_id", F.map_from_entries(
+        F.transform("_e", lambda e: F.struct(e["table"], e["score"]))).alias("scores"))
 
 
 def hints_top(hints: DataFrame, k: int) -> DataFrame:
@@ -53,11 +47,10 @@ def hints_boost(hints: DataFrame, base_weight: float = 1.0) -> DataFrame:
 def hints_filter_record(hints: DataFrame, questions: DataFrame) -> DataFrame:
     """``(query_id, record)`` with the JSON of table names, scores and question text."""
     record = F.struct(
-        F.transform("_h", lambda h: h["table"]).alias("table_names"),
-        _scores_map("_h").alias("scores"),
+        F.transform("_h", lambda h: h["table"]).alias("table_names"), "scores",
         F.col("text").alias("query"),
     )
-    return _ordered(hints).join(questions.select("query_id", "text"), "query_id").select(
+    return _ordered(hints).join(hint_scores(hints), "query_id").join(questions.select("query_id", "text"), "query_id").select(
         "query_id", F.to_json(record).alias("record")
     )
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from hintwise.functions.hashing import md5_number, seeded_md5
 from hintwise.functions.text import let, strip
 from hintwise.operators.scaling import compute_once, dense_positions, lookup_join, small_enough, written
-from hintwise.schemas import NUM_NEGATIVES, SEED
+from hintwise.schemas import (
+    CONDITION_COLUMNS, HEADER_BLOCK, HEADER_NAME, NUM_NEGATIVES, SEED, SELECTED_COLUMN,
+)
 
 MIN_QUESTION = 5
 # largest vocabulary (measured bytes) that is searched inside a row
@@ -34,8 +36,8 @@ def extract_headers(table: Column) -> Column:
     Names of one character, of 50 and more, and those that start with a colon are dropped,
     which shifts the positions of the names behind them.
     """
-    block = F.regexp_extract(table, r"(?s)header':\s*array\(\[(.*?)\], dtype", 1)
-    names = F.regexp_extract_all(block, F.lit("'([^']+)'"), F.lit(1))
+    block = F.regexp_extract(table, HEADER_BLOCK, 1)
+    names = F.regexp_extract_all(block, F.lit(HEADER_NAME), F.lit(1))
     kept = F.filter(
         names, lambda n: (F.length(n) > 1) & (F.length(n) < 50) & ~n.startswith(":")
     )
@@ -44,12 +46,12 @@ def extract_headers(table: Column) -> Column:
 
 def selected_column(sql: Column) -> Column:
     """The number behind ``'sel':``, or null."""
-    return F.regexp_extract(sql, r"'sel':\s*(\d+)", 1).try_cast("bigint")
+    return F.regexp_extract(sql, SELECTED_COLUMN, 1).try_cast("bigint")
 
 
 def condition_columns(sql: Column) -> Column:
     """The numbers in ``'column_index': array([…])``; one that does not parse empties the list."""
-    inner = F.regexp_extract(sql, r"'column_index':\s*array\(\[([^\]]*)\]", 1)
+    inner = F.regexp_extract(sql, CONDITION_COLUMNS, 1)
     pieces = F.filter(F.transform(F.split(inner, ","), strip), lambda x: x != "")
     numbers = F.transform(pieces, lambda x: x.try_cast("bigint"))
     empty = F.array().cast("array<bigint>")

@@ -7,6 +7,7 @@ reads, one array of logits per head.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -152,6 +153,11 @@ def predict_text_labels(model: TextModel, texts: DataFrame, key: str, text: str)
     return sums.select(key, *columns)
 
 
+def warn_if_unfinished(iterations: int, most: int, what: str) -> None:
+    if iterations >= most:
+        warnings.warn(f"{what}: the optimizer stopped at its limit of {most} passes", stacklevel=3)
+
+
 # --- linear models from Spark ML ------------------------------------------------------------
 
 def _text_stages(text: str, features: int) -> list:
@@ -163,7 +169,7 @@ def _text_stages(text: str, features: int) -> list:
 
 
 def fit_text_labels_lr(
-    train: DataFrame, text: str, heads: list[Head], features: int = 1 << 16, max_iter: int = 20
+    train: DataFrame, text: str, heads: list[Head], features: int = 1 << 16, max_iter: int = 100
 ) -> dict[str, list[PipelineModel]]:
     """Logistic regression on hashed tf-idf: one model per single-label head, one binary model
     per tag of a multi-label head. The features are computed once for all models."""
@@ -183,7 +189,9 @@ def fit_text_labels_lr(
                 featuresCol="_features", labelCol="_y", maxIter=max_iter, regParam=0.01,
                 rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_pred",
             )
-            models.append(PipelineModel([*prepared.stages, lr.fit(ready.withColumn("_y", target))]))
+            fitted_lr = lr.fit(ready.withColumn("_y", target))
+            warn_if_unfinished(fitted_lr.summary.totalIterations, max_iter, head.name)
+            models.append(PipelineModel([*prepared.stages, fitted_lr]))
         fitted[head.name] = models
     return fitted
 
@@ -241,12 +249,14 @@ def pair_features(pairs: DataFrame, key: str, question: str, name: str) -> DataF
     ).drop("_q", "_n", "_idf")
 
 
-def fit_pair_relevance(features: DataFrame, label: str = "label", max_iter: int = 20) -> PipelineModel:
+def fit_pair_relevance(features: DataFrame, label: str = "label", max_iter: int = 100) -> PipelineModel:
     """Logistic regression from pair features to relevance."""
-    return Pipeline(stages=[
+    model = Pipeline(stages=[
         VectorAssembler(inputCols=PAIR_FEATURES, outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter, regParam=0.001),
     ]).fit(features)
+    warn_if_unfinished(model.stages[-1].summary.totalIterations, max_iter, "pair relevance")
+    return model
 
 
 def score_pair_relevance(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -534,24 +534,20 @@ HASH_DIM = 16
 
 
 def hashed_words(text: Column) -> Column:
-    """A small encoder: words counted by md5 into 16 cells, each distinct word hashed once per
-    Arrow batch."""
+    """A small encoder: words counted by md5 into 16 cells. The words of an Arrow batch are taken
+    together, and each distinct one is hashed once."""
     @F.pandas_udf("array<float>")
     def encode(tokens: pd.Series) -> pd.Series:
         import hashlib
 
         import numpy as np
 
-        cells: dict[str, int] = {}
-
-        def cell(word: str) -> int:
-            if word not in cells:
-                cells[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % HASH_DIM
-            return cells[word]
-
-        return tokens.map(
-            lambda ws: np.bincount([cell(w) for w in ws] or [0], [1.0] * len(ws) or [0.0], HASH_DIM)
-        )
+        sizes = tokens.str.len().to_numpy()
+        codes, words = pd.factorize(np.concatenate([*tokens, np.empty(0, object)]))
+        cells = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % HASH_DIM for w in words], np.int64)
+        counts = np.zeros((len(tokens), HASH_DIM))
+        np.add.at(counts, (np.repeat(np.arange(len(tokens)), sizes), cells[codes]), 1.0)
+        return pd.Series(list(counts))
 
     return encode(ranking.word_tokens(text))
 

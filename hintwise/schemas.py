@@ -44,6 +44,21 @@ NOT_TABLE_NAMES = [
     "select", "from", "where", "join", "on", "and", "or", "group", "order", "by", "limit",
 ]
 
+# words that decide complexity, category and subcategories
+AGGREGATES = ["COUNT", "SUM", "AVG", "MAX", "MIN"]
+JOINS = ["JOIN", "INNER JOIN", "LEFT JOIN", "RIGHT JOIN"]
+SET_OPERATORS = ["UNION", "INTERSECT", "EXCEPT"]
+DEFINING_WORDS = ["CREATE", "ALTER", "DROP", "TRUNCATE"]
+RIGHTS_WORDS = ["GRANT", "REVOKE"]
+TRANSACTION_WORDS = ["BEGIN", "COMMIT", "ROLLBACK"]
+WINDOW_SIGNS = ["OVER(", "OVER ("]
+
+# printed form of the question/table corpus: header names, selected column, condition columns
+HEADER_BLOCK = r"(?s)header':\s*array\(\[(.*?)\], dtype"
+HEADER_NAME = r"'([^']+)'"
+SELECTED_COLUMN = r"'sel':\s*(\d+)"
+CONDITION_COLUMNS = r"'column_index':\s*array\(\[([^\]]*)\]"
+
 # cells that a pandas CSV reader turns into nulls (public pandas documentation)
 NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

@@ -35,6 +35,25 @@ TEMPLATES = [
     ("Flag notes about exceptions with values up to {k}",
      "SELECT DISTINCT CASE WHEN x BETWEEN 1 AND {k} THEN 1 ELSE 0 END AS b FROM t WHERE note LIKE 'EXCEPTION%'"),
     ("A question without a statement", None),
+    ("Suppliers whose parts are out of stock or below {k}",
+     "SELECT s.name FROM depot.suppliers s RIGHT JOIN depot.parts p ON s.id = p.sid "
+     "WHERE p.stock IS NULL OR p.stock < {k} LIMIT 5 OFFSET 10"),
+    ("Largest and smallest payment for each day of the month",
+     "SELECT EXTRACT(DAY FROM paid_at) AS d, MAX(amount), MIN(amount) FROM ledger GROUP BY EXTRACT(DAY FROM paid_at)"),
+    ("Customers with a complaint but no refund",
+     "SELECT id FROM customers c WHERE EXISTS (SELECT 1 FROM complaints x WHERE x.cid = c.id)\n"
+     "  AND NOT EXISTS (SELECT 1 FROM refunds r WHERE r.cid = c.id)"),
+    ("Ids in both lists but not in the third", "SELECT id FROM a INTERSECT SELECT id FROM b EXCEPT SELECT id FROM c"),
+    ("Add a grade to the staff table", "ALTER TABLE staff ADD COLUMN grade INT"),
+    ("Get rid of the old table number {k}", "\n DROP TABLE old_{k}"),
+    ("Empty the audit log", "TRUNCATE TABLE audit_logs"),
+    ("Move {k} between the accounts", "BEGIN; UPDATE accounts SET v = v - {k} WHERE id = 1; COMMIT"),
+    ("Keep the changes", "COMMIT"),
+    ("Take the reports away from interns", "REVOKE SELECT ON reports FROM interns"),
+    ("Running total of sales by day", "SELECT d, SUM(v) OVER(ORDER BY d) FROM sales"),
+    ("Customers with more than {k} orders",
+     "SELECT t.n\nFROM (\n  SELECT c.name AS n, COUNT(*) AS k\n  FROM shop.customers c\n"
+     "  JOIN shop.orders o ON o.cid = c.id\n  GROUP BY c.name\n) t\nWHERE t.k > {k}"),
 ]
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hintwise.functions import sql_labels as L
 from hintwise.operators.labelling import label_query_log, with_referenced_tables
+from hintwise.plans import registry
 from hintwise.schemas import SQL_KEYWORDS
 
 
@@ -73,3 +74,8 @@ def test_single_labels_agree_with_the_log(spark):
     alone = df.select(L.sql_keywords(sql).alias("k"), L.sql_category(sql).alias("c"), L.sql_table_count(sql).alias("t"))
     full = label_query_log(df).select("keywords", "category", "table_count")
     assert [tuple(r) for r in alone.collect()] == [tuple(r) for r in full.collect()]
+
+
+def test_every_keyword_occurs(spark, sf):
+    seen = {r.k for r in registry.labelled_log(spark, sf).select(F.explode("keywords").alias("k")).distinct().collect()}
+    assert seen == set(SQL_KEYWORDS)
