@@ -130,13 +130,14 @@ def fit_catalog(catalog: DataFrame, vocabulary: DataFrame | None = None) -> Text
 
 def rank_by_text(
     questions: DataFrame, catalog: DataFrame | TextCatalog, top_k: int = HINTS_TOP_K, min_score: float = 0.0,
-    vocabulary: DataFrame | None = None,
+    vocabulary: DataFrame | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Rank ``catalog(table, doc)``, or what :func:`fit_catalog` made of it, for
     ``questions(query_id, text)`` by tf-idf cosine. The vocabulary is the catalog's own, unless
-    another is given."""
+    another is given. ``counts`` are the questions' ``term_counts``, if the caller has them."""
     ready = catalog if isinstance(catalog, TextCatalog) else fit_catalog(catalog, vocabulary)
-    asked = tfidf_vectors(questions, "query_id", "text", ready.vocabulary, ready.small)
+    counts = term_counts(questions, "query_id", "text") if counts is None else counts
+    asked = _weighted_vectors(counts, "query_id", ready.vocabulary, ready.small)
     ranked = ranked_by_blocks(
         asked, ready.packed, "query_id", "table", "weights", terms="terms", k=top_k,
         asked_rows=1 if ready.packed.single else questions.count(),

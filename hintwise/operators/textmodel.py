@@ -135,9 +135,13 @@ def fit_text_labels(train: DataFrame, text: str, heads: list[Head]) -> TextModel
     return TextModel(stored, written(priors, "priors"), tuple(heads), small_enough(stored))
 
 
-def predict_text_labels(model: TextModel, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """One array of logits per head. Words that the model has not seen are left out."""
-    weighted = lookup_join(term_counts(texts, key, text), model.words, "token", "left", small=model.small)
+def predict_text_labels(
+    model: TextModel, texts: DataFrame, key: str, text: str, counts: DataFrame | None = None,
+) -> DataFrame:
+    """One array of logits per head. Words that the model has not seen are left out. ``counts`` are
+    the texts' ``term_counts``, if the caller has them already."""
+    counts = term_counts(texts, key, text) if counts is None else counts
+    weighted = lookup_join(counts, model.words, "token", "left", small=model.small)
     width = sum(h.size for h in model.heads)
     sums = weighted.groupBy(key).agg(*[
         F.sum(F.coalesce(F.col("n") * F.get("weights", F.lit(i)), F.lit(0.0))).alias(f"s{i}")

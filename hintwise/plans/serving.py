@@ -11,7 +11,9 @@ from hintwise.functions.vectors import l2_normalize
 from hintwise.operators import decoding
 from hintwise.operators.blocks import SCORE_DIGITS
 from hintwise.operators.hints import hint_names
-from hintwise.operators.ranking import TextCatalog, fit_vocabulary, rank_by_text, scaled_scores, tfidf_vectors
+from hintwise.operators.ranking import (
+    TextCatalog, fit_vocabulary, rank_by_text, scaled_scores, term_counts, tfidf_vectors,
+)
 from hintwise.operators.scaling import lookup_join, written
 from hintwise.operators.textmodel import TextModel, predict_text_labels
 from hintwise.schemas import HINTS_TOP_K
@@ -26,10 +28,13 @@ def analyze_batch(
     ``catalog(table, doc)`` or what ``fit_catalog`` made of it, its ``top_k`` best tables. A blank or null question is answered like
     one without known words: by the models' priors, and by tables in name order."""
     asked = queries.withColumn("text", F.coalesce("text", F.lit("")))
-    decoded = decoding.decode(predict_text_labels(model, asked, "query_id", "text"))
+    counts = None
+    if catalog is not None:  # the words are counted once, for the labels and for the ranking
+        counts = written(term_counts(asked, "query_id", "text"), "question-terms")
+    decoded = decoding.decode(predict_text_labels(model, asked, "query_id", "text", counts))
     hints = None
     if catalog is not None:
-        hints = scaled_scores(rank_by_text(asked, catalog, top_k, vocabulary=vocabulary))
+        hints = scaled_scores(rank_by_text(asked, catalog, top_k, vocabulary=vocabulary, counts=counts))
     return decoding.analysis_record(decoded, asked, hints)
 
 
