@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hintwise.functions.hashing import md5_number, seeded_md5
+from hintwise.operators.scaling import written
 from hintwise.schemas import SEED, SPLIT_SHARES
 
-HASH_CELLS = 65_536
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
@@ -22,23 +22,29 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     hashed = df.withColumn("_h", seeded_md5(seed, F.col(key))).withColumn(
         "_cell", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
     )
-    counts = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    return _first_of_cells(hashed, n, ["_h", key]).drop("_h")
+
+
+def _first_of_cells(celled: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` rows by ``_cell`` and then ``order``, which is dropped again: whole cells,
+    and the first rows of the cell in which the n-th row falls."""
+    counts = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     running = counts.select(
         "_cell", (F.sum("_n").over(W.orderBy("_cell")) - F.col("_n")).alias("_before"), "_n"
     )
     # the cell that holds the n-th row; every cell is below it when the frame is small enough
     border = running.where((F.col("_before") < n) & (F.col("_before") + F.col("_n") > n)).agg(
         F.struct(
-            F.coalesce(F.max("_cell"), F.lit(HASH_CELLS)).alias("cell"),
+            F.coalesce(F.max("_cell"), F.lit(-1)).alias("cell"),
             F.coalesce(n - F.max("_before"), F.lit(0)).alias("take"),
         ).alias("border")
     ).first().border
     full = running.where((F.col("_before") + F.col("_n")) <= n).agg(
         F.coalesce(F.max("_cell"), F.lit(-1)).alias("last")
     ).first().last
-    below = hashed.where(F.col("_cell") <= full)
-    rest = hashed.where(F.col("_cell") == border.cell).orderBy("_h", key).limit(int(border["take"]))
-    return below.unionByName(rest).drop("_h", "_cell")
+    below = celled.where(F.col("_cell") <= full)
+    rest = celled.where(F.col("_cell") == border.cell).orderBy(*order).limit(int(border["take"]))
+    return below.unionByName(rest).drop("_cell")
 
 
 def split_bucket(key: Column, seed: int = SEED) -> Column:
@@ -64,5 +70,7 @@ def split_report(df: DataFrame) -> DataFrame:
 
 
 def head_subset(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The first n rows in key order."""
-    return df.orderBy(*keys).limit(n)
+    """The first n rows in key order. Rows are dealt out by ranges of the keys, and only the range
+    in which the n-th row falls is cut."""
+    ranged = written(df.repartitionByRange(*keys).withColumn("_cell", F.spark_partition_id()), "key-ranges")
+    return _first_of_cells(ranged, n, list(keys))

@@ -19,6 +19,7 @@ HOT_SHARE = 0.001
 BROADCAST_BYTES = 32 * 1024 * 1024
 NUMBERING_BUCKETS = 4096
 RANK_BUCKETS = 1000
+RANK_STEP = 32
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -157,8 +158,13 @@ def average_ranks(values: DataFrame, value: str, weight: str | None = None) -> D
     cuts = counts.agg(F.percentile_approx(
         value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 10 * RANK_BUCKETS
     ).alias("cuts"))
-    below = F.filter("_cuts", lambda c: c < F.col(value))
-    ranged = counts.withColumn("_cuts", cuts.scalar()).select(value, "_n", F.size(below).alias("_b"))
+    # every RANK_STEP-th cut is searched first, then those between
+    steps = cuts.select(F.struct("cuts", F.filter(
+        "cuts", lambda _, i: i % RANK_STEP == RANK_STEP - 1).alias("coarse")).alias("c"))
+    held = counts.withColumn("_c", steps.scalar()).withColumn(
+        "_k", F.size(F.filter("_c.coarse", lambda c: c < F.col(value))) * RANK_STEP)
+    fine = F.filter(F.slice("_c.cuts", F.col("_k") + 1, F.lit(RANK_STEP)), lambda c: c < F.col(value))
+    ranged = held.select(value, "_n", (F.col("_k") + F.size(fine)).alias("_b"))
     offsets = ranged.groupBy("_b").agg(F.sum("_n").alias("_rows")).select(
         "_b", (F.sum("_rows").over(W.orderBy("_b")) - F.col("_rows")).alias("_before")
     )
