@@ -71,8 +71,8 @@ TEXT = ""
 def fit_text_labels(train: DataFrame, text: str, heads: list[Head]) -> TextModel:
     """Fit all heads from one pass over the training texts.
 
-    Words are counted per class that holds for their text, combined before the shuffle, so a
-    common word costs as much as a rare one; the texts are counted in the same pass. Multi-label
+    Words are counted per list of classes that hold for their text, of which there are few, and
+    then per class, combined before the shuffle, so a common word costs as much as a rare one; the texts are counted in the same pass. Multi-label
     tags get the log odds of the tag against its absence. Counts are smoothed by one.
     """
     width = sum(h.size for h in heads)
@@ -90,8 +90,9 @@ def fit_text_labels(train: DataFrame, text: str, heads: list[Head]) -> TextModel
         train.select(
             F.explode_outer(entries).alias("token"), F.array_compact(F.concat(*members)).alias("classes")
         )
-        .select("token", F.explode_outer("classes").alias("class"))
-        .groupBy("token", "class").agg(F.count(F.lit(1)).alias("n")),
+        .groupBy("token", "classes").agg(F.count(F.lit(1)).alias("n"))
+        .select("token", F.explode_outer("classes").alias("class"), "n")
+        .groupBy("token", "class").agg(F.sum("n").alias("n")),
         "word-counts",
     )
 
