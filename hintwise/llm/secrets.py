@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +94,6 @@ def fit_ratio(samples: DataFrame) -> list[float]:
         lambda i: F.substring("sample", i, F.lit(2)),
     )).alias("pair")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
     counts = {(r.random, r.pair): r.n for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
-    import math
-
     size, ratios = len(ALPHABET), []
     for a in ALPHABET:
         totals = {k: sum(counts.get((k, a + b), 0) for b in ALPHABET) + size for k in (True, False)}
