@@ -104,10 +104,11 @@ def _found(docs: DataFrame, items: DataFrame, length: int, slack: int) -> DataFr
 
 
 def _with_candidates(docs: DataFrame, items: DataFrame, length: int, slack: int) -> DataFrame:
-    """doc_id, words and the candidates (c) of every row; rows without any have null."""
+    """doc_id, words and the candidates (c) of every row; rows without any have null. Candidates grow
+    with the corpus, so they meet their texts by a shuffle at every size."""
     found = _found(docs, items, length, slack)
     rows = keyed(docs.select("doc_id", "text"))
-    return rows.join(F.broadcast(found) if small_enough(found) else found, ["_k1", "_k2"], "left").select(
+    return rows.join(found.hint("merge"), ["_k1", "_k2"], "left").select(
         F.nullif("_k1", F.lit(ABSENT)).alias("doc_id"), plain_words(F.col("text")).alias("words"), "c")
 
 
@@ -161,7 +162,7 @@ def clean(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS) -> Data
     """The rows of ``docs``, with their columns, in which no benchmark window occurs."""
     found = _found(docs, items, length, 0)
     rows = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"))
-    joined = rows.join(F.broadcast(found) if small_enough(found) else found, ["_k1", "_k2"], "left")
+    joined = rows.join(found.hint("merge"), ["_k1", "_k2"], "left")
     hit = F.when(F.col("c").isNull(), False).otherwise(let(plain_words(F.col("text")), lambda w: F.exists(
         "c", lambda x: _at(w, x) == x["phrase"])))
     return joined.where(~hit).select("_row.*")
