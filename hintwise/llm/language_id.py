@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hintwise.llm.common import per_process
+from hintwise.llm.common import per_process, short_batches
 
 ORDER = 4
 UNKNOWN = "und"
@@ -186,6 +186,8 @@ def _chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
 
 def count_runs(docs: DataFrame) -> DataFrame:
     """(lang, key, n) of labelled texts."""
+    short_batches(docs.sparkSession)
+
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
@@ -228,6 +230,7 @@ def fit(
 
 
 def _scorer(spark: SparkSession, model: Model):
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(dict(vars(model)))  # plain arrays
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")

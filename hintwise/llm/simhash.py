@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hintwise.llm.common import keyed, per_process
+from hintwise.llm.common import keyed, per_process, short_batches
 from hintwise.operators.scaling import written
 
 GENERATOR = 0b110001110101  # the Golay code's generator polynomial
@@ -58,6 +58,8 @@ def fingerprints(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, more: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, *more, fp), one row per input row; fp is the fingerprint as a signed number."""
+    short_batches(docs.sparkSession)
+
     @F.pandas_udf("bigint")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hintwise.llm.common import ABSENT, keyed
+from hintwise.llm.common import ABSENT, keyed, short_batches
 
 WINDOW_WORDS = 35
 GROUP_WORDS = 4
@@ -133,6 +133,8 @@ def _dealt(held: dict, buckets: int) -> pd.DataFrame:
 
 
 def packed_windows(docs: DataFrame, window: int, group: int, buckets: int) -> DataFrame:
+    short_batches(docs.sparkSession)
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = {}, 0
 

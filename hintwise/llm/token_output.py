@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hintwise.llm.common import per_process, text_hash
+from hintwise.llm.common import per_process, short_batches, text_hash
 from hintwise.operators.scaling import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,7 +34,7 @@ CHUNK_IDS = 1 << 16
 LEVEL = 3
 MAGIC = b"HWBP"
 # distinct words whose ids a worker remembers; beyond them words are tokenized again each time
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 CHUNK_SCHEMA = (
     "shard int, chunk int, first_id bigint, n_ids int, record binary, doc_no array<bigint>, "
     "doc_id array<bigint>, doc_before array<bigint>, doc_ids array<int>, doc_ends array<boolean>"
@@ -185,6 +185,8 @@ def encode(
     if shards is None:
         shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    short_batches(docs.sparkSession)
+
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path)
         end = struct.pack("<I", end_id)
