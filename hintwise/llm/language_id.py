@@ -20,9 +20,13 @@ from hintwise.llm.common import per_process, short_batches
 
 ORDER = 4
 UNKNOWN = "und"
-# labelled texts that a model is fitted on, and as many others that set its rejection limits
+# labelled texts that a model is fitted on, and that set its rejection limits: languages share
+# these numbers evenly, but the share of a language is never less than the third number
 FIT_DOCUMENTS = 12_000
 CALIBRATION_DOCUMENTS = 4_000
+LEAST_DOCUMENTS = 200
+# a language that fewer texts calibrate has no limit
+LEAST_CALIBRATION = 8
 # characters that are scored at once, divided by the number of languages
 CHUNK_CHARS = 1 << 22
 REJECT_QUANTILE = 0.999
@@ -201,10 +205,36 @@ def count_runs(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def _some(docs: DataFrame, n: int, total: int, salt: int) -> DataFrame:
-    """About ``n`` of ``total`` rows, by a hash of id and text; all, if there are no more."""
-    return docs if total <= n else docs.where(
-        F.pmod(F.xxhash64(F.lit(salt), "doc_id", "text"), F.lit(1 << 30)) < int(n / total * (1 << 30)))
+def _level(sizes: list[int], total: int) -> int:
+    """The bound per language at which languages of these sizes have ``total`` texts or less between
+    them, or ``LEAST_DOCUMENTS`` if that is more."""
+    left, level = total, max(sizes, default=0)
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if n > share:
+            level = share
+            break
+        left -= n
+    return max(level, LEAST_DOCUMENTS)
+
+
+def samples(usable: DataFrame, fit_documents: int, calibration_documents: int) -> tuple[DataFrame, DataFrame]:
+    """Texts to fit on and texts to calibrate with, both (doc_id, text, lang, fold) and sampled by
+    language. The fold, 0 or 1, is a hash of the text, so copies of a text are in the same one."""
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = 1 << 30
+    to_fit, to_calibrate = (_level(list(sizes.values()), n) for n in (fit_documents, calibration_documents))
+    rates = usable.sparkSession.createDataFrame(
+        [(lang, min(whole, whole * to_fit // n), min(whole, whole * to_calibrate // n)) for lang, n in sizes.items()],
+        "lang string, _fit long, _calibrate long")
+    rows = usable.select("doc_id", "text", "lang", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(2)).alias("fold")).join(
+        F.broadcast(rates), "lang")
+
+    def some(salt: int, rate: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.lit(salt), "doc_id", "text"), F.lit(whole))
+        return rows.where(place < F.col(rate)).select("doc_id", "text", "lang", "fold")
+
+    return some(1, "_fit"), some(2, "_calibrate")
 
 
 def fit(
@@ -212,20 +242,26 @@ def fit(
 ) -> Model:
     """Fit a model on (doc_id, text, lang) and set its rejection limits.
 
-    At most about ``fit_documents`` whole texts are counted, so the counts that come to the driver
-    are bounded; up to ``calibration_documents`` more set, per language, the cross-entropy that
-    0.1 % of its texts exceed. Rows without text, letter or language teach nothing.
+    At most about ``fit_documents`` whole texts are counted (``LEAST_DOCUMENTS`` per language, if that
+    is more), so the counts that come to the driver are bounded: common languages are sampled down to
+    the same number of texts, rarer ones are taken whole. About ``calibration_documents`` texts, sampled
+    in the same way, set per language the cross-entropy that 0.1 % of its texts exceed. They are in two
+    folds, and each is scored by a model that has learned from the other only, so no text is scored by
+    what it taught. A language has no limit if fewer than ``LEAST_CALIBRATION`` of its texts are told
+    right there. Rows without text, letter or language teach nothing.
     """
     usable = labelled.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
-    total = usable.count()
-    counts = count_runs(_some(usable, fit_documents, total, 1)).toPandas()
-    model = build(counts)
+    fit_on, calibrate_with = samples(usable, fit_documents, calibration_documents)
+    counts = count_runs(fit_on.withColumn("lang", F.concat(F.col("fold").cast("string"), "lang"))).toPandas()
+    counts["fold"], counts["lang"] = counts["lang"].str[0], counts["lang"].str[1:]
+    model = build(counts.groupby(["lang", "key"], as_index=False)["n"].sum())
     if not model.languages:
         return model
-    scored = predict(_some(usable, calibration_documents, total, 2).select("doc_id", "text", "lang"), model, ("lang",))
-    right = scored.where("lang = lang_pred").groupBy("lang").agg(
-        F.percentile_approx("cross_entropy", REJECT_QUANTILE, 10_000).alias("limit"))
-    model.limits = {r.lang: r.limit for r in right.collect()}
+    scored = [predict(calibrate_with.where(F.col("fold") == fold), build(counts[counts["fold"] == str(1 - fold)]), ("lang",))
+              for fold in (0, 1)]
+    right = scored[0].unionByName(scored[1]).where("lang = lang_pred").groupBy("lang").agg(
+        F.percentile_approx("cross_entropy", REJECT_QUANTILE, 10_000).alias("limit"), F.count(F.lit(1)).alias("n"))
+    model.limits = {r.lang: r.limit for r in right.where(F.col("n") >= LEAST_CALIBRATION).collect()}
     return model
 
 
