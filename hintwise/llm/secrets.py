@@ -18,8 +18,8 @@ ASSIGN_LEAST = 8
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-# documents from which the query takes its labelled samples
-SAMPLE_DOCUMENTS = 20_000
+# weight of the even distribution in the model of random strings
+EVEN_SHARE = 0.5
 # least sum of log-likelihood ratios (nats) of a token
 MARGIN = 12.0
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -55,17 +55,9 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def labelled_samples(docs: DataFrame, n_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(sample, random): values of assignments, access keys and hex runs as random strings, and
-    runs of twelve or more letters or underscores as ordinary identifiers.
-
-    They come from about ``n_documents`` documents (all, if there are no more), chosen by a hash
-    of the id; the models have two small tables, whatever the size of the corpus.
-    """
-    total = docs.count()
-    chosen = docs if total <= n_documents else docs.where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(n_documents / total * (1 << 30))
-    )
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """(sample, random): values of assignments, access keys and hex runs of all documents as random
+    strings, and their runs of twelve or more letters or underscores as ordinary identifiers."""
     text = F.coalesce("text", F.lit(""))
     secrets = F.concat(
         F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)),
@@ -79,27 +71,35 @@ def labelled_samples(docs: DataFrame, n_documents: int = SAMPLE_DOCUMENTS) -> Da
         F.transform(secrets, lambda s: F.struct(s.alias("sample"), F.lit(True).alias("random"))),
         F.transform(words, lambda s: F.struct(s.alias("sample"), F.lit(False).alias("random"))),
     )
-    return chosen.select(F.inline(pairs)).where(F.char_length("sample") >= ASSIGN_LEAST)
+    return docs.select(F.inline(pairs)).where(F.char_length("sample") >= ASSIGN_LEAST)
 
 
 def fit_ratio(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of character pairs, random against ordinary, add-one smoothed.
-
-    ``samples`` has (sample, random). Pairs with a character outside the alphabet are skipped.
-    The result has one number per pair of the alphabet's characters, row by row, so at most that
-    many counts come to the driver. Without samples all ratios are 0.
+    """Log-likelihood ratios of character pairs, random against ordinary.
+
+    ``samples`` has (sample, random). The model of random strings mixes the shares of pairs with the
+    even distribution (``EVEN_SHARE``), so that it does not depend on which kinds of secrets the samples
+    happen to hold. That of ordinary identifiers joins each pair's share with the share of its second
+    character (add-one smoothed), which weighs as much as ``len(ALPHABET)`` pairs. Pairs with a
+    character outside the alphabet are skipped. The result has one number per pair of the alphabet's
+    characters, row by row, so at most that many counts come to the driver. Without samples of one of
+    the classes all ratios are 0.
     """
     pairs = samples.select("random", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.char_length("sample") - 1, F.lit(1))),
         lambda i: F.substring("sample", i, F.lit(2)),
     )).alias("pair")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
     counts = {(r.random, r.pair): r.n for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
-    size, ratios = len(ALPHABET), []
-    for a in ALPHABET:
-        totals = {k: sum(counts.get((k, a + b), 0) for b in ALPHABET) + size for k in (True, False)}
-        for b in ALPHABET:
-            p, q = ((counts.get((k, a + b), 0) + 1) / totals[k] for k in (True, False))
-            ratios.append(math.log(p / q))
+    size = len(ALPHABET)
+    random, plain = ([[counts.get((k, a + b), 0) for b in ALPHABET] for a in ALPHABET] for k in (True, False))
+    if not any(map(any, random)) or not any(map(any, plain)):
+        return [0.0] * size ** 2
+    alone = [sum(column) + 1 for column in zip(*plain)]
+    ratios = []
+    for r, q in zip(random, plain):
+        for b in range(size):
+            even = EVEN_SHARE / size + (1 - EVEN_SHARE) * (r[b] / sum(r) if any(r) else 1 / size)
+            ratios.append(math.log(even / ((q[b] + size * alone[b] / sum(alone)) / (sum(q) + size))))
     return ratios
 
 

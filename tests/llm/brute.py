@@ -35,6 +35,22 @@ def secrets(text):
     return (*(sum(f[1] == k for f in found) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest())
 
 
+def all_secrets(text, ratios, margin=12.0):
+    """(start, kind, end) of the fixed patterns, and of tokens that the pair ratios call random."""
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    more = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) >= 16 and not any(s < m.end() and m.start() < e for s, _, e in found):
+            at = [alphabet.index(c) for c in m[0]]
+            if sum(ratios[a * len(alphabet) + b] for a, b in zip(at, at[1:])) >= margin:
+                more.append((m.start(), 3, m.end()))
+    return sorted(found + more)
+
+
 def water_fill(sizes, weights=(3, 1, 2), share=1.5, most=2):
     """sizes: {source: size}. Deals by weight, again and again, until none is above its cap."""
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)

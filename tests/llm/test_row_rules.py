@@ -1,5 +1,8 @@
 """Mixing, quality rules and secret scans against brute force."""
 
+import random
+import string
+
 import brute
 import edge
 import pytest
@@ -61,6 +64,37 @@ def test_secret_models(spark):
     assert str(text.index("internat")) not in [s.split(":")[1] for s in row.spans.split(",")]
 
 
+def test_secret_recall_by_length(spark):
+    """Held-out random tokens of 16 characters and more are found, held-out identifiers are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    ratios = secrets.fit_ratio(secrets.labelled_samples(docs.where(~held)))
+    plain = [r.sample for r in secrets.labelled_samples(docs.where(held)).where("NOT random").collect()]
+    rng, size = random.Random(3), len(secrets.ALPHABET)
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)}
+
+    def flagged(t):
+        return sum(ratios[place[a] * size + place[b]] for a, b in zip(t, t[1:])) >= secrets.MARGIN
+
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, secrets.ALPHABET):
+        for n in (16, 20, 24, 32):
+            assert sum(flagged("".join(rng.choices(alphabet, k=n))) for _ in range(500)) >= 0.95 * 500
+    joined = ["_".join(rng.choices(plain, k=2)) for _ in range(1000)]
+    assert sum(map(flagged, plain + joined)) < 0.01 * len(plain + joined)
+
+
+def test_added_spans_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, "id Zk3vQ9xB2mW7rT5yL8pN4jH6, Ünicode é q8W2e4R6t1Y3u5I7o9P0 token: Zk3vQ9xB2mW7rT5yL8pN4jH6")], "doc_id long, text string"))
+    rng = random.Random(4)
+    samples = [("".join(rng.choices(string.ascii_letters + string.digits, k=20)), True) for _ in range(50)]
+    samples += [(w, False) for w in ("internationalization", "characteristically", "reinterpretation") * 100]
+    ratios = secrets.fit_ratio(spark.createDataFrame(samples, "sample string, random boolean"))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(docs, ratios).collect()}
+    assert got == {r.doc_id: brute.all_secrets(r.text, ratios) for r in docs.collect()}
+    assert sum(k == 3 for _, k, _ in got[-1]) == 2
+
+
 def test_many_secrets_in_one_text(spark):
     text = " ".join(f"x{i} password=p{i:09d}é" for i in range(2000))
     ratios = [0.0] * len(secrets.ALPHABET) ** 2
@@ -101,4 +135,5 @@ def test_empty_tables(spark):
     none = edge.empty(spark)
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert quality_rules.apply_rules(none).count() == 0
+    assert secrets.scan(none, [0.0] * len(secrets.ALPHABET) ** 2).count() == 0
     assert secrets.fit_ratio(secrets.labelled_samples(none)) == [0.0] * len(secrets.ALPHABET) ** 2
