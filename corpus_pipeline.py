@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hintwise.llm import decontamination, language_id, mixing, shingle_copies, token_output
+from hintwise.llm import decontamination, language_id, mixing, simhash, token_output
 from hintwise.operators.scaling import written
 
 
@@ -16,8 +16,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: similarity 0.8 or more on shingles of five words."""
-    return shingle_copies.first_of_similar(docs)
+    """Keep one document of each group that links join: fingerprints of three-word shingles that differ in
+    three bits or less. Null and empty texts are copies of each other; other columns travel along."""
+    return simhash.first_of_groups(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
