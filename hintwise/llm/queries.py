@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hintwise.llm import (
-    decontamination, language_id, licenses, mixing, quality_classifier, quality_rules, secrets, simhash,
-    substring_dedup, token_output,
+    decontamination, language_id, licenses, minhash, mixing, quality_classifier, quality_rules, secrets,
+    simhash, substring_dedup, token_output,
 )
 from hintwise.operators.scaling import written
 
@@ -104,3 +104,8 @@ def op9_secret_scan(spark, sf_dir):
 def op10_simhash_groups(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_minhash_groups(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))

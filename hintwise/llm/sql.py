@@ -174,10 +174,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (rid)
 """
 
+MINHASH = f"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all({_lowered('text')}, '{BLANK_WORD}') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s
+  FROM cut
+), sized AS (
+  SELECT c.doc_id, count(s) AS n FROM cut c LEFT JOIN shingles USING (doc_id) GROUP BY c.doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+  WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.other FROM reach r JOIN (
+    SELECT a AS doc_id, b AS other FROM links UNION ALL SELECT b, a FROM links) l ON r.other = l.doc_id
+)
+SELECT doc_id, n::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reach JOIN sized USING (doc_id) GROUP BY doc_id, n
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX,
     "op2_quality_rules": RULES,
     "op4_license_scan": LICENSES,
     "op5_decontaminate": DECONTAMINATE,
     "op8_substring_dedup": DEDUP,
+    "op11_minhash_groups": MINHASH,
 }
