@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hintwise.llm import (
-    decontamination, language_id, licenses, minhash, mixing, quality_classifier, quality_rules, secrets,
-    simhash, substring_dedup, token_output,
+    decontamination, filter_audit, language_id, licenses, minhash, mixing, quality_classifier, quality_rules,
+    secrets, simhash, substring_dedup, token_output,
 )
 from hintwise.operators.scaling import written
 
@@ -109,3 +109,8 @@ def op10_simhash_groups(spark, sf_dir):
 @query
 def op11_minhash_groups(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")

@@ -199,6 +199,41 @@ SELECT doc_id, n::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min
 FROM reach JOIN sized USING (doc_id) GROUP BY doc_id, n
 """
 
+AUDIT = f"""
+WITH RECURSIVE orders AS (
+  SELECT '' AS o UNION ALL SELECT o || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(f) WHERE NOT contains(o, f)
+), base AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{BLANK_WORD}') AS w FROM documents
+), firsts AS (
+  SELECT t, min(doc_id) AS first_id FROM base GROUP BY t
+), judged AS (
+  SELECT b.doc_id, part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(b.t, '[A-Z]')) > 5 * length(b.t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(b.t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN b.doc_id > first_id THEN 'E' ELSE '' END AS failed,
+    coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+  FROM base b JOIN firsts f ON b.t = f.t LEFT JOIN (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) l ON b.doc_id = l.doc_id
+), steps AS (
+  SELECT o, k, substr(o, k, 1) AS f FROM orders, range(1, 6) r(k) WHERE length(o) = 5
+), seen AS (
+  SELECT part, o, k, f, doc_id, good, toxic, contains(failed, f) AS fails, failed = f AS alone,
+    length(translate(substr(o, 1, k - 1), failed, '')) < k - 1 AS gone
+  FROM judged, steps
+), counted AS (
+  SELECT part, o, k, f,
+    count(*) FILTER (NOT gone AND NOT fails) AS kept, count(*) FILTER (NOT gone AND fails) AS removed,
+    count(*) FILTER (gone AND fails) AS redundant, count(*) FILTER (alone) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT part, o AS filter_order, k::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX,
     "op2_quality_rules": RULES,
@@ -206,4 +241,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": DECONTAMINATE,
     "op8_substring_dedup": DEDUP,
     "op11_minhash_groups": MINHASH,
+    "op13_filter_audit": AUDIT,
 }
