@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hintwise.llm import (
-    decontamination, filter_audit, language_id, licenses, minhash, mixing, quality_classifier, quality_rules,
-    secrets, simhash, substring_dedup, token_output,
+    conversation_repair, decontamination, filter_audit, language_id, licenses, minhash, mixing,
+    quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_output,
 )
 from hintwise.operators.scaling import written
 
@@ -111,6 +111,17 @@ def op11_minhash_groups(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.digest(conversation_repair.repair(conversation_repair.damaged(rows)))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return rows.select("conv_id").distinct().alias("o").join(
+        found.alias("f"), F.col("o.conv_id").eqNullSafe(F.col("f.conv_id")), "left").select(
+        "o.conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @query
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
