@@ -7,14 +7,9 @@ reads, one array of logits per head.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,67 +153,6 @@ def predict_text_labels(
     return sums.select(key, *columns)
 
 
-def warn_if_unfinished(iterations: int, most: int, what: str) -> None:
-    if iterations >= most:
-        warnings.warn(f"{what}: the optimizer stopped at its limit of {most} passes", stacklevel=3)
-
-
-# --- linear models from Spark ML ------------------------------------------------------------
-
-def _text_stages(text: str, features: int) -> list:
-    return [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_features"),
-    ]
-
-
-def fit_text_labels_lr(
-    train: DataFrame, text: str, heads: list[Head], features: int = 1 << 16, max_iter: int = 100
-) -> dict[str, list[PipelineModel]]:
-    """Logistic regression on hashed tf-idf: one model per single-label head, one binary model
-    per tag of a multi-label head. The features are computed once for all models."""
-    prepared = Pipeline(stages=_text_stages(text, features)).fit(train)
-    ready = written(prepared.transform(train).select(
-        "_features", *[F.col(h.column) for h in heads]
-    ), "lr-features")
-    fitted: dict[str, list[PipelineModel]] = {}
-    for head in heads:
-        targets = (
-            [F.get(head.column, F.lit(i)).cast("double") for i in range(head.size)]
-            if head.multi else [F.col(head.column).cast("double")]
-        )
-        models = []
-        for target in targets:
-            lr = LogisticRegression(
-                featuresCol="_features", labelCol="_y", maxIter=max_iter, regParam=0.01,
-                rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_pred",
-            )
-            fitted_lr = lr.fit(ready.withColumn("_y", target))
-            warn_if_unfinished(fitted_lr.summary.totalIterations, max_iter, head.name)
-            models.append(PipelineModel([*prepared.stages, fitted_lr]))
-        fitted[head.name] = models
-    return fitted
-
-
-def predict_text_labels_lr(
-    fitted: dict[str, list[PipelineModel]], texts: DataFrame, key: str, heads: list[Head]
-) -> DataFrame:
-    """One array of logits per head, as from :func:`predict_text_labels`."""
-    scored = PipelineModel(fitted[heads[0].name][0].stages[:-1]).transform(texts)
-    for head in heads:
-        raws = []
-        for i, model in enumerate(fitted[head.name]):
-            raw = f"_raw_{head.name}_{i}"
-            scored = model.stages[-1].copy().setRawPredictionCol(raw).transform(scored).drop("_p", "_pred")
-            raws.append(vector_to_array(raw))
-        if head.multi:
-            scored = scored.withColumn(head.name, F.array(*[F.get(r, F.lit(1)) for r in raws]))
-        else:
-            scored = scored.withColumn(head.name, raws[0])
-    return scored.select(key, *[h.name for h in heads])
-
-
 # --- relevance of question/name pairs ---------------------------------------------------------
 
 PAIR_FEATURES = ["shared", "jaccard", "idf_share"]
@@ -252,20 +186,3 @@ def pair_features(pairs: DataFrame, key: str, question: str, name: str) -> DataF
     return joined.withColumn(
         "idf_share", F.coalesce(F.try_divide(total(hit), total("_idf")), F.lit(0.0))
     ).drop("_q", "_n", "_idf")
-
-
-def fit_pair_relevance(features: DataFrame, label: str = "label", max_iter: int = 100) -> PipelineModel:
-    """Logistic regression from pair features to relevance."""
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=PAIR_FEATURES, outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter, regParam=0.001),
-    ]).fit(features)
-    warn_if_unfinished(model.stages[-1].summary.totalIterations, max_iter, "pair relevance")
-    return model
-
-
-def score_pair_relevance(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Add ``score``, the probability that the name is relevant to the question."""
-    return model.transform(features).withColumn(
-        "score", F.get(vector_to_array("probability"), F.lit(1))
-    ).drop("_features", "rawPrediction", "probability", "prediction")

@@ -557,6 +557,55 @@ SELECT doc_id, (q1 > q0)::INT AS quality_pred, (t1 > t0)::INT AS toxic_pred,
   {r('q0', 4)} AS quality_0, {r('q1', 4)} AS quality_1, {r('t0', 4)} AS toxic_0, {r('t1', 4)} AS toxic_1 FROM lg""")
 
 
+def accelerated(rounds: int, most: float, reg: str = "reg") -> str:
+    """Weights (prob, tok, w) of logistic regressions by accelerated gradient steps of fixed length, which
+    know nothing of the library's optimizer.
+
+    Relations: ``xs`` (row, tok, v) with a constant under the token '', ``ys`` (row, prob, y, n) with n equal
+    rows each, ``sizes`` (prob, total), ``reg`` (prob, reg). ``most`` is the largest squared length of a row. The mean
+    loss has a curvature of at most most / 4 + reg and at least reg."""
+    length = f"({most} / 4 + {reg})"
+    push = f"((sqrt({length}) - sqrt({reg})) / (sqrt({length}) + sqrt({reg})))"
+    return f"""gd AS (
+  SELECT 0 AS step, prob, tok, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m FROM reg, (SELECT DISTINCT tok FROM xs)
+  UNION ALL
+  SELECT step + 1, prob, tok, m - (g + reg * m) / {length},
+    (m - (g + reg * m) / {length}) * (1 + {push}) - w * {push}
+  FROM gd JOIN reg USING (prob) JOIN (
+    SELECT prob, tok, sum(v * slope) AS g
+    FROM (
+      SELECT ys.row, prob, n * (1 / (1 + exp(-margin)) - y) / total AS slope
+      FROM (SELECT row, prob, sum(v * m) AS margin FROM gd JOIN xs USING (tok) GROUP BY row, prob)
+      JOIN ys USING (row, prob) JOIN sizes USING (prob)
+    ) JOIN xs USING (row) GROUP BY prob, tok
+  ) USING (prob, tok)
+  WHERE step < {rounds}
+), fitted AS (SELECT prob, tok, w FROM gd WHERE step = {rounds})"""
+
+
+def unit_vectors(counts: str, texts: str) -> str:
+    """``idf`` and the rows ``xs`` for ``counts`` (row, tok, n, copies) out of ``texts`` texts."""
+    return f"""idf AS (SELECT tok, ln(({texts} + 1) / (sum(copies) + 1)) + 1 AS idf FROM {counts} GROUP BY tok),
+xs AS (SELECT row, tok, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY row)) AS v FROM {counts} JOIN idf USING (tok)
+  UNION ALL SELECT DISTINCT row, '', 1.0 FROM ys)"""
+
+
+# with two classes and equal penalties the logits are opposite, so one margin with half the penalty tells both
+ORACLES["fit_text_labels_lr"] = with_([f"""labelled AS (SELECT doc_id AS row, text, quality, toxic FROM documents JOIN labels USING (doc_id))""", f"""
+train AS (SELECT * FROM labelled WHERE {bucket('row')} < 700),
+ys AS (SELECT row, 'quality' AS prob, quality AS y, 1 AS n FROM train UNION ALL SELECT row, 'toxic', toxic, 1 FROM train),
+sizes AS (SELECT prob, count(*) AS total FROM ys GROUP BY prob),
+reg AS (SELECT prob, 0.005::DOUBLE AS reg FROM sizes),
+tc AS (SELECT row, tok, count(*) AS n, 1 AS copies FROM (SELECT row, unnest({words('text')}) AS tok FROM train) GROUP BY row, tok)""",
+unit_vectors("tc", "(SELECT count(*) FROM train)"), accelerated(420, 2.0), f"""
+dc AS (SELECT row, tok, count(*) * any_value(idf) AS x FROM (SELECT row, unnest({words('text')}) AS tok FROM labelled) JOIN idf USING (tok) GROUP BY row, tok),
+dots AS (SELECT row, prob, sum(x * w) / sqrt(sum(x * x)) AS s FROM dc JOIN fitted USING (tok) GROUP BY row, prob),
+lg AS (SELECT l.row, f.prob, coalesce(s, 0) + w AS margin FROM labelled l JOIN fitted f ON f.tok = '' LEFT JOIN dots ON dots.row = l.row AND dots.prob = f.prob),
+sides AS (SELECT row AS doc_id, max(margin) FILTER (prob = 'quality') AS q, max(margin) FILTER (prob = 'toxic') AS t FROM lg GROUP BY row)"""], f"""
+SELECT doc_id, (q > 0)::INT AS quality, (t > 0)::INT AS toxic, {r('-q / 2', 4)} AS quality_0, {r('q / 2', 4)} AS quality_1,
+  {r('-t / 2', 4)} AS toxic_0, {r('t / 2', 4)} AS toxic_1 FROM sides""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _truths() -> str:
     single = " UNION ALL ".join(
         f"SELECT query_id, '{h}' AS head, c.i AS cls, ({S.HEAD_COLUMNS[h]} = c.label)::INT AS y FROM trained, "
@@ -586,6 +635,21 @@ prior AS (SELECT head, cls, CASE WHEN any_value(multi) THEN ln((sum(y) + 1) / (c
     WHEN sum(y) = 0 THEN -1e6::DOUBLE ELSE ln((sum(y) + 1) / (count(*) + any_value(size))) END AS p FROM truth JOIN is_multi USING (head) GROUP BY head, cls)"""
 
 
+# equal questions with equal tags are one row that counts as often as it occurs
+ORACLES["fit_text_tags_lr"] = with_([*LOG_LABELLED, f"""
+trained AS (SELECT instruction, keywords, subcategories, count(*) AS n FROM labelled WHERE {bucket('query_id')} < 700 GROUP BY ALL),
+distinct_rows AS (SELECT row_number() OVER (ORDER BY instruction, keywords::VARCHAR, subcategories::VARCHAR) AS row, * FROM trained),
+ys AS (""" + " UNION ALL ".join(
+    f"SELECT row, '{h}:' || tag AS prob, list_contains({S.HEAD_COLUMNS[h]}, tag)::INT AS y, n "
+    f"FROM distinct_rows, (SELECT unnest({listing(cs)}) AS tag)" for h, cs in S.MULTI_HEADS.items()
+) + f"""),
+sizes AS (SELECT prob, sum(n) AS total FROM ys GROUP BY prob),
+reg AS (SELECT prob, 0.01::DOUBLE AS reg FROM sizes),
+qc AS (SELECT row, tok, count(*) AS n, any_value(copies) AS copies FROM (SELECT row, n AS copies, unnest({words('instruction')}) AS tok FROM distinct_rows) GROUP BY row, tok)""",
+unit_vectors("qc", "(SELECT sum(n) FROM trained)"), accelerated(260, 2.0)], f"""
+SELECT split_part(prob, ':', 1) AS head, split_part(prob, ':', 2) AS tag, tok AS token, {r('w', 4)} AS weight FROM fitted""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def analyzed(questions: str) -> list[str]:
     """``decoded`` for a relation (query_id, text), by the model fitted on the log."""
     gathered = ", ".join(
@@ -750,14 +814,48 @@ SELECT k, {r('avg(share)')} AS recall FROM (
 
 # --- pair features -----------------------------------------------------------------------------
 
-ORACLES["pair_features"] = with_([QA, PARSED, PAIRS, f"""
+PAIR_SHARES = f"""
 header_names AS (SELECT DISTINCT header AS name, list_distinct({words('header')}) AS ws FROM pairs),
 header_words AS (SELECT name, unnest(ws) AS tok FROM header_names),
 word_idf AS (SELECT tok, ln(((SELECT count(*) FROM header_names) + 1) / (count(*) + 1)) + 1 AS w FROM header_words GROUP BY tok),
-pair_words AS (SELECT row_id, header, header_pos, list_distinct({words('question')}) AS q, list_distinct({words('header')}) AS h FROM pairs),
+pair_words AS (SELECT row_id, header, header_pos, label, list_distinct({words('question')}) AS q, list_distinct({words('header')}) AS h FROM pairs),
 shares AS (SELECT row_id, header_pos, sum(w) FILTER (list_contains(q, tok)) / sum(w) AS share
-  FROM (SELECT row_id, header_pos, q, unnest(h) AS tok FROM pair_words) JOIN word_idf USING (tok) GROUP BY ALL)"""], f"""
+  FROM (SELECT row_id, header_pos, q, unnest(h) AS tok FROM pair_words) JOIN word_idf USING (tok) GROUP BY ALL)"""
+ORACLES["pair_features"] = with_([QA, PARSED, PAIRS, PAIR_SHARES], f"""
 SELECT row_id, header, len(list_intersect(q, h))::DOUBLE AS shared,
   {r('coalesce(len(list_intersect(q, h)) / nullif(len(list_distinct(list_concat(q, h))), 0), 0)')} AS jaccard,
   {r('coalesce(share, 0)')} AS idf_share
 FROM pair_words LEFT JOIN shares USING (row_id, header_pos)""")
+
+
+def _newton() -> str:
+    """Newton steps for the pair features, the system of four equations solved by elimination."""
+    x = ["1.0::DOUBLE", "shared", "jaccard", "idf_share"]
+    margin = " + ".join(f"w{i} * {c}" for i, c in enumerate(x))
+    sums = ", ".join(
+        [f"sum(n * (p - y) * {c}) / sum(n) + {0.001 if i else 0.0} * any_value(w{i}) AS g{i}" for i, c in enumerate(x)]
+        + [f"sum(n * p * (1 - p) * {x[i]} * {x[j]}) / sum(n) + {0.001 if i == j and i else 0.0} AS a{i}{j}" for i in range(4) for j in range(4)])
+    inner = f"SELECT any_value(step) AS step, {', '.join(f'any_value(w{i}) AS w{i}' for i in range(4))}, {sums} FROM (SELECT *, 1 / (1 + exp(-({margin}))) AS p FROM newton, distinct_features)"
+    # eliminate one unknown after the other, then insert backwards
+    for k in range(3):
+        kept = [f"w{i}" for i in range(4)] + [f"g{i}" for i in range(k + 1)] + [f"a{i}{j}" for i in range(k + 1) for j in range(4)]
+        new = [f"g{i} - a{i}{k} / a{k}{k} * g{k} AS g{i}" for i in range(k + 1, 4)]
+        new += [f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" for i in range(k + 1, 4) for j in range(4)]
+        inner = f"SELECT step, {', '.join(kept + new)} FROM ({inner})"
+    for i in (3, 2, 1, 0):
+        rest = "".join(f" - a{i}{j} * d{j}" for j in range(i + 1, 4))
+        inner = f"SELECT *, (g{i}{rest}) / a{i}{i} AS d{i} FROM ({inner})"
+    return f"""newton AS (
+  SELECT 0 AS step, {', '.join(f'0.0::DOUBLE AS w{i}' for i in range(4))}
+  UNION ALL
+  SELECT step + 1, {', '.join(f'w{i} - d{i}' for i in range(4))} FROM ({inner}) WHERE step < 40
+)"""
+
+
+ORACLES["fit_pair_relevance"] = with_([QA, PARSED, PAIRS, PAIR_SHARES, """
+measured AS (SELECT row_id, header, pair_words.label, len(list_intersect(q, h))::DOUBLE AS shared,
+  coalesce(len(list_intersect(q, h)) / nullif(len(list_distinct(list_concat(q, h))), 0), 0)::DOUBLE AS jaccard, coalesce(share, 0)::DOUBLE AS idf_share
+  FROM pair_words LEFT JOIN shares USING (row_id, header_pos)),
+distinct_features AS (SELECT shared, jaccard, idf_share, label::DOUBLE AS y, count(*) AS n FROM measured GROUP BY ALL)""", _newton()], f"""
+SELECT row_id, header, measured.label, {r('1 / (1 + exp(-(w0 + w1 * shared + w2 * jaccard + w3 * idf_share)))', 4)} AS score
+FROM measured, newton WHERE step = 40""").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -17,7 +17,7 @@ from hintwise.functions import sql_labels as L
 from hintwise.functions.text import extract_prompt, extract_prompt_strict
 from hintwise.functions.vectors import cosine, l2_normalize
 from hintwise.operators import (
-    catalog, decoding, encoding, evaluation, hints, pairs, profiling, ranking, sampling, textmodel,
+    catalog, decoding, encoding, evaluation, hints, linear, pairs, profiling, ranking, sampling, textmodel,
 )
 from hintwise.operators.labelling import drop_unlabelled, label_query_log, with_referenced_tables
 from hintwise.operators.scaling import shared_folder, written
@@ -735,13 +735,29 @@ def predict_text_labels(spark, sf):
 
 @query
 def fit_text_labels_lr(spark, sf):
+    """Logits of all documents by the model that the training documents gave."""
     data = written(document_labels(spark, sf), "labelled-documents")
-    fitted = textmodel.fit_text_labels_lr(data.where("split = 'train'"), "text", DOCUMENT_HEADS)
-    return textmodel.predict_text_labels_lr(fitted, data, "doc_id", DOCUMENT_HEADS).select(
-        "doc_id", *[decoding.softmax_argmax(F.col(h.name))["idx"].alias(h.name) for h in DOCUMENT_HEADS]
+    fitted = linear.fit_text_labels_lr(data.where("split = 'train'"), "doc_id", "text", DOCUMENT_HEADS)
+    logits = linear.predict_text_labels_lr(fitted, data, "doc_id", "text")
+    return logits.select(
+        "doc_id", *[decoding.softmax_argmax(F.col(h.name))["idx"].alias(h.name) for h in DOCUMENT_HEADS],
+        *[rounded(F.get(h.name, F.lit(i)), 4).alias(f"{h.name}_{i}") for h in DOCUMENT_HEADS for i in range(2)],
     )
 
 
+@query
+def fit_text_tags_lr(spark, sf):
+    """Weights of the tags of both multi-label heads, fitted together on the training questions."""
+    data = training.training_set(log_of(spark, sf)).where("split = 'train'")
+    fitted = linear.fit_text_labels_lr(data, "query_id", "instruction", [h for h in training.analyzer_heads() if h.multi])
+    tags = [(h.name, tag) for h in fitted.heads for tag in S.MULTI_HEADS[h.name]]
+    bias = spark.createDataFrame([("", list(fitted.bias))], "token string, weights array<double>")
+    names = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(t).alias("tag")) for h, t in tags])
+    return fitted.words.select("token", "weights").unionByName(bias).select(
+        "token", F.inline(F.arrays_zip(names.alias("name"), F.col("weights").alias("weight")))
+    ).select("name.head", "name.tag", "token", rounded(F.col("weight"), 4).alias("weight"))
+
+
 @query
 def pair_features(spark, sf):
     mined = pairs.column_pairs(pairs.usable_qa_rows(parsed_qa(spark, sf)), "row_id")
@@ -753,9 +769,9 @@ def pair_features(spark, sf):
 def fit_pair_relevance(spark, sf):
     mined = pairs.column_pairs(pairs.usable_qa_rows(parsed_qa(spark, sf)), "row_id")
     features = written(textmodel.pair_features(mined, "row_id", "question", "header"), "pair-features")
-    model = textmodel.fit_pair_relevance(features)
-    return textmodel.score_pair_relevance(model, features).select(
-        "row_id", "header", "label", rounded(F.col("score")).alias("score")
+    model = linear.fit_pair_relevance(features)
+    return linear.score_pair_relevance(model, features).select(
+        "row_id", "header", "label", rounded(F.col("score"), 4).alias("score")
     )
 
 

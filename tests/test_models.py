@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hintwise.functions import vectors as V
-from hintwise.operators import decoding, evaluation, textmodel
+from hintwise.operators import decoding, evaluation, linear, textmodel
 from hintwise.operators.textmodel import Head
 
 
@@ -61,8 +61,8 @@ def test_linear_model_separates(spark):
     rows = [(i, "alpha beta" if i % 2 else "gamma delta", i % 2, [i % 2, 1 - i % 2]) for i in range(40)]
     df = spark.createDataFrame(rows, "id bigint, text string, y int, tags array<int>")
     heads = [Head("h", "y", 2), Head("m", "tags", 2, multi=True)]
-    fitted = textmodel.fit_text_labels_lr(df, "text", heads, features=1 << 10)
-    scored = textmodel.predict_text_labels_lr(fitted, df, "id", heads)
+    fitted = linear.fit_text_labels_lr(df, "id", "text", heads)
+    scored = linear.predict_text_labels_lr(fitted, df, "id", "text")
     for r in scored.collect():
         assert (r.h[1] > r.h[0]) == bool(r.id % 2) and (r.m[0] > 0) == bool(r.id % 2)
 
