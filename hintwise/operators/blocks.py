@@ -1,16 +1,22 @@
 """Scoring every question against every catalog entry in blocks.
 
 A pair of rows is never a row of any DataFrame here. Both sides are packed into blocks of at
-most ``PACK_ROWS`` vectors; a join brings blocks together, a task multiplies two blocks as
-matrices, and only the best ``k`` entries per question and block leave the task.
+most ``PACK_ROWS`` vectors, and a task multiplies two blocks as matrices.
 
 * A catalog of up to ``PACK_ROWS`` entries (the usual schema) is one block. It is handed to all
   question blocks as a scalar, and the ranks come straight out of the task: no shuffle, no join.
 * A larger catalog forms a grid (the 1-Bucket-Theta layout of Okcan and Riedewald, SIGMOD
-  2011): catalog blocks are dealt to rows of the grid and question blocks to columns, and each
-  cell is one join key. Rows and columns are sized so that the two sides are copied as little
+  2011): catalog blocks are dealt to rows of the grid and question blocks to columns. A cell holds its
+  catalog blocks, about ``HELD_BLOCKS`` of them, and reads its question blocks one after the other. It keeps the k best
+  entries of each question over all of its catalog blocks, so k rows per question and cell leave the task, and a window
+  keeps the best k of the cells' winners. Rows and columns are sized so that the two sides are copied as little
   as possible, and blocks of equal size are dealt by hash, so no cell is hot whatever the keys
-  look like. A window keeps the best k of the blocks' winners.
+  look like.
+* Sparse catalogs are packed by their heaviest terms, and a block knows the largest weight of each of its terms. These
+  bound the score of any of its entries: a cell takes blocks by falling bound, and multiplies a block only with the questions
+  whose k best entries so far the bound does not exclude. The result is exact.
+* A whole ranking has no k. Its scores are dealt out by ranges of (question, score, name), ranked within a range and
+  shifted by what a question has in the ranges before.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hintwise.operators.scaling import written
+from hintwise.operators.scaling import by_ranges, written
 
 # the functions below run in Python workers, which need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,14 +44,26 @@ PACK_ROWS = 1024
 PACK_VALUES = 1_000_000
 TERM_CHUNK = 2048
 CELLS_PER_TASK = 4
+# catalog blocks that a cell holds, on average
+HELD_BLOCKS = 16
+# terms by which sparse entries are ordered before they are packed
+ORDER_TERMS = 3
 # scores are compared at this many digits, so that summation order cannot decide a rank
 SCORE_DIGITS = 9
 
 
-def _pack(df: DataFrame, key: str, terms: str | None, weights: str) -> DataFrame:
-    """Blocks ``(ids, ptr, terms, weights)`` of unit vectors, streamed per partition.
+def _heaviest(terms: str, weights: str) -> Column:
+    """The ``ORDER_TERMS`` terms of the largest weights, the heaviest first."""
+    entries = F.transform(F.arrays_zip(F.col(terms).alias("t"), F.col(weights).alias("w")), lambda e: F.struct((-e["w"]).alias("w"), e["t"].alias("t")))
+    return F.transform(F.slice(F.sort_array(entries), 1, ORDER_TERMS), lambda e: e["t"])
 
-    Rows are sorted by key inside the partition, so a recomputed task forms the same blocks.
+
+def _pack(df: DataFrame, key: str, terms: str | None, weights: str, by_terms: bool = False) -> DataFrame:
+    """Blocks ``(ids, ptr, terms, weights, peak_terms, peaks)`` of unit vectors, streamed per partition.
+    The peaks are the distinct terms of a block with their largest absolute weights.
+
+    Rows are sorted by key inside the partition, so a recomputed task forms the same blocks; by the
+    heaviest terms first, if ``by_terms`` asks for blocks of entries that are alike.
     """
     key_type = df.schema[key].dataType
     schema = T.StructType([
@@ -54,11 +72,18 @@ def _pack(df: DataFrame, key: str, terms: str | None, weights: str) -> DataFrame
         T.StructField("ptr", T.ArrayType(T.IntegerType())),
         T.StructField("terms", T.ArrayType(T.LongType())),
         T.StructField("weights", T.ArrayType(T.DoubleType())),
+        T.StructField("peak_terms", T.ArrayType(T.LongType())),
+        T.StructField("peaks", T.ArrayType(T.DoubleType())),
     ])
     columns = [F.col(key).alias("id")]
     columns.append(F.col(terms).alias("terms") if terms else F.lit(None).cast("array<bigint>").alias("terms"))
     columns.append(F.coalesce(F.col(weights).cast("array<double>"), F.array().cast("array<double>")).alias("weights"))
-    ordered = df.select(*columns).sortWithinPartitions("id")
+    if by_terms:
+        near = [F.get(_heaviest("terms", "weights"), F.lit(i)).alias(f"_o{i}") for i in range(ORDER_TERMS)]
+        order = [f"_o{i}" for i in range(ORDER_TERMS)]
+        ordered = df.select(*columns).select("*", *near).repartitionByRange(*order, "id").sortWithinPartitions(*order, "id").drop(*order)
+    else:
+        ordered = df.select(*columns).sortWithinPartitions("id")
 
     def block(rows: pa.Table, number: int) -> pa.RecordBatch:
         weights = rows.column("weights").combine_chunks()
@@ -66,16 +91,23 @@ def _pack(df: DataFrame, key: str, terms: str | None, weights: str) -> DataFrame
         values = np.asarray(weights.flatten(), dtype=np.float64)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         norms = np.sqrt(np.bincount(owner, weights=values * values, minlength=len(lengths)))
-        codes = np.asarray(rows.column("terms").combine_chunks().flatten()) if terms else []
+        codes = np.asarray(rows.column("terms").combine_chunks().flatten()) if terms else np.zeros(0, np.int64)
+        unit = values / np.maximum(norms, 1e-12)[owner]
+        known, place = np.unique(codes, return_inverse=True)
+        peaks = np.zeros(len(known))
+        if terms:
+            np.maximum.at(peaks, place, np.abs(unit))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
                 pa.array([rows.column("id").to_pylist()], pa.list_(rows.schema.field("id").type)),
                 pa.array([np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)], pa.list_(pa.int32())),
                 pa.array([codes], pa.list_(pa.int64())),
-                pa.array([values / np.maximum(norms, 1e-12)[owner]], pa.list_(pa.float64())),
+                pa.array([unit], pa.list_(pa.float64())),
+                pa.array([known], pa.list_(pa.int64())),
+                pa.array([peaks], pa.list_(pa.float64())),
             ],
-            names=["block", "ids", "ptr", "terms", "weights"],
+            names=["block", "ids", "ptr", "terms", "weights", "peak_terms", "peaks"],
         )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +169,23 @@ def _sparse_products(q_ptr, q_terms, q_val, c_ptr, c_terms, c_val) -> np.ndarray
     return scores
 
 
-def _best(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(question, entry, place) of the k best entries per question; earlier entries win ties."""
+def sortable(ids: pa.Array) -> pa.Array | pa.ChunkedArray:
+    """Names in a form that Arrow can sort: texts as their bytes, pairs of names as a number each."""
+    if pa.types.is_struct(ids.type):
+        flat = pa.Table.from_arrays(ids.flatten(), names=[f"f{i}" for i in range(ids.type.num_fields)])
+        order = pc.sort_indices(flat, sort_keys=[(n, "ascending") for n in flat.column_names])
+        rank = np.empty(len(ids), np.int64)
+        rank[np.asarray(order)] = np.arange(len(ids))
+        return pa.array(rank)
+    return ids
+
+
+def _best(scores: np.ndarray, k: int | None, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, entry, place) of the k best entries per question; ties go by ``names``, or to earlier entries."""
+    if names is not None and (np.diff(names) < 0).any():
+        by_name = np.argsort(names)
+        question, entry, place = _best(scores[:, by_name], k)
+        return question, by_name[entry], place
     n_q, n_c = scores.shape
     if k is None or k >= n_c:
         order = np.argsort(-scores, axis=1, kind="stable")
@@ -155,44 +202,145 @@ def _best(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray, np
     return question, order.ravel(), np.tile(np.arange(1, width + 1), n_q)
 
 
-def _score_blocks(pairs: DataFrame, q_type: T.DataType, c_type: T.DataType, k: int | None, sparse: bool) -> DataFrame:
-    schema = T.StructType([
-        T.StructField("q", q_type), T.StructField("c", c_type),
-        T.StructField("score", T.DoubleType()), T.StructField("place", T.IntegerType()),
-        T.StructField("block", T.LongType()), T.StructField("at", T.IntegerType()),
-    ])
-
-    def one(row: dict, name: str) -> np.ndarray:
-        return np.asarray(row[name].values)
-
+@dataclass
+class _Block:
+    """A block as arrays."""
+
+    number: int
+    ids: pa.Array
+    ptr: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    peak_terms: np.ndarray
+    peaks: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, i: int, prefix: str) -> _Block:
+        def one(name: str) -> np.ndarray:
+            return np.asarray(batch.column(f"{prefix}{name}")[i].values)
+
+        ids = next(x for n in (f"{prefix}ids", "ids_0", "ids_1") if n in batch.schema.names and (x := batch.column(n)[i]).is_valid)
+        return cls(batch.column(f"{prefix}block")[i].as_py(), ids.values, one("ptr"), one("terms"),
+                   one("weights"), one("peak_terms"), one("peaks"))
+
+    def taken(self, rows: np.ndarray) -> _Block:
+        """The block of some of the rows."""
+        if len(rows) == len(self.ptr) - 1:
+            return self
+        lengths = np.diff(self.ptr)[rows]
+        at = np.repeat(self.ptr[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        return _Block(self.number, self.ids, np.concatenate([[0], np.cumsum(lengths)]), self.terms[at] if len(self.terms) else self.terms,
+                      self.weights[at], self.peak_terms, self.peaks)
+
+
+def block_scores(asked: _Block, entries: _Block, sparse: bool) -> np.ndarray:
+    """All cosines of two blocks, at the digits at which they are compared."""
+    if sparse:
+        products = _sparse_products(asked.ptr, asked.terms, asked.weights, entries.ptr, entries.terms, entries.weights)
+    else:
+        products = _dense_products(asked.ptr, asked.weights, entries.ptr, entries.weights)
+    # adding 0.0 turns -0.0 into 0.0
+    return np.round(np.clip(products, -1.0, 1.0), SCORE_DIGITS) + 0.0
+
+
+def block_bounds(asked: _Block, held: list[_Block]) -> np.ndarray:
+    """An upper bound of each question's score in each of the held blocks, from the blocks' largest weights."""
+    bounds = np.zeros((len(asked.ptr) - 1, len(held)))
+    owner = np.repeat(np.arange(len(asked.ptr) - 1), np.diff(asked.ptr))
+    for j, block in enumerate(held):
+        if len(block.peak_terms) and len(asked.terms):
+            slot = np.minimum(np.searchsorted(block.peak_terms, asked.terms), len(block.peak_terms) - 1)
+            peak = np.where(block.peak_terms[slot] == asked.terms, block.peaks[slot], 0.0)
+            bounds[:, j] = np.bincount(owner, weights=np.abs(asked.weights) * peak, minlength=len(bounds))
+    return bounds
+
+
+def cell_best(asked: _Block, held: list[_Block], k: int, sparse: bool, names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, entries, rows multiplied): the k best entries per question over all held blocks, by score, then by
+    name. ``names`` are the entries' places in the order of all names, ``starts`` the first entry of each block.
+
+    A block is multiplied with the questions for which its bound reaches their k-th best score so far."""
+    n, multiplied = len(asked.ptr) - 1, 0
+    best = np.full((n, k), -np.inf)
+    entry = np.full((n, k), -1, np.int64)
+    bounds = block_bounds(asked, held) if sparse else np.full((n, len(held)), np.inf)
+    for j in np.argsort(-bounds.mean(axis=0), kind="stable"):
+        # scores are rounded, so a bound may fall short of one by as much
+        rows = np.flatnonzero(bounds[:, j] + 10.0 ** (1 - SCORE_DIGITS) >= best[:, -1])
+        if not len(rows):
+            continue
+        multiplied += len(rows)
+        scores = block_scores(asked.taken(rows), held[j], sparse)
+        q, at, place = _best(scores, min(k, scores.shape[1]), names[starts[j]:starts[j] + scores.shape[1]])
+        width = scores.shape[1] if k >= scores.shape[1] else k
+        both = np.hstack([best[rows], scores[q, at].reshape(len(rows), width)])
+        whose = np.hstack([entry[rows], (starts[j] + at).reshape(len(rows), width)])
+        order = np.lexsort((np.where(whose >= 0, names[whose], np.iinfo(np.int64).max), -both))[:, :k]
+        best[rows] = np.take_along_axis(both, order, axis=1)
+        entry[rows] = np.take_along_axis(whose, order, axis=1)
+    return best, entry, multiplied
+
+
+SCORED = ("q", "c", "score", "place", "block", "at")
+
+
+def _scored_schema(q_type: T.DataType, c_type: T.DataType) -> T.StructType:
+    kinds = (q_type, c_type, T.DoubleType(), T.IntegerType(), T.LongType(), T.IntegerType())
+    return T.StructType([T.StructField(n, t) for n, t in zip(SCORED, kinds)])
+
+
+def _scored_rows(asked: _Block, ids: pa.Array, q_at: np.ndarray, c_at: np.ndarray, scores: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        asked.ids.take(pa.array(q_at)), ids.take(pa.array(c_at)), pa.array(scores), pa.array(place.astype(np.int32)),
+        pa.array(np.full(len(q_at), asked.number, np.int64)), pa.array(q_at.astype(np.int32)),
+    ], names=list(SCORED))
+
+
+def _score_single(pairs: DataFrame, q_type: T.DataType, c_type: T.DataType, k: int | None, sparse: bool) -> DataFrame:
+    """Question blocks with the one block of the catalog beside them."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                q_ptr, c_ptr = one(row, "q_ptr"), one(row, "c_ptr")
-                q_val, c_val = one(row, "q_weights"), one(row, "c_weights")
-                if sparse:
-                    products = _sparse_products(
-                        q_ptr, one(row, "q_terms"), q_val, c_ptr, one(row, "c_terms"), c_val
-                    )
-                else:
-                    products = _dense_products(q_ptr, q_val, c_ptr, c_val)
-                # adding 0.0 turns -0.0 into 0.0
-                scores = np.round(np.clip(products, -1.0, 1.0), SCORE_DIGITS) + 0.0
+                asked, entries = _Block.of(batch, i, "q_"), _Block.of(batch, i, "c_")
+                scores = block_scores(asked, entries, sparse)
                 q_at, c_at, place = _best(scores, k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        row["q_ids"].values.take(pa.array(q_at)),
-                        row["c_ids"].values.take(pa.array(c_at)),
-                        pa.array(scores[q_at, c_at]),
-                        pa.array(place.astype(np.int32)),
-                        pa.array(np.full(len(q_at), row["q_block"].as_py(), np.int64)),
-                        pa.array(q_at.astype(np.int32)),
-                    ],
-                    names=["q", "c", "score", "place", "block", "at"],
-                )
+                yield _scored_rows(asked, entries.ids, q_at, c_at, scores[q_at, c_at], place)
+
+    return pairs.mapInArrow(score, _scored_schema(q_type, c_type))
 
-    return pairs.mapInArrow(score, schema)
+
+def _score_cells(cells: DataFrame, q_type: T.DataType, c_type: T.DataType, k: int | None, sparse: bool) -> DataFrame:
+    """Rows of cells, the catalog blocks of each before its question blocks. Without a ``k``, all scores."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, ready = None, [], False
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here = (batch.column("_row")[i].as_py(), batch.column("_column")[i].as_py())
+                if here != cell:
+                    cell, held, ready = here, [], False
+                if batch.column("_asked")[i].as_py() == 0:
+                    held.append(_Block.of(batch, i, ""))
+                    continue
+                if not held:
+                    continue
+                if not ready:
+                    ids, ready = pa.concat_arrays([b.ids for b in held]), True
+                    sizes = [len(b.ids) for b in held]
+                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    names = np.empty(len(ids), np.int64)
+                    names[np.asarray(pc.sort_indices(sortable(ids)))] = np.arange(len(ids))
+                asked = _Block.of(batch, i, "")
+                if k is None:
+                    for j, block in enumerate(held):
+                        scores = block_scores(asked, block, sparse)
+                        q_at, c_at = (x.ravel() for x in np.indices(scores.shape))
+                        yield _scored_rows(asked, ids, q_at, starts[j] + c_at, scores.ravel(), np.zeros(scores.size))
+                    continue
+                best, entry, _ = cell_best(asked, held, k, sparse, names, starts)
+                q_at, place = np.nonzero(entry >= 0)
+                yield _scored_rows(asked, ids, q_at, entry[q_at, place], best[q_at, place], place + 1)
+
+    return cells.mapInArrow(score, _scored_schema(q_type, c_type))
 
 
 def _side(blocks: DataFrame, prefix: str) -> DataFrame:
@@ -235,7 +383,8 @@ def pack_catalog(catalog: DataFrame, name: str, weights: str, terms: str | None
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(weights)), F.lit(0)).alias("values")
     ).first()
     single = size.rows <= PACK_ROWS and size["values"] <= PACK_VALUES
-    blocks = written(_side(_pack(stored.repartition(1) if single else stored, name, terms, weights), "c"), "catalog-blocks")
+    packed = _pack(stored.repartition(1) if single else stored, name, terms, weights, by_terms=terms is not None and not single)
+    blocks = written(_side(packed, "c"), "catalog-blocks")
     return PackedCatalog(
         blocks, name, catalog.schema[name].dataType, size.rows, size["values"], single, terms is not None)
 
@@ -254,7 +403,7 @@ def ranked_by_blocks(
     if packed.single:
         block = entries.select(F.struct(*entries.columns).alias("_c")).scalar()
         pairs = asked.withColumn("_c", block).where("_c IS NOT NULL").select(*asked.columns, "_c.*")
-        best = _score_blocks(pairs, q_type, c_type, k, terms is not None)
+        best = _score_single(pairs, q_type, c_type, k, terms is not None)
         return best.select(
             F.col("q").alias(query_id), F.col("place").alias("rank"), F.col("c").alias(name), "score"
         )
@@ -263,20 +412,39 @@ def ranked_by_blocks(
     cells = CELLS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked_rows = questions.count() if asked_rows is None else asked_rows
     rows, columns = grid_shape(math.ceil(asked_rows / PACK_ROWS), blocks, cells)
-    pairs = asked.select(
-        "*", F.pmod(F.xxhash64("q_block"), F.lit(columns)).alias("_column"),
-        F.explode(_numbers(rows)).alias("_row"),
-    ).join(
-        entries.select(
-            "*", F.pmod(F.xxhash64("c_block"), F.lit(rows)).alias("_row"),
-            F.explode(_numbers(columns)).alias("_column"),
-        ),
-        ["_row", "_column"],
-    ).drop("_row", "_column")
-    best = _score_blocks(pairs, q_type, c_type, k, terms is not None)
+    rows = max(rows, math.ceil(blocks / HELD_BLOCKS))
+    plain = [c.removeprefix("c_") for c in entries.columns]
+    dealt = entries.toDF(*plain).select(
+        "*", F.pmod(F.xxhash64("block"), F.lit(rows)).alias("_row"), F.explode(_numbers(columns)).alias("_column"), F.lit(0).alias("_asked"))
+    questions_dealt = asked.toDF(*plain).select(
+        "*", F.explode(_numbers(rows)).alias("_row"), F.pmod(F.xxhash64("block"), F.lit(columns)).alias("_column"), F.lit(1).alias("_asked"))
+    # ids differ in type, so each side has a column of its own
+    both = _with_ids(dealt, c_type, q_type, 0).unionByName(_with_ids(questions_dealt, c_type, q_type, 1))
+    grid = both.repartition("_row", "_column").sortWithinPartitions("_row", "_column", "_asked", "block")
+    best = _score_cells(grid, q_type, c_type, k, terms is not None)
+    if k is None:
+        return _ranked_by_ranges(best).select(F.col("q").alias(query_id), "rank", F.col("c").alias(name), "score")
     # a question is a row of a block, as two rows may have the same id
     order = W.partitionBy("block", "at").orderBy(F.desc("score"), "c")
-    ranked = best.withColumn("rank", F.row_number().over(order))
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), "rank", F.col("c").alias(name), "score")
+
+
+def _with_ids(side: DataFrame, c_type: T.DataType, q_type: T.DataType, asked: int) -> DataFrame:
+    kinds = (c_type, q_type)
+    own = [F.col("ids").alias(f"ids_{i}") if i == asked else F.lit(None).cast(T.ArrayType(t)).alias(f"ids_{i}") for i, t in enumerate(kinds)]
+    return side.select(*[c for c in side.columns if c != "ids"], *own)
+
+
+def _ranked_by_ranges(scores: DataFrame) -> DataFrame:
+    """Whole rankings: add ``rank`` per question (block, at). No task, window or row holds a ranking that is
+    larger than a range."""
+    dealt = by_ranges(scores, "block", "at", F.desc("score"), "c")
+    inside = W.partitionBy("_b", "block", "at").orderBy(F.desc("score"), "c")
+    counts = dealt.groupBy("block", "at", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = W.partitionBy("block", "at").orderBy("_b")
+    # only a question that a range continues is shifted: at most one per range
+    before = counts.select("block", "at", "_b", (F.sum("_n").over(upto) - F.col("_n")).alias("_before")).where("_before > 0")
+    return dealt.withColumn("_place", F.row_number().over(inside)).join(
+        F.broadcast(before), ["block", "at", "_b"], "left").withColumn(
+        "rank", (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("int"))

@@ -7,24 +7,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hintwise.functions.text import array_lit, let
-from hintwise.operators.scaling import lookup_join
+from hintwise.operators.scaling import by_ranges, lookup_join
 from hintwise.schemas import CATEGORIES
 
 
 def fit_label_dict(df: DataFrame, heads: dict[str, str]) -> DataFrame:
     """``label_dict(head, idx, label)``: position among the sorted labels that occur.
 
-    ``heads`` maps head names to columns. All heads are fitted in one pass; the window only
-    ever sees the distinct classes, after the aggregation. Write the result out before using it
-    several times.
+    ``heads`` maps head names to columns. All heads are fitted in one pass. The distinct classes are dealt
+    out by ranges of (head, label); a window numbers those of a range, and each head is shifted by what
+    it has in the ranges before, so a head of millions of classes is numbered by many tasks. Write the result
+    out before using it several times.
     """
     entries = F.explode_outer(F.array(*[
         F.struct(F.lit(h).alias("head"), F.col(c).cast("string").alias("label"))
         for h, c in heads.items()
     ]))
     classes = df.select(entries.alias("e")).select("e.head", "e.label").where("label IS NOT NULL").distinct()
-    position = F.row_number().over(W.partitionBy("head").orderBy("label")) - 1
-    return classes.select("head", position.cast("int").alias("idx"), "label")
+    dealt = by_ranges(classes, "head", "label")
+    # one row per head and range that holds some of it: no more than heads and ranges together
+    counts = dealt.groupBy("head", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("head", "_b", (F.sum("_n").over(W.partitionBy("head").orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_b", "head").orderBy("label")) - 1
+    return dealt.withColumn("_i", inside).join(F.broadcast(before), ["head", "_b"]).select(
+        "head", (F.col("_before") + F.col("_i")).cast("int").alias("idx"), "label")
 
 
 def index_labels(df: DataFrame, head: str, column: str, label_dict: DataFrame) -> DataFrame:

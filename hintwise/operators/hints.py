@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,11 +46,16 @@ def hints_boost(hints: DataFrame, base_weight: float = 1.0) -> DataFrame:
 
 def hints_filter_record(hints: DataFrame, questions: DataFrame) -> DataFrame:
     """``(query_id, record)`` with the JSON of table names, scores and question text."""
+    def scores(h: Column) -> Column:
+        # of two hints with the same name the later one counts
+        last = F.filter(h, lambda x, i: ~F.exists(F.slice(h, i + 2, F.size(h)), lambda later: later["table"] == x["table"]))
+        return F.map_from_entries(F.transform(last, lambda x: F.struct(x["table"], x["score"])))
+
     record = F.struct(
-        F.transform("_h", lambda h: h["table"]).alias("table_names"), "scores",
+        F.transform("_h", lambda x: x["table"]).alias("table_names"), scores(F.col("_h")).alias("scores"),
         F.col("text").alias("query"),
     )
-    return _ordered(hints).join(hint_scores(hints), "query_id").join(questions.select("query_id", "text"), "query_id").select(
+    return _ordered(hints).join(questions.select("query_id", "text"), "query_id").select(
         "query_id", F.to_json(record).alias("record")
     )
 

@@ -9,14 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hintwise.functions.text import word_tokens
-from hintwise.operators.blocks import PackedCatalog, pack_catalog, ranked_by_blocks
+from hintwise.functions.vectors import cosine
+from hintwise.operators.blocks import SCORE_DIGITS, PackedCatalog, pack_catalog, ranked_by_blocks
 from hintwise.operators.scaling import dense_positions, lookup_join, small_enough, written
 from hintwise.schemas import HINTS_TOP_K
 
 
-def cosine_scores(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(query_id, table, score)``: cosine of each question with each catalog entry."""
-    return rank_all(questions, catalog).select("query_id", "table", "score")
+def cosine_scores(questions: DataFrame, catalog: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``(query_id, table, score)``: cosine of each question with each catalog entry, or of the listed
+    ``pairs(query_id, table)`` only, one row for each of them. Ids and names are unique then.
+
+    Listed pairs gather the two vectors by lookups that hot questions and hot entries do not burden; a pair
+    whose question or entry is unknown has a null score, and one with a missing vector 0, as in a ranking."""
+    if pairs is None:
+        return rank_all(questions, catalog).select("query_id", "table", "score")
+    known = F.lit(True).alias("_known")
+    vector = F.coalesce(F.col("vec").cast("array<double>"), F.array().cast("array<double>"))
+    asked = lookup_join(pairs, questions.select("query_id", vector.alias("_q"), known), "query_id", "left")
+    met = lookup_join(asked.withColumnRenamed("_known", "_asked"), catalog.select("table", vector.alias("_c"), known), "table", "left")
+    score = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(cosine(F.col("_q"), F.col("_c")), F.lit(0.0)))), SCORE_DIGITS) + 0.0
+    return met.select(*pairs.columns, F.when(F.col("_asked") & F.col("_known"), score).alias("score"))
 
 
 def scaled_scores(scores: DataFrame) -> DataFrame:

@@ -18,8 +18,6 @@ HOT_SHARE = 0.001
 # largest table (in bytes, measured) that is sent to every executor
 BROADCAST_BYTES = 32 * 1024 * 1024
 NUMBERING_BUCKETS = 4096
-RANK_BUCKETS = 1000
-RANK_STEP = 32
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -122,6 +120,13 @@ def lookup_join(
     return found if how == "inner" else found.unionByName(unmatched, allowMissingColumns=True)
 
 
+def by_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Deal rows out by ranges of their sort order and add the number of the range, ``_b``, which grows
+    with the order. Equal rows share a range. The rows are written, so that numbers stay what they are; ranges
+    are found from a sample by Spark, and no row is compared with their limits by an expression."""
+    return written(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "ranges")
+
+
 def dense_positions(keys: DataFrame, key: str, name: str = "position") -> DataFrame:
     """Add ``name``: the distinct keys numbered 0..n-1, without sorting them in one task.
 
@@ -149,22 +154,12 @@ def average_ranks(values: DataFrame, value: str, weight: str | None = None) -> D
     or as often as its ``weight`` says.
 
     Values are first reduced to distinct values with counts, which takes out any hot value.
-    The distinct values are cut at approximate quantiles into at most ``RANK_BUCKETS`` ranges;
-    ranks run inside a range and are shifted by the rows in the ranges below it, so no task
-    sees the whole column. The result does not depend on where the cuts fall.
+    The distinct values are dealt out by ranges; ranks run inside a range and are shifted by the rows in
+    the ranges below it (one number per range), so no task sees the whole column.
     """
     times = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(times.alias("_n"))
-    cuts = counts.agg(F.percentile_approx(
-        value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 10 * RANK_BUCKETS
-    ).alias("cuts"))
-    # every RANK_STEP-th cut is searched first, then those between
-    steps = cuts.select(F.struct("cuts", F.filter(
-        "cuts", lambda _, i: i % RANK_STEP == RANK_STEP - 1).alias("coarse")).alias("c"))
-    held = counts.withColumn("_c", steps.scalar()).withColumn(
-        "_k", F.size(F.filter("_c.coarse", lambda c: c < F.col(value))) * RANK_STEP)
-    fine = F.filter(F.slice("_c.cuts", F.col("_k") + 1, F.lit(RANK_STEP)), lambda c: c < F.col(value))
-    ranged = held.select(value, "_n", (F.col("_k") + F.size(fine)).alias("_b"))
+    ranged = by_ranges(counts, value)
     offsets = ranged.groupBy("_b").agg(F.sum("_n").alias("_rows")).select(
         "_b", (F.sum("_rows").over(W.orderBy("_b")) - F.col("_rows")).alias("_before")
     )

@@ -375,6 +375,11 @@ _score = r("score")
 
 ORACLES["cosine_scores"] = with_(RANKED, f'SELECT query_id, "table", {_score} AS score FROM scores')
 ORACLES["scaled_scores"] = with_(RANKED, f'SELECT query_id, "table", {r("(score + 1) / 2")} AS score FROM scores')
+_listed = """listed AS (SELECT query_id, 'label_' || unnest([label, (label + 1) % 10, 99]) AS "table" FROM (SELECT vec_id AS query_id, label FROM embeddings))"""
+ORACLES["cosine_scores_listed"] = with_([*RANKED, _listed], f"""
+SELECT query_id, "table", {_score} AS score FROM listed LEFT JOIN scores USING (query_id, "table")""")
+ORACLES["scaled_scores_listed"] = with_([*RANKED, _listed], f"""
+SELECT query_id, "table", {r("(score + 1) / 2")} AS score FROM listed LEFT JOIN scores USING (query_id, "table")""")
 ORACLES["l2_normalize"] = with_([VECTORS], f"""
 SELECT query_id, i::INT AS pos, {r('x / greatest(sqrt(sum(x * x) OVER (PARTITION BY query_id)), 1e-12)')} AS x FROM dims""")
 ORACLES["rank_top_k"] = with_(RANKED, f'SELECT query_id, rank, "table", {_score} AS score FROM hints')
@@ -442,16 +447,18 @@ ORACLES["rank_by_text_large"] = with_([f"""grown AS (
   SELECT prefix || {_part_doc} AS doc
   FROM part, (SELECT '' AS prefix UNION ALL SELECT 'region' || i || '_' FROM range(1, 6) t(i))),
 named AS (SELECT split_part(doc, ' ', 1) AS "table", doc FROM grown),
-few AS (SELECT p_partkey AS query_id, p_name || ' ' || p_type AS text FROM part WHERE p_size >= 45)""",
-    *text_ranking("few", "named", 5)], f'SELECT query_id, rank, "table", {_score} AS score FROM text_hints')
-ORACLES["rank_top_k_large"] = f"""
+asked AS (SELECT p_partkey AS query_id, p_name || ' ' || p_type AS text FROM part)""",
+    *text_ranking("asked", "named", 5)], f'SELECT query_id, rank, "table", {_score} AS score FROM text_hints')
+_large = f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 c AS (SELECT 'part_' || p_partkey AS "table", list_append(v, p_size / 50.0::DOUBLE) AS vec
       FROM part JOIN e ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
 q AS (SELECT vec_id AS query_id, list_append(v, label / 10.0::DOUBLE) AS vec FROM e),
 s AS (SELECT query_id, "table", {cosine('q.vec', 'c.vec')} AS score FROM q, c),
 k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "table"))::INT AS rank FROM s)
-SELECT query_id, rank, "table", {_score} AS score FROM k WHERE rank <= 5 AND score >= 0"""
+SELECT query_id, rank, "table", {_score} AS score FROM k"""
+ORACLES["rank_top_k_large"] = f"{_large} WHERE rank <= 5 AND score >= 0"
+ORACLES["rank_all_large"] = f"{_large} WHERE query_id % 20 = 0"
 ORACLES["token_document_frequency"] = f"""
 WITH t AS (SELECT DISTINCT doc_id, unnest({words('text')}) AS token FROM documents)
 SELECT token, count(*) AS df, {r('ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1')} AS idf FROM t GROUP BY token"""

@@ -456,6 +456,23 @@ def scaled_scores(spark, sf):
     return scored(ranking.scaled_scores(ranking.cosine_scores(*vectors(spark, sf))), "query_id", "table")
 
 
+def listed_pairs(spark, sf):
+    """Questions with their own table and the next one, and with one that the catalog lacks."""
+    labels = F.array(F.col("label"), (F.col("label") + 1) % 10, F.lit(99))
+    return derived.vector_questions(spark, sf).select("query_id", F.explode(labels).alias("l")).select(
+        "query_id", F.concat(F.lit("label_"), F.col("l").cast("string")).alias("table"))
+
+
+@query
+def cosine_scores_listed(spark, sf):
+    return scored(ranking.cosine_scores(*vectors(spark, sf), listed_pairs(spark, sf)), "query_id", "table")
+
+
+@query
+def scaled_scores_listed(spark, sf):
+    return scored(ranking.scaled_scores(ranking.cosine_scores(*vectors(spark, sf), listed_pairs(spark, sf))), "query_id", "table")
+
+
 @query
 def l2_normalize_query(spark, sf):
     unit = derived.vector_questions(spark, sf).select(
@@ -478,6 +495,13 @@ def rank_all(spark, sf):
     return scored(ranking.rank_all(*vectors(spark, sf)), "query_id", "rank", "table")
 
 
+@query
+def rank_all_large(spark, sf):
+    """Whole rankings over a catalog of several blocks, for the questions of one search set: ids divisible by 20."""
+    entries, asked = large_vectors(spark, sf)
+    return scored(ranking.rank_all(asked.where("query_id % 20 = 0"), entries), "query_id", "rank", "table")
+
+
 @query
 def rank_columns(spark, sf):
     ranked = ranking.rank_columns(
@@ -510,13 +534,12 @@ def rank_by_text_large(spark, sf):
     )
     asked = derived.table(spark, sf, "part").select(
         F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text")
-    ).where("p_size >= 45")
+    )
     return scored(ranking.rank_by_text(asked, entries, top_k=5), "query_id", "rank", "table")
 
 
-@query
-def rank_top_k_large(spark, sf):
-    """Dense vectors over a catalog of several blocks: parts with a vector and their size."""
+def large_vectors(spark, sf):
+    """Parts with a vector and their size, more than one block holds, and questions for them."""
     vectors = derived.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     total = vectors.agg(F.count(F.lit(1))).scalar()
     entries = derived.table(spark, sf, "part").select(
@@ -527,6 +550,13 @@ def rank_top_k_large(spark, sf):
         F.col("vec_id").alias("query_id"),
         F.concat(F.col("embedding").cast("array<double>"), F.array(F.col("label") / 10.0)).alias("vec"),
     )
+    return entries, asked
+
+
+@query
+def rank_top_k_large(spark, sf):
+    """Dense vectors over a catalog of several blocks."""
+    entries, asked = large_vectors(spark, sf)
     return scored(ranking.rank_top_k(asked, entries, 5), "query_id", "rank", "table")
 
 

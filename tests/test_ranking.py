@@ -148,6 +148,93 @@ def test_grid_shape():
     assert rows == columns == 8
 
 
+def sparse_blocks(rng, n, width, size, per_block):
+    """Blocks of unit vectors over ``width`` terms, as a cell holds them; neighbours share their terms."""
+    import pyarrow as pa
+
+    vectors = []
+    for i in range(n):
+        first = (i * width) // n
+        terms = np.sort(rng.choice(np.arange(max(0, first - 6), min(width, first + 6)), size, replace=False))
+        weights = rng.random(size) + 0.1
+        vectors.append((terms, weights / np.linalg.norm(weights)))
+    out = []
+    for at in range(0, n, per_block):
+        part = vectors[at:at + per_block]
+        terms, weights = np.concatenate([t for t, _ in part]), np.concatenate([w for _, w in part])
+        known, place = np.unique(terms, return_inverse=True)
+        peaks = np.zeros(len(known))
+        np.maximum.at(peaks, place, weights)
+        out.append(blocks._Block(at, pa.array([f"t{(7 * i) % n:05d}" for i in range(at, at + len(part))]),
+                                 np.arange(0, size * len(part) + 1, size), terms, weights, known, peaks))
+    return vectors, out
+
+
+@pytest.mark.parametrize("k", [1, 3, 500])
+def test_cells_skip_what_bounds_exclude(k):
+    """The same best entries as without bounds, from fewer products; no more than k per question."""
+    rng = np.random.default_rng(2)
+    vectors, held = sparse_blocks(rng, 400, 100, 4, 40)
+    asked_vectors, asked = sparse_blocks(rng, 30, 100, 4, 30)
+    ids = [x for b in held for x in b.ids.to_pylist()]
+    names = np.argsort(np.argsort(ids))
+    best, entry, multiplied = blocks.cell_best(asked[0], held, k, True, names, np.arange(0, 400, 40))
+    assert entry.shape == (30, k)
+    for q, (terms, weights) in enumerate(asked_vectors):
+        scored = []
+        for i, (t, w) in enumerate(vectors):
+            held_weights = dict(zip(t.tolist(), w))
+            scored.append((-round(sum(x * held_weights.get(j, 0.0) for j, x in zip(terms.tolist(), weights)), 9), ids[i], i))
+        want = sorted(scored)[:k]
+        assert [e for e in entry[q] if e >= 0] == [i for _, _, i in want]
+        assert np.allclose(best[q][:len(want)], [-x for x, _, _ in want], atol=2e-9)
+    assert multiplied <= 30 * 10 and (k > 3 or multiplied < 30 * 5)
+
+
+def test_at_most_k_rows_per_question_and_cell(spark, data, monkeypatch):
+    monkeypatch.setattr(blocks, "PACK_ROWS", 8)
+    monkeypatch.setattr(blocks, "HELD_BLOCKS", 4)
+    counted, scored = [], blocks._score_cells
+
+    def counting(cells, *args):
+        out = scored(cells, *args)
+        counted.append((out, cells.where("_asked = 1").count(), cells.where("_asked = 0").select("_row").distinct().count()))
+        return out
+
+    monkeypatch.setattr(blocks, "_score_cells", counting)
+    questions, catalog, q, c = data
+    same(collected(ranking.rank_top_k(q, c, 2, -1.0)), brute(questions, catalog, 2))
+    out, _, cells = counted[0]
+    per_question = out.groupBy("block", "at").count()
+    assert per_question.where(F.col("count") > 2 * cells).isEmpty() and 4 <= cells < 16
+
+
+@pytest.mark.parametrize("pack", [1024, 16])
+def test_whole_rankings(spark, data, monkeypatch, pack):
+    monkeypatch.setattr(blocks, "PACK_ROWS", pack)
+    questions, catalog, q, c = data
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same(collected(ranking.rank_all(q, c)), brute(questions, catalog, None))
+        twice = spark.createDataFrame([(5, questions[0][1]), (5, questions[0][1])], "query_id bigint, vec array<double>")
+        got = sorted((r.rank, r.table) for r in ranking.rank_all(twice, c).collect())
+        assert got == sorted((i + 1, t) for i, (t, _) in enumerate(brute(questions[:1], catalog, None)[0]) for _ in range(2))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scores_of_listed_pairs(spark, data):
+    questions, catalog, q, c = data
+    every = {(r.query_id, r.table): r.score for r in ranking.cosine_scores(q, c).collect()}
+    pairs = [(0, "t004"), (0, "t004"), (3, "copy07"), (99, "t001"), (5, "zero"), (5, "absent"), (12345, "t001"), (None, "t001"), (6, None)]
+    listed = spark.createDataFrame(pairs, "query_id bigint, table string")
+    scores = ranking.cosine_scores(q, c, listed)
+    got = sorted(((r.query_id, r.table, r.score) for r in scores.collect()), key=repr)
+    assert got == sorted(((i, t, every.get((i, t))) for i, t in pairs), key=repr)
+    text = scores._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
 def test_hint_views(spark):
     ranked = spark.createDataFrame(
         [(1, 1, "a", 0.8), (1, 2, "b", 0.4), (1, 3, "a", 0.2), (2, 1, "c", -0.5)],

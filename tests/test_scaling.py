@@ -37,6 +37,32 @@ def test_average_ranks(spark):
     assert {r.v: r.rank for r in scaling.average_ranks(counted, "v", "w").collect()} == got
 
 
+def test_ranks_search_no_cuts(spark):
+    df = spark.range(1000).select((F.col("id") % 100).cast("double").alias("v"))
+    text = scaling.average_ranks(df, "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in text and "percentile" not in text
+
+
+def test_label_codes_by_ranges(spark):
+    """The same codes as one window over the sorted labels, from several ranges."""
+    from pyspark.sql import Window as W
+
+    from hintwise.operators.encoding import fit_label_dict
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(30_000).select(F.concat(F.lit("name"), F.col("id") % 9000).alias("a"), (F.col("id") % 7).alias("b"),
+                                        F.lit(None).cast("string").alias("none"))
+        got = {(r.head, r.idx, r.label) for r in fit_label_dict(df, {"x": "a", "y": "b", "z": "none"}).collect()}
+        codes = F.row_number().over(W.orderBy("label")) - 1
+        want = {("x", r.idx, r.label) for r in df.select(F.col("a").alias("label")).distinct().select("label", codes.alias("idx")).collect()}
+        assert got == want | {("y", i, str(i)) for i in range(7)}
+        dealt = scaling.by_ranges(df.select("a").distinct(), "a")
+        assert dealt.select("_b").distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_sample_is_the_top_of_the_hash_order(spark):
     df = spark.range(20_000)
     ordered = [r.id for r in df.orderBy(sampling.seeded_md5(sampling.SEED, F.col("id")), "id").collect()]
