@@ -462,6 +462,9 @@ ORACLES["rank_all_large"] = f"{_large} WHERE query_id % 20 = 0"
 ORACLES["token_document_frequency"] = f"""
 WITH t AS (SELECT DISTINCT doc_id, unnest({words('text')}) AS token FROM documents)
 SELECT token, count(*) AS df, {r('ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1')} AS idf FROM t GROUP BY token"""
+ORACLES["document_frequency_upkeep"] = f"""
+WITH held AS (SELECT * FROM documents WHERE doc_id % 3 != 0), t AS (SELECT DISTINCT doc_id, unnest({words('text')}) AS token FROM held)
+SELECT token, count(*) AS df, {r('ln(((SELECT count(*) FROM held) + 1) / (count(*) + 1)) + 1')} AS idf FROM t GROUP BY token"""
 ORACLES["tokens"] = f"""
 WITH t AS (SELECT conv_id, unnest({words('text')}) AS token, unnest(range(len({words('text')})))::INT AS pos FROM conversations)
 SELECT conv_id, token, count(*) AS n, min(pos) AS first_pos FROM t GROUP BY conv_id, token"""

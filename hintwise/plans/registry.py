@@ -17,7 +17,8 @@ from hintwise.functions import sql_labels as L
 from hintwise.functions.text import extract_prompt, extract_prompt_strict
 from hintwise.functions.vectors import cosine, l2_normalize
 from hintwise.operators import (
-    catalog, decoding, encoding, evaluation, hints, linear, pairs, profiling, ranking, sampling, textmodel,
+    catalog, catalog_store, decoding, encoding, evaluation, hints, linear, pairs, profiling, ranking, sampling,
+    textmodel,
 )
 from hintwise.operators.labelling import drop_unlabelled, label_query_log, with_referenced_tables
 from hintwise.operators.scaling import shared_folder, written
@@ -751,6 +752,16 @@ def fit_text_labels(spark, sf):
     ])
 
 
+@query
+def document_frequency_upkeep(spark, sf):
+    """Frequencies of a catalog of documents after a third of the entries was dropped and another third added."""
+    docs = derived.table(spark, sf, "documents").select("doc_id", F.col("text").alias("doc"))
+    third = lambda i: docs.where(F.col("doc_id") % 3 == i)
+    before = written(catalog_store.document_frequencies(docs.where("doc_id % 3 != 2")), "frequencies")
+    after = catalog_store.changed_frequencies(before, catalog_store.document_frequencies(third(2)), catalog_store.document_frequencies(third(0), sign=-1))
+    return catalog_store.inverse_frequencies(written(after, "frequencies")).select("token", "df", rounded(F.col("idf")).alias("idf"))
+
+
 @query
 def predict_text_labels(spark, sf):
     logits = textmodel.predict_text_labels(
@@ -995,8 +1006,9 @@ def combined_analysis(spark, sf):
 @query
 def route_queries(spark, sf):
     questions = log_questions(spark, sf)
-    records = serving.analyze_batch(questions, analyzer(spark, sf))
-    ranked = ranking.rank_by_text(questions, log_catalog(spark, sf), top_k=S.HINTS_TOP_K)
+    counts = written(ranking.term_counts(questions, "query_id", "text"), "question-terms")
+    records = serving.analyze_batch(questions, analyzer(spark, sf), counts=counts)
+    ranked = ranking.rank_by_text(questions, log_catalog(spark, sf), top_k=S.HINTS_TOP_K, counts=counts)
     return serving.route_queries(records, ranked).select(
         "query_id", "complexity", "route", joined("tables").alias("tables")
     )

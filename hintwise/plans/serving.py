@@ -22,14 +22,14 @@ from hintwise.sources.readers import parse_catalog_list, split_requests, validat
 
 def analyze_batch(
     queries: DataFrame, model: TextModel, catalog: DataFrame | TextCatalog | None = None,
-    top_k: int = HINTS_TOP_K, vocabulary: DataFrame | None = None,
+    top_k: int = HINTS_TOP_K, vocabulary: DataFrame | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
     """One record per question of ``queries(query_id, text)``: labels, confidences and, with a
     ``catalog(table, doc)`` or what ``fit_catalog`` made of it, its ``top_k`` best tables. A blank or null question is answered like
-    one without known words: by the models' priors, and by tables in name order."""
+    one without known words: by the models' priors, and by tables in name order. ``counts`` are the questions'
+    ``term_counts``, if the caller has them."""
     asked = queries.withColumn("text", F.coalesce("text", F.lit("")))
-    counts = None
-    if catalog is not None:  # the words are counted once, for the labels and for the ranking
+    if catalog is not None and counts is None:  # the words are counted once, for the labels and for the ranking
         counts = written(term_counts(asked, "query_id", "text"), "question-terms")
     decoded = decoding.decode(predict_text_labels(model, asked, "query_id", "text", counts))
     hints = None
@@ -52,13 +52,14 @@ def analyze(
 
 
 def _sparse_dot(terms: Column, weights: Column, other_terms: Column, other_weights: Column) -> Column:
-    def products(w: Column, other_w: Column, other_t: Column) -> Column:
-        return F.transform(terms, lambda t, i: F.get(w, i) * F.coalesce(
-            F.get(other_w, (F.array_position(other_t, t) - 1).cast("int")), F.lit(0.0)))
-
-    bound = let(weights, lambda w: let(other_weights, lambda ow: let(
-        other_terms, lambda ot: products(w, ow, ot))))
-    return F.aggregate(bound, F.lit(0.0), lambda acc, x: acc + x)
+    """Dot product of two sparse vectors with distinct terms: both are sorted into one list, where equal
+    terms are neighbours, so the cost is that of sorting the terms."""
+    def entries(t: Column, w: Column) -> Column:
+        return F.transform(F.arrays_zip(t.alias("t"), w.alias("w")), lambda e: F.struct(e["t"].alias("t"), e["w"].alias("w")))
+
+    products = let(F.sort_array(F.concat(entries(terms, weights), entries(other_terms, other_weights))), lambda m: F.transform(
+        m, lambda x, i: F.when((i > 0) & (F.get(m, i - 1)["t"] == x["t"]), x["w"] * F.get(m, i - 1)["w"]).otherwise(0.0)))
+    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def rank_requests(requests: DataFrame, top_k: int = 10) -> DataFrame:
