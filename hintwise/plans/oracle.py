@@ -139,6 +139,8 @@ table_log AS (SELECT * FROM tabled WHERE len(tables) > 0)"""
 TABLE_LOG = [RAW, STRICT, TABLES]
 
 ORACLES["read_query_log"] = with_([RAW, LOG], "SELECT query_id, instruction, sql FROM log")
+for _c, _question in (("read_query_log_csv", "instruction"), ("read_plain_log_csv", "nullif(instruction, '')")):  # an empty cell is null
+    ORACLES[_c] = with_([RAW, LOG], f"SELECT {_question} AS instruction, sql, count(*) AS n, count(*) AS n_keys FROM log GROUP BY ALL")
 ORACLES["read_ranking_corpus"] = with_([RAW, STRICT], "SELECT query_id, instruction, sql FROM strict")
 ORACLES["extract_prompt"] = with_([RAW, LOG], "SELECT query_id, instruction FROM log")
 ORACLES["extract_prompt_strict"] = with_([RAW, STRICT], "SELECT query_id, instruction FROM strict")

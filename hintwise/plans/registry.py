@@ -54,6 +54,35 @@ def labelled_log(spark: SparkSession, sf: str) -> DataFrame:
     return label_query_log(log_of(spark, sf)).drop("structured_input")
 
 
+def csv_log(log: DataFrame, columns: list) -> str:
+    """The folder of a log that was written as CSV files with the given columns."""
+    path = shared_folder(log.sparkSession, "query-log-csv")
+    log.select(*columns).write.options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+def by_content(log: DataFrame) -> DataFrame:
+    """Rows of a log without ids by content: how many there are, and how many keys they got."""
+    return log.groupBy("instruction", "sql").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("n_keys"))
+
+
+@query
+def read_query_log_csv(spark, sf):
+    """A structured log from files without an id, its columns in another order and among others."""
+    path = csv_log(derived.raw_query_log(spark, sf), [F.lit("x, \"y\"").alias("note"), "sql", F.lit(7).alias("extra"), "structured_input"])
+    return by_content(readers.read_query_log(spark, path, S.QUERY_LOG))
+
+
+@query
+def read_plain_log_csv(spark, sf):
+    """A plain log from such files."""
+    log = log_of(spark, sf).select("instruction", "sql")
+    path = csv_log(log, [F.col("sql").alias("query"), F.lit("x").alias("note"), "instruction"])
+    return by_content(readers.read_query_log(spark, path))
+
+
 def table_log(spark: SparkSession, sf: str) -> DataFrame:
     """Questions with the tables their statement refers to."""
     corpus = readers.ranking_corpus(derived.raw_query_log(spark, sf))
