@@ -8,6 +8,10 @@ one bucket, where sorting window hashes counts them and comparing their bytes ma
 What a task has seen twice is settled in that task: one of several equal packed strings travels,
 marked as repeated. So a bucket receives a string once per task at most, however many copies there
 are, and no group of copies lands in one place.
+
+A common phrase with a low hash is the minimiser of all windows around it, however different they are. A bucket
+that grows beyond a number of bytes is therefore not gathered: its windows are dealt once more, each by a digest of
+all its words, so equal windows still meet and different ones spread.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hintwise.llm.common import ABSENT, keyed, short_batches
+from hintwise.operators.scaling import written
 
 WINDOW_WORDS = 35
 GROUP_WORDS = 4
@@ -28,6 +33,8 @@ GROUP_WORDS = 4
 CHUNK_BYTES = 3 << 20
 HELD_BYTES = 40 << 20
 BUCKETS_PER_PARTITION = 8
+# bytes of strings that a bucket gathers; beyond them its windows are dealt again
+BUCKET_BYTES = 32 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -108,6 +115,8 @@ PACKED = (
     "done_k1 array<bigint>, done_k2 array<bigint>, done_start array<int>, done_n array<int>"
 )
 RANGES = "_k1 bigint, _k2 bigint, start int, n int"
+# a range that occurs elsewhere, or a window of a large bucket with its digest and whether its string is repeated
+FOUND = RANGES + ", digest binary, twice boolean"
 
 
 def _dealt(held: dict, buckets: int) -> pd.DataFrame:
@@ -221,14 +230,71 @@ def _bucket_ranges(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     })
 
 
+def _windows_again(rows: pd.DataFrame, window: int) -> pd.DataFrame:
+    """The windows of a large bucket's strings, one by one, with digests of their words; and the ranges
+    that are settled already."""
+    import hashlib
+
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    out: list[tuple] = []
+    for blob, k1, k2, start, repeated, *done in zip(*(rows[c] for c in (
+            "packed", "k1", "k2", "start", "repeated", "done_k1", "done_k2", "done_start", "done_n"))):
+        joined = expand(blob)
+        starts, ends, _, text = word_arrays(joined)
+        at = _windows(text, window)
+        base = np.concatenate(([0], np.flatnonzero(np.diff(text)) + 1))
+        for p, t, a, b in zip(at.tolist(), text[at].tolist(), starts[at].tolist(), ends[at + window - 1].tolist()):
+            digest = hashlib.blake2b(joined[a:b], digest_size=16).digest()
+            out.append((k1[t], k2[t], start[t] + p - base[t], 1, digest, bool(repeated[t])))
+        out += [(*d, None, None) for d in zip(*done)]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def _read_buckets(window: int, most_bytes: int):
+    """Reads rows that are sorted by bucket; holds no more than ``most_bytes`` of a bucket's strings."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        bucket, held, size = None, [], 0
+        names = [c.split()[0] for c in PACKED.split(", ")]
+
+        def settled() -> pd.DataFrame:
+            return _bucket_ranges(pd.DataFrame(held, columns=names), window).assign(digest=None, twice=None)
+
+        for batch in batches:
+            for row in batch[names].itertuples(index=False, name=None):
+                if row[0] != bucket:
+                    if held:
+                        yield settled()
+                    bucket, held, size = row[0], [], 0
+                size += zstandard.frame_content_size(row[1])
+                held.append(row)
+                if size > most_bytes:  # as for all further rows of the bucket
+                    yield _windows_again(pd.DataFrame(held, columns=names), window)
+                    held = []
+        if held:
+            yield settled()
+
+    return read
+
+
 def repeated_ranges(
     docs: DataFrame, window: int = WINDOW_WORDS, group: int = GROUP_WORDS, buckets: int | None = None,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """(_k1, _k2, start, n): for a row's key, ``n`` windows from word ``start`` occur elsewhere."""
     if buckets is None:
         buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = packed_windows(docs, window, group, buckets)
-    return dealt.groupBy("bucket").applyInPandas(lambda rows: _bucket_ranges(rows, window), RANGES).distinct()
+    dealt = packed_windows(docs, window, group, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    found = written(dealt.mapInPandas(_read_buckets(window, bucket_bytes), FOUND), "repeated-windows")
+    ranges = ["_k1", "_k2", "start", "n"]
+    large = found.where("digest IS NOT NULL")
+    often = large.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.max("twice").alias("_twice")).where("_n > 1 OR _twice")
+    # the occurrences of a repeated string are settled where it was found
+    again = large.where("NOT twice").join(often.select("digest"), "digest", "left_semi")
+    return found.where("digest IS NULL").select(*ranges).unionByName(again.select(*ranges)).distinct()
 
 
 def _without(text: str | None, starts, ns, window: int) -> tuple[list[bytes], list[bool]]:
@@ -243,6 +309,7 @@ def _without(text: str | None, starts, ns, window: int) -> tuple[list[bytes], li
 
 def remove_repeats(
     docs: DataFrame, window: int = WINDOW_WORDS, group: int = GROUP_WORDS, buckets: int | None = None,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each text without the words that a repeated window
     covers, its other words joined by one blank; one row per input row.
@@ -251,7 +318,7 @@ def remove_repeats(
     text. Repeated rows repeat each other's windows, and all lose them. An empty table gives none.
     Other columns are ignored, whatever their names.
     """
-    ranges = repeated_ranges(docs, window, group, buckets).groupBy("_k1", "_k2").agg(
+    ranges = repeated_ranges(docs, window, group, buckets, bucket_bytes).groupBy("_k1", "_k2").agg(
         F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_ns"))
     joined = keyed(docs.select("doc_id", "text")).join(ranges, ["_k1", "_k2"], "left")
 

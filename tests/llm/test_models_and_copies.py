@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import edge
 import numpy as np
+import pandas as pd
 import pytest
 
 from hintwise.llm import language_id, simhash, substring_dedup, token_output
@@ -136,6 +137,55 @@ def test_remove_repeats(docs, window, group, buckets):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def phrase_texts():
+    """One phrase in a third of the texts, in different surroundings; some passages and whole texts twice."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=5))
+    phrase, passage = "the one common phrase", " ".join(word() for _ in range(60))
+    texts = []
+    for i in range(150):
+        words = [word() for _ in range(rng.randint(20, 120))]
+        if i % 3 == 0:
+            words.insert(len(words) // 2, phrase)
+        if i % 25 == 0:
+            words.insert(5, passage)
+        texts.append(" ".join(words))
+    return texts + texts[:4] + texts[:1]
+
+
+@pytest.mark.parametrize("bucket_bytes", [1, 3000, 1 << 25])
+def test_large_buckets_are_dealt_again(spark, bucket_bytes):
+    texts = phrase_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [(i, *x) for i, x in enumerate(brute_dedup(texts, 35))]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(docs, 35, 4, 5, bucket_bytes).collect()]
+    assert sorted(got) == want and any(x[2] for x in want)
+
+
+def test_no_bucket_gathers_more_than_its_bytes(monkeypatch):
+    """However often one minimiser occurs, what is held of its bucket stays below the bound."""
+    gathered, settle = [], substring_dedup._bucket_ranges
+
+    def counting(rows, window):
+        import zstandard
+        gathered.append(sum(zstandard.frame_content_size(b) for b in rows["packed"]))
+        return settle(rows, window)
+
+    monkeypatch.setattr(substring_dedup, "_bucket_ranges", counting)
+    held = {}
+    texts = [t.encode() for t in phrase_texts()]
+    for t, start, n, least, packed in substring_dedup.super_kmers(texts, 35, 4):
+        held.setdefault(packed, (7, []))[1].append((t, 0, start, n))
+    parts = [dict(list(held.items())[i::10]) for i in range(10)]
+    batch = pd.concat([substring_dedup._dealt(p, 3) for p in parts])
+    total = sum(map(len, held))
+    for bound in (total // 4, 2 * total):
+        gathered.clear()
+        out = pd.concat(list(substring_dedup._read_buckets(35, bound)(iter([batch]))))
+        assert all(n <= bound for n in gathered)
+        assert out["digest"].notna().any() == (bound < total)
+
+
 def test_equal_hashes_of_windows_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_chained", lambda h, n: np.zeros(len(h) - n + 1, np.uint64))
     strings = [b"a b c d", b"x b c d e", b"b c d"]
