@@ -78,6 +78,55 @@ def test_exact_and_near_matches(spark):
     assert near == {(0, "exact"), (1, "exact"), (2, "near")}
 
 
+def brute_near(docs, items, length, slack):
+    """{(doc_id, kind, start, phrase)} by trying every start of every text."""
+    out = set()
+    for _, item in items:
+        w = plain(item)
+        for i in range(max(1, len(w) - length + 1) if w else 0):
+            window = w[i:i + length]
+            own = set(window)
+            for doc_id, text in docs:
+                d, run = plain(text), []
+                for s in range(-slack, len(d) + slack + 1):
+                    wide = d[max(s - slack, 0):max(s + len(window) + slack, 0)]
+                    if len(own & set(wide)) >= 0.8 * len(own):
+                        inside = len(own & set(d[max(s, 0):max(s + len(window), 0)]))
+                        run.append((s >= 0 and d[s:s + len(window)] == window, inside, -s))
+                    elif run:
+                        out.add((doc_id, "exact" if max(run)[0] else "near", -max(run)[2], " ".join(window)))
+                        run = []
+                if run:
+                    out.add((doc_id, "exact" if max(run)[0] else "near", -max(run)[2], " ".join(window)))
+    return out
+
+
+def test_near_matches_with_each_word_replaced(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    short, tied = "one two three", "a b a b a b a b c d"
+    w = item.split()
+    texts = [item, f"x {item} y", item.replace("gamma", "gamma filler"), "alpha kappa", "nothing", None, "", short, "one three", tied]
+    # every word replaced in turn, by a word of the corpus and by one that is new; two words; three words
+    texts += [f"before {' '.join(w[:i] + [new] + w[i + 1:])} after" for i in range(10) for new in ("alpha", f"new{i}")]
+    texts += [" ".join(w[:i] + ["gone"] * 2 + w[i + 2:]) for i in range(9)] + [" ".join(w[:i] + ["gone"] * 3 + w[i + 3:]) for i in range(8)]
+    texts += ["alpha alpha alpha beta " * 30, " ".join(["pad"] * 500 + w[1:] + ["pad"] * 10 + w[:9]), f"{item} {item}"]
+    texts += [" ".join(reversed(w)), "a b a b x a b c d a b c"]
+    rows = list(enumerate(texts))
+    # words that no text has count as missing
+    items = [(1, item), (2, short), (3, tied), (4, "alpha beta gamma delta epsilon zeta eta theta absent1 absent2"),
+             (5, "alpha beta gamma delta epsilon zeta eta absent1 absent2 absent3"), (6, None), (7, f"{item} lambda mu")]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    found = decontamination.matches(docs, spark.createDataFrame(items, "item_id long, text string"), slack=2).collect()
+    got = [(r.doc_id, r.kind, r.start, r.phrase) for r in found]
+    want = brute_near(rows, [(i, t or "") for i, t in items], 10, 2)
+    assert sorted(got) == sorted(want) and len(want) > 40
+    assert {(r.doc_id, r.kind) for r in found if r.doc_id in range(10, 30)} >= {(i, "near") for i in range(10, 30)}
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert decontamination.matches(none, spark.createDataFrame(items, "item_id long, text string"), slack=2).count() == 0
+    assert decontamination.matches(edge.documents(spark), spark.createDataFrame([], "item_id long, text string"), slack=2).count() == 0
+    assert decontamination.matches(edge.documents(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
 # --- licences ---
 
 def brute_licenses(text, templates, least):
