@@ -53,7 +53,7 @@ def op3_quality_classifier(spark, sf_dir):
 @query
 def op4_license_scan(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents"))
-    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["line"].cast("string")))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string")))
     return found.select(
         "doc_id", F.size("matches").cast("bigint").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),

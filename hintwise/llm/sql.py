@@ -104,29 +104,34 @@ FROM counts
 """
 
 
-def _bigrams(words: str) -> str:
-    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
-
-
 LICENSES = f"""
 WITH templates AS (
-  SELECT k, license, {_bigrams('v')} AS b FROM (
+  SELECT k, license, len(v) AS m, list_distinct(list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS b FROM (
     SELECT *, regexp_extract_all({_lowered('text')}, '{PLAIN_WORD}') AS v
     FROM (VALUES {', '.join(f'({k}, {_quoted(n)}, {_quoted(t)})' for k, (n, t) in enumerate(licenses.TEMPLATES.items()))}) x(k, license, text))
 ), d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
-), units AS (
-  SELECT rid, 0 AS line, t AS text FROM d WHERE len(lines) > 1
-  UNION ALL SELECT rid, unnest(range(1, len(lines) + 1)), unnest(lines) FROM d
-), sets AS (
-  SELECT rid, line, {_bigrams('w')} AS a FROM (SELECT *, regexp_extract_all({_lowered('text')}, '{PLAIN_WORD}') AS w FROM units)
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lowered('text')}, '{PLAIN_WORD}') AS w FROM documents
+), grams AS (
+  SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM d
+), places AS (
+  SELECT rid, unnest(g) AS gram, unnest(range(len(g))) AS i FROM grams
+), starts AS (
+  SELECT DISTINCT p.rid, k, least(i, greatest(len(g) - m + 1, 0)) AS start
+  FROM places p JOIN (SELECT k, m, unnest(b) AS gram FROM templates) t ON p.gram = t.gram JOIN grams ON grams.rid = p.rid
+), scored AS (
+  SELECT s.rid, k, license, m, start, list_distinct(g[start + 1:start + m - 1]) AS a, b
+  FROM starts s JOIN grams USING (rid) JOIN templates USING (k)
 ), found AS (
-  SELECT rid, line, k, license, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-  FROM sets, templates WHERE 2 * len(list_intersect(a, b)) >= {licenses.LEAST} * (len(a) + len(b))
+  SELECT rid, k, license, m, start, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
+  FROM scored WHERE 2 * len(list_intersect(a, b)) >= {licenses.LEAST} * (len(a) + len(b))
+), best AS (
+  SELECT * FROM found f WHERE NOT EXISTS (
+    SELECT 1 FROM found y WHERE y.rid = f.rid AND y.k = f.k AND abs(y.start - f.start) < f.m
+      AND (y.dice > f.dice OR (y.dice = f.dice AND y.start < f.start)))
 ), listed AS (
-  SELECT rid, count(*) AS n, string_agg(license || ':' || line, ',' ORDER BY line, k) AS passages,
+  SELECT rid, count(*) AS n, string_agg(license || ':' || start, ',' ORDER BY start, k) AS passages,
     array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses, max(dice) AS best
-  FROM found GROUP BY rid
+  FROM best GROUP BY rid
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses,
   round(coalesce(best, 0.0)::DOUBLE, 6) AS best_dice, coalesce(passages, '') AS passages

@@ -130,29 +130,66 @@ def test_near_matches_with_each_word_replaced(spark):
 # --- licences ---
 
 def brute_licenses(text, templates, least):
-    lines = (text or "").split("\n")
-    units = [(0, text)] if len(lines) > 1 else []
-    for number, passage in units + list(enumerate(lines, 1)):
-        w = plain(passage)
-        a = set(zip(w, w[1:]))
-        for name, t in templates.items():
-            v = plain(t)
-            b = set(zip(v, v[1:]))
-            dice = 2 * len(a & b) / (len(a) + len(b)) if b else 0
+    """(start, words, license, dice) over every run of words that begins with a pair of the template, or as late as it can."""
+    w, out = plain(text), []
+    pairs = list(zip(w, w[1:]))
+    for k, (name, t) in enumerate(templates.items()):
+        v = plain(t)
+        b, found = set(zip(v, v[1:])), []
+        last = max(len(w) - len(v), 0)
+        for s in sorted({min(i, last) for i, p in enumerate(pairs) if p in b}):
+            a = set(pairs[s:s + len(v) - 1])
+            dice = 2 * len(a & b) / (len(a) + len(b))
             if dice >= least:
-                yield number, name, round(dice, 9)
+                found.append((s, dice))
+        for s, dice in found:
+            if not any(abs(x - s) < len(v) and (y > dice or (y == dice and x < s)) for x, y in found):
+                out.append((s, k, min(len(v), len(w)), name, round(dice, 9)))
+    return [(s, n, name, dice) for s, _, n, name, dice in sorted(out)]
+
+
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+# this file except in compliance with the License. You may obtain a copy of
+# the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software distributed
+# under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+# CONDITIONS OF ANY KIND, either express or implied. See the License for the
+# specific language governing permissions and limitations under the License."""
 
 
 @pytest.mark.parametrize("least", [0.8, 0.3])
 def test_licenses(tables, spark, least):
-    extra = [(900, "x\nLicensed under the Apache License, Version 2.0 (the work)\nAll rights reserved", "en", "a", 1, "h", "k", "z"),
-             (901, "Released under the\nMIT License.", "en", "a", 1, "h", "k", "z"), (902, "all rights reserved " * 50, "en", "a", 1, "h", "k", "z")]
+    said = ["x\nLicensed under the Apache License, Version 2.0 (the work)\nAll rights reserved", "Released under the\nMIT License.",
+            "all rights reserved " * 50, "The work was released under the MIT license by its authors, all rights are theirs.",
+            "Released", "released under", f"import os\n{APACHE}\ncode " + "word " * 300]
+    extra = [(900 + i, t, "en", "a", 1, "h", "k", "z") for i, t in enumerate(said)]
     docs = tables[0].select("doc_id", "text").unionByName(spark.createDataFrame(extra, edge.SCHEMA).select("doc_id", "text"))
-    got = sorted(((r.doc_id, [(m.line, m.license, round(m.dice, 9)) for m in r.matches]) for r in licenses.scan(docs, least=least).collect()), key=str)
+    got = sorted(((r.doc_id, [(m.start, m.words, m.license, round(m.dice, 9)) for m in r.matches]) for r in licenses.scan(docs, least=least).collect()), key=str)
     want = sorted(((r.doc_id, list(brute_licenses(r.text, licenses.TEMPLATES, least))) for r in docs.collect()), key=str)
     assert got == want and any(m for _, m in got)
 
 
+def test_real_notices_are_found_wherever_they_lie(spark):
+    """Texts of licences, wrapped to other widths, behind comment signs, in the middle of a text or of a line, slightly changed."""
+    import textwrap
+
+    rows, wanted = [], {}
+    for name in ("mit-text", "mit-warranty", "bsd-text", "isc-text", "gpl-notice", "apache-2.0-notice"):
+        t = licenses.TEMPLATES[name]
+        changed = t.replace("Software", "Library", 2).replace("without", "with no", 1)
+        for form in (t, textwrap.fill(t, 40), "\n".join(f" * {x}" for x in textwrap.wrap(t, 60)), f"Some words first. {t} And more after it.",
+                     "intro " * 200 + changed + " outro" * 200):
+            wanted[len(rows)] = name
+            rows.append((len(rows), form))
+    rows.append((len(rows), "Permission to enter is hereby granted to all persons of the house. " * 20))
+    found = {r.doc_id: {m.license for m in r.matches} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(name in found[i] for i, name in wanted.items()) and not found[len(rows) - 1]
+    assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {}).where("size(matches) > 0").count() == 0
+
+
 # --- classifier ---
 
 def test_isotonic():
