@@ -10,13 +10,37 @@ from pyspark.sql import functions as F
 from hintwise.llm.common import BLANK_RUN, let, words
 
 SYMBOLS = "#*$%&|<>"
-# function words of the languages that the default rules know
-STOP_WORDS = (
-    "the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "was", "with", "as", "be", "by",
-    "der", "die", "das", "und", "ist", "von", "zu", "den", "mit", "ein", "eine", "nicht", "auf",
-    "le", "la", "les", "de", "des", "et", "un", "une", "est", "que", "pour", "dans", "en", "du",
-    "el", "los", "las", "y", "del", "con", "por", "se", "no", "al", "una",
-)
+# fixed values: function words by language. The first four are also a feature of the quality classifier
+STOP_WORDS = {
+    "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "was", "with", "as", "be", "by"),
+    "de": ("der", "die", "das", "und", "ist", "von", "zu", "den", "mit", "ein", "eine", "nicht", "auf"),
+    "fr": ("le", "la", "les", "de", "des", "et", "un", "une", "est", "que", "pour", "dans", "en", "du"),
+    "es": ("el", "los", "las", "y", "del", "con", "por", "se", "no", "al", "una"),
+    "it": ("il", "lo", "gli", "di", "che", "non", "per", "sono", "della", "nel", "ha"),
+    "pt": ("o", "os", "as", "um", "uma", "do", "da", "em", "não", "para", "com"),
+    "nl": ("het", "een", "van", "niet", "dat", "op", "zijn", "voor", "aan", "ook"),
+    "sv": ("och", "att", "det", "som", "är", "på", "av", "för", "inte", "till"),
+    "da": ("og", "at", "er", "på", "af", "ikke", "til", "med", "som", "den"),
+    "fi": ("ja", "on", "ei", "se", "että", "oli", "mutta", "kun", "myös", "hän"),
+    "pl": ("i", "w", "na", "z", "nie", "jest", "się", "że", "jak", "ale"),
+    "cs": ("a", "je", "na", "že", "s", "ve", "který", "jako", "bylo", "ale"),
+    "hu": ("a", "az", "és", "hogy", "nem", "egy", "van", "volt", "mint", "csak"),
+    "ro": ("și", "în", "este", "cu", "pe", "care", "sunt", "nu", "mai", "din"),
+    "tr": ("ve", "bir", "bu", "için", "ile", "da", "çok", "olarak", "gibi", "daha"),
+    "id": ("yang", "dan", "di", "untuk", "dengan", "ini", "tidak", "dari", "pada", "adalah"),
+    "vi": ("và", "của", "là", "các", "có", "được", "cho", "trong", "một", "không"),
+    "ru": ("и", "в", "не", "на", "что", "с", "по", "это", "как", "он"),
+    "uk": ("і", "в", "не", "на", "що", "з", "та", "це", "як", "до"),
+    "bg": ("и", "на", "да", "от", "за", "се", "е", "не", "с", "по"),
+    "el": ("και", "το", "να", "της", "του", "η", "με", "που", "για", "δεν"),
+}
+CLASSIFIER_LANGUAGES = ("en", "de", "fr", "es")
+# scripts that the lists know; of a text in another one they say nothing
+SCRIPTS = ("Latin", "Cyrillic", "Greek")
+
+
+def _all_words(stop_words: dict[str, tuple[str, ...]]) -> list[str]:
+    return sorted({w for words in stop_words.values() for w in words})
 
 
 @dataclass(frozen=True)
@@ -58,7 +82,8 @@ def metrics() -> dict[str, Column]:
         "mean_word_chars": _ratio("word_chars", "n_words"),
         "symbol_ratio": _ratio("n_symbols", "n_words"),
         "exclamation_ratio": _ratio("n_exclamations", "n_words"),
-        "stop_word_ratio": _ratio("n_stop_words", "n_words"),
+        # null where most characters are letters of scripts that the word lists lack
+        "stop_word_ratio": F.when(2 * F.col("n_foreign_letters") <= F.col("word_chars"), _ratio("n_stop_words", "n_words")),
         "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
         "ellipsis_line_ratio": _ratio("n_ellipsis_lines", "n_lines"),
     }
@@ -120,15 +145,22 @@ def _covered(starts: Column) -> Column:
     ))
 
 
-def text_statistics(text: Column) -> Column:
-    """Counts of one text as a struct of longs; a null text counts like an empty one."""
+def text_statistics(
+    text: Column, stop_words: dict[str, tuple[str, ...]] | None = None, scripts: tuple[str, ...] = SCRIPTS,
+) -> Column:
+    """Counts of one text as a struct of longs; a null text counts like an empty one. Stop words are those of the
+    quality classifier, unless lists by language are given, with the Unicode scripts that they are written in."""
+    known = _all_words({k: STOP_WORDS[k] for k in CLASSIFIER_LANGUAGES} if stop_words is None else stop_words)
+    foreign = "[\\p{L}&&[^" + "".join(f"\\p{{Is{x}}}" for x in scripts) + "]]"
+
     def of(w: Column, ln: Column, t: Column) -> Column:
         counts = {
             "n_words": F.size(w),
             "word_chars": F.char_length(F.regexp_replace(t, BLANK_RUN, "")),
             "n_symbols": F.char_length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")),
             "n_exclamations": F.char_length(F.regexp_replace(t, "[^!?]+", "")),
-            "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
+            "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*known))),
+            **({} if stop_words is None else {"n_foreign_letters": F.regexp_count(t, F.lit(foreign))}),
             "n_lines": F.size(ln),
             "n_dup_lines": F.size(ln) - F.size(F.array_distinct(ln)),
             "n_ellipsis_lines": F.size(F.filter(ln, lambda x: x.endswith("...") | x.endswith("\u2026"))),
@@ -158,13 +190,17 @@ def failed_rules(rules: tuple[Rule, ...]) -> Column:
 
 def apply_rules(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES,
+    stop_words: dict[str, tuple[str, ...]] = STOP_WORDS, scripts: tuple[str, ...] = SCRIPTS,
 ) -> DataFrame:
     """doc_id, the counts, base_failed, failed (names of broken rules) and kept, one row per row.
 
+    ``stop_words`` are lists by language, ``scripts`` the Unicode scripts that they are written in. A text most of whose
+    characters are letters of other scripts is not judged by its stop words. A language of these scripts has to be listed.
+
     A null or empty text has no words, so it breaks ``too_short``. Repeated rows give repeated
     results; other columns are ignored, whatever their names. No shuffle, no state.
     """
-    counted = docs.select("doc_id", text_statistics(F.col("text")).alias("_s")).select("doc_id", "_s.*")
+    counted = docs.select("doc_id", text_statistics(F.col("text"), stop_words, scripts).alias("_s")).select("doc_id", "_s.*")
     flagged = counted.select(
         "*", (F.size(failed_rules(base)) > 0).alias("base_failed"), failed_rules(rules).alias("failed")
     )

@@ -64,7 +64,7 @@ FROM sized s JOIN cut c ON s.source IS NOT DISTINCT FROM c.source
 _RATIOS = {
     "n_words": "n_words", "repeat_percent": "100 * n_repeat_words / nullif(n_words, 0)",
     "mean_word_chars": "word_chars / nullif(n_words, 0)", "symbol_ratio": "n_symbols / nullif(n_words, 0)",
-    "exclamation_ratio": "n_exclamations / nullif(n_words, 0)", "stop_word_ratio": "n_stop_words / nullif(n_words, 0)",
+    "exclamation_ratio": "n_exclamations / nullif(n_words, 0)", "stop_word_ratio": "CASE WHEN 2 * n_foreign <= word_chars THEN n_stop_words / nullif(n_words, 0) END",
     "dup_line_ratio": "n_dup_lines / nullif(n_lines, 0)", "ellipsis_line_ratio": "n_ellipsis_lines / nullif(n_lines, 0)",
 }
 
@@ -91,7 +91,8 @@ WITH d AS (
     length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^{quality_rules.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
     length(regexp_replace(t, '[^!?]', '', 'g'))::BIGINT AS n_exclamations,
-    len(list_filter(w, lambda x: lower(x) IN ({', '.join(map(_quoted, quality_rules.STOP_WORDS))}))) AS n_stop_words,
+    len(list_filter(w, lambda x: lower(x) IN ({', '.join(_quoted(w) for ws in quality_rules.STOP_WORDS.values() for w in ws)}))) AS n_stop_words,
+    length(regexp_replace(regexp_replace(t, '[\\p{{Latin}}\\p{{Cyrillic}}\\p{{Greek}}]', '', 'g'), '[^\\p{{L}}]', '', 'g')) AS n_foreign,
     len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     len(list_filter(lines, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_ellipsis_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words

@@ -35,6 +35,21 @@ def test_quality_verdicts(spark):
     assert got[1] == (True, []) and got[2][0] is False and "symbols" in got[2][1] and got[3][0] is False
 
 
+def test_stop_words_by_language(spark):
+    """Clean texts of listed languages and of other scripts pass; a text of no language's words fails."""
+    said = {
+        "fi": "talo on suuri ja vanha mutta se ei ole kaunis kun sataa", "ru": "это большой дом и он стоит на горе что не мешает",
+        "el": "το σπίτι και η θάλασσα για να δει που δεν είναι", "ar": "هذا بيت كبير جدا في مدينة قديمة على جبل عال",
+        "hi": "यह एक बड़ा घर है जो पहाड़ पर पुराना शहर में", "no": "qwrt zxcvb plmkj hgfds mnbvc lkjhg poiuy trewq asdfg",
+    }
+    rows = [(k, " ".join(f"{w}{c}" if i % 3 == 2 else w for c in "abcdefg" for i, w in enumerate(t.split()))) for k, t in said.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.failed for r in quality_rules.apply_rules(df).collect()}
+    assert {k for k, v in got.items() if "stop_words" in v} == {"no"}
+    one = quality_rules.apply_rules(df, stop_words={"ru": quality_rules.STOP_WORDS["ru"]}, scripts=("Cyrillic",)).collect()
+    assert not any("stop_words" in r.failed for r in one)
+
+
 def test_repeated_windows_with_equal_hashes(spark, monkeypatch):
     # with one hash for all windows every neighbour clashes and the words decide
     monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(5).cast("bigint"))
