@@ -2,7 +2,8 @@
 
 A model counts runs of four characters per language on labelled texts and smooths them by
 interpolated Kneser-Ney. It is stored as sorted arrays of 64-bit n-gram keys (four 16-bit
-characters) with one column of log-probabilities per language. A text gets the language of least
+characters), each with the log-probabilities of those languages that have it, so the model grows with
+what the languages hold and not with their number times all of it. A text gets the language of least
 cross-entropy per character, and is rejected where that lies beyond what labelled texts show.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hintwise.llm.common import per_process, short_batches
+from hintwise.operators.scaling import written
 
 ORDER = 4
 UNKNOWN = "und"
@@ -32,6 +34,8 @@ CHUNK_CHARS = 1 << 22
 REJECT_QUANTILE = 0.999
 # added to the quantile, in nats per character; the second is divided by the root of the length
 SLACK, SHORT_SLACK = 0.5, 4.0
+# largest model that is sent to the executors
+MOST_MODEL_BYTES = 256 << 20
 # characters after which a score is as sure as it gets
 SURE_AFTER = 60
 
@@ -81,44 +85,75 @@ def ngram_keys(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[ends], first - (ORDER - 1) * np.arange(len(first))
 
 
+@dataclass
+class Table:
+    """Sorted distinct keys; those of number i have the entries ``ends[i - 1]`` to ``ends[i]`` (language, value)."""
+
+    keys: np.ndarray
+    ends: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Table:
+        """From (sorted keys, values) of each language in turn."""
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        known, n = np.unique(keys, return_counts=True)
+        language = np.repeat(np.arange(len(parts), dtype=np.int16), [len(k) for k, _ in parts])[order]
+        return cls(known, np.cumsum(n).astype(np.int64), language, np.concatenate([v for _, v in parts])[order].astype(np.float32))
+
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, language, value) of the keys that are known, row being a key's place."""
+        if not len(self.keys):
+            none = np.zeros(0, np.int64)
+            return none, none, none.astype(np.float32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        rows = np.flatnonzero(self.keys[at] == keys)
+        last = self.ends[at[rows]]
+        first = np.where(at[rows] > 0, self.ends[at[rows] - 1], 0)
+        n = last - first
+        place = np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())
+        return np.repeat(rows, n), self.language[place], self.value[place]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.ends, self.language, self.value))
+
+
 @dataclass
 class Model:
-    """Per order (1 to 4): sorted keys and log-probabilities [keys, languages]; per order (1 to 3)
-    sorted contexts and the log-weights with which a context hands on to the shorter one."""
+    """Per order (1 to 4) the log-probabilities of runs; per order (1 to 3) the log-weights with which a
+    context hands on to the shorter one."""
 
     languages: list[str]
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
+    grams: dict[int, Table]
+    contexts: dict[int, Table]
     floor: np.ndarray
     limits: dict[str, float] | None = None
 
+    @property
+    def nbytes(self) -> int:
+        return sum(t.nbytes for t in (*self.grams.values(), *self.contexts.values()))
+
     def log_probabilities(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """[keys, languages], as float32; unseen runs fall back to shorter ones."""
-        known, values = self.grams[order]
-        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-        out = np.empty((len(keys), len(self.languages)), np.float32)
-        out[hit] = values[at[hit]]
-        missing = np.flatnonzero(~hit)
-        if len(missing):
-            out[missing] = self._shorter(keys[missing], order)
-        return out
-
-    def _shorter(self, keys: np.ndarray, order: int) -> np.ndarray:
         if order == 1:
-            return np.broadcast_to(self.floor, (len(keys), len(self.languages)))
-        rest = self.log_probabilities(keys & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-        known, weights = self.contexts[order - 1]
-        context = keys >> np.uint64(16)
-        at = np.minimum(np.searchsorted(known, context), max(len(known) - 1, 0))
-        hit = known[at] == context if len(known) else np.zeros(len(keys), bool)
-        rest[hit] += weights[at[hit]]
-        return rest
+            out = np.repeat(self.floor[None, :], len(keys), axis=0)
+        else:
+            shorter, at = np.unique(keys & np.uint64((1 << 16 * (order - 1)) - 1), return_inverse=True)
+            out = self.log_probabilities(shorter, order - 1)[at]
+            row, language, weight = self.contexts[order - 1].entries(keys >> np.uint64(16))
+            out[row, language] += weight
+        row, language, value = self.grams[order].entries(keys)
+        out[row, language] = value
+        return out
 
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """[texts, languages] in nats per character, and the texts' characters."""
         keys, first = ngram_keys(*character_runs(texts))
-        sums = np.add.reduceat(self.log_probabilities(keys), first[:-1], axis=0, dtype=np.float64)
+        distinct, at = np.unique(keys, return_inverse=True)
+        sums = np.add.reduceat(self.log_probabilities(distinct)[at], first[:-1], axis=0, dtype=np.float64)
         n = np.diff(first)
         return -sums / n[:, None], n
 
@@ -161,20 +196,10 @@ def build(counts: pd.DataFrame) -> Model:
         keys = rows["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         own.append(_kneser_ney(keys[order], rows["n"].to_numpy(np.float64)[order], alphabet))
-    model = Model(languages, {}, {}, np.log([f for _, _, f in own]).astype(np.float32))
-    for order in range(1, ORDER + 1):
-        if order > 1:
-            known = np.unique(np.concatenate([c[order - 1][0] for _, c, _ in own]))
-            weights = np.zeros((len(known), len(languages)), np.float32)
-            for i, (_, contexts, _) in enumerate(own):
-                weights[np.searchsorted(known, contexts[order - 1][0]), i] = np.log(contexts[order - 1][1])
-            model.contexts[order - 1] = (known, weights)
-        known = np.unique(np.concatenate([g[order][0] for g, _, _ in own]))
-        values = np.array(model._shorter(known, order), np.float32)
-        for i, (grams, _, _) in enumerate(own):
-            values[np.searchsorted(known, grams[order][0]), i] = np.log(grams[order][1])
-        model.grams[order] = (known, values)
-    return model
+    floor = np.log([f for _, _, f in own]).astype(np.float32)
+    grams = {order: Table.of([(g[order][0], np.log(g[order][1])) for g, _, _ in own]) for order in range(1, ORDER + 1)}
+    contexts = {order: Table.of([(c[order][0], np.log(c[order][1])) for _, c, _ in own]) for order in range(1, ORDER)}
+    return Model(languages, grams, contexts, floor)
 
 
 def _chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
@@ -227,14 +252,12 @@ def samples(usable: DataFrame, fit_documents: int, calibration_documents: int) -
     rates = usable.sparkSession.createDataFrame(
         [(lang, min(whole, whole * to_fit // n), min(whole, whole * to_calibrate // n)) for lang, n in sizes.items()],
         "lang string, _fit long, _calibrate long")
+    place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id", "text"), F.lit(whole))
     rows = usable.select("doc_id", "text", "lang", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(2)).alias("fold")).join(
-        F.broadcast(rates), "lang")
-
-    def some(salt: int, rate: str) -> DataFrame:
-        place = F.pmod(F.xxhash64(F.lit(salt), "doc_id", "text"), F.lit(whole))
-        return rows.where(place < F.col(rate)).select("doc_id", "text", "lang", "fold")
-
-    return some(1, "_fit"), some(2, "_calibrate")
+        F.broadcast(rates), "lang").withColumns({"_a": place(1) < F.col("_fit"), "_b": place(2) < F.col("_calibrate")})
+    # both samples come out of one pass; what follows reads no other text
+    taken = written(rows.where("_a OR _b").select("doc_id", "text", "lang", "fold", "_a", "_b"), "language-samples")
+    return taken.where("_a").drop("_a", "_b"), taken.where("_b").drop("_a", "_b")
 
 
 def fit(
@@ -266,6 +289,8 @@ def fit(
 
 
 def _scorer(spark: SparkSession, model: Model):
+    if model.nbytes > MOST_MODEL_BYTES:
+        raise ValueError(f"the model of {len(model.languages)} languages has {model.nbytes} bytes; fit it on fewer texts")
     short_batches(spark)
     shared = spark.sparkContext.broadcast(dict(vars(model)))  # plain arrays
 
@@ -310,7 +335,9 @@ def predict(docs: DataFrame, model: Model, more: tuple[str, ...] = ()) -> DataFr
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language is identified and not rejected."""
+    """The rows of ``docs``, with their columns, whose language is identified and not rejected. Null and empty texts and
+    those without a letter go; repeated rows stay or go together; very long texts are scored whole; an empty table
+    gives none; columns of any names travel along."""
     score = _scorer(docs.sparkSession, model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), score("text").alias("_r"))
     return rows.where("NOT _r.rejected").select("_row.*")

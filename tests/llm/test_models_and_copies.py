@@ -208,6 +208,97 @@ def test_language_model_is_a_distribution(spark):
         assert np.allclose(total, 1, atol=1e-4)
 
 
+def brute_kneser_ney(texts, order=4):
+    """Interpolated Kneser-Ney with absolute discounts, from dictionaries: a function of (run of characters)."""
+    def runs(text):
+        t = "   " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return [t[i - order + 1:i + 1] for i in range(order - 1, len(t))]
+
+    counts = {order: Counter(r for t in texts for r in runs(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(r[1:] for r in counts[n + 1])
+    alphabet = {r[-1] for r in counts[order]}
+
+    def probability(run):
+        n = len(run)
+        if not n:
+            return 1 / len(alphabet)
+        held = list(counts[n].values())
+        once, twice = held.count(1), held.count(2)
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        after = {r: c for r, c in counts[n].items() if r[:-1] == run[:-1]}
+        shorter = probability(run[1:])
+        if not after:
+            return shorter
+        total = sum(after.values())
+        return max(after.get(run, 0) - discount, 0) / total + discount * len(after) / total * shorter
+
+    return probability, alphabet
+
+
+def test_model_against_brute_force_kneser_ney(spark):
+    said = {"en": ["The cat sat on the mat.", "A cat and a dog ran"], "de": ["Der Hund und die Katze", "die Katze saß da!"]}
+    rows = [(lang, t) for lang, ts in said.items() for t in ts]
+    model = language_id.build(language_id.count_runs(spark.createDataFrame(rows, "lang string, text string")).toPandas())
+    assert model.languages == ["de", "en"]
+    alphabet = brute_kneser_ney([t for ts in said.values() for t in ts])[1]
+    for column, lang in enumerate(model.languages):
+        runs = {"the ", " the", "katz", "saß ", "   t", "xyz ", "e ca", "qqqq", "a do", "d un", "ie k"}
+        keys = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(r)) for r in runs], np.uint64)
+        got = np.exp(model.log_probabilities(keys)[:, column])
+        for r, p in zip(runs, got):
+            assert p == pytest.approx(brute_over(said[lang], r, len(alphabet)), rel=1e-4), (lang, r)
+
+
+def brute_over(texts, run, alphabet):
+    """The brute-force probability with the evenly spread rest over a given number of characters."""
+    probability, own = brute_kneser_ney(texts)
+    shift = (1 / alphabet) - (1 / len(own))
+
+    def rest(r):  # how much of the probability comes from the even spread
+        if not r:
+            return 1.0
+        counts = brute_counts(texts)
+        held = list(counts[len(r)].values())
+        once, twice = held.count(1), held.count(2)
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        after = [c for x, c in counts[len(r)].items() if x[:-1] == r[:-1]]
+        return rest(r[1:]) * (discount * len(after) / sum(after) if after else 1.0)
+
+    return probability(run) + rest(run) * shift
+
+
+def brute_counts(texts, order=4):
+    out = {order: Counter()}
+    for text in texts:
+        t = "   " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        out[order].update(t[i - order + 1:i + 1] for i in range(order - 1, len(t)))
+    for n in range(order - 1, 0, -1):
+        out[n] = Counter(r[1:] for r in out[n + 1])
+    return out
+
+
+def test_many_languages_make_a_small_model():
+    """A hundred languages with 20,000 runs of their own each."""
+    rng = np.random.default_rng(1)
+    parts = []
+    for i in range(100):
+        letters = rng.integers(0x4E00 + 100 * i, 0x4E00 + 100 * i + 60, (20_000, 4)).astype(np.uint64)
+        keys = np.unique(sum(letters[:, k] << np.uint64(16 * k) for k in range(4)))
+        parts.append(pd.DataFrame({"lang": f"l{i:03d}", "key": keys.view(np.int64), "n": rng.integers(1, 9, len(keys))}))
+    model = language_id.build(pd.concat(parts))
+    assert len(model.languages) == 100 and model.nbytes < 200 << 20
+    texts = ["".join(chr(0x4E00 + 100 * i + j % 60) for j in range(200)) for i in (0, 41, 99)]
+    assert np.argmin(model.cross_entropies(texts)[0], axis=1).tolist() == [0, 41, 99]
+
+
+def test_too_large_a_model_is_refused(spark, monkeypatch):
+    model = language_id.build(language_id.count_runs(spark.createDataFrame([("en", "some text")], "lang string, text string")).toPandas())
+    monkeypatch.setattr(language_id, "MOST_MODEL_BYTES", 10)
+    with pytest.raises(ValueError, match="fewer texts"):
+        language_id.predict(edge.documents(spark), model)
+
+
 def test_languages(docs, spark):
     train = docs.where(~language_id.held_out() & docs.lang.isNotNull())
     model = language_id.fit(train)
