@@ -383,7 +383,9 @@ def pack_catalog(catalog: DataFrame, name: str, weights: str, terms: str | None
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(weights)), F.lit(0)).alias("values")
     ).first()
     single = size.rows <= PACK_ROWS and size["values"] <= PACK_VALUES
-    packed = _pack(stored.repartition(1) if single else stored, name, terms, weights, by_terms=terms is not None and not single)
+    # bounds can only exclude blocks where a cell does not hold the whole catalog anyway
+    many = max(size.rows / PACK_ROWS, size["values"] / PACK_VALUES) > HELD_BLOCKS
+    packed = _pack(stored.repartition(1) if single else stored, name, terms, weights, by_terms=terms is not None and many)
     blocks = written(_side(packed, "c"), "catalog-blocks")
     return PackedCatalog(
         blocks, name, catalog.schema[name].dataType, size.rows, size["values"], single, terms is not None)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hintwise.functions.text import array_lit, let, word_tokens
-from hintwise.operators.ranking import term_counts, token_document_frequency
+from hintwise.operators.ranking import token_document_frequency
 from hintwise.operators.scaling import compute_once, lookup_join, small_enough, written
 
 
@@ -136,7 +136,9 @@ def predict_text_labels(
 ) -> DataFrame:
     """One array of logits per head. Words that the model has not seen are left out. ``counts`` are
     the texts' ``term_counts``, if the caller has them already."""
-    counts = term_counts(texts, key, text) if counts is None else counts
+    if counts is None:  # sums need no counts: every word is looked up on its own, and the texts stay where they are dealt
+        counts = texts.select(key, text).repartition(key).select(
+            key, F.explode_outer(word_tokens(F.col(text))).alias("token"), F.lit(1).alias("n"))
     weighted = lookup_join(counts, model.words, "token", "left", small=model.small)
     width = sum(h.size for h in model.heads)
     sums = weighted.groupBy(key).agg(*[

@@ -107,14 +107,16 @@ def test_missing_vector_scores_zero(spark, data):
     assert {r.score for r in ranking.rank_all(q, c).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("pack", [1024, 32])
-def test_text_grid(spark, sf, monkeypatch, pack):
-    """Text ranking by blocks against token sums in plain Python, ties and zero scores included."""
+@pytest.mark.parametrize("pack,held", [(1024, 16), (32, 16), (32, 2)])
+def test_text_grid(spark, sf, monkeypatch, pack, held):
+    """Text ranking by blocks against token sums in plain Python, ties and zero scores included; a catalog
+    beyond one cell is packed by its terms."""
     import math
     import re
     from collections import Counter
 
     monkeypatch.setattr(blocks, "PACK_ROWS", pack)
+    monkeypatch.setattr(blocks, "HELD_BLOCKS", held)
     monkeypatch.setattr(blocks, "TERM_CHUNK", 64)
     questions = registry.benchmark_questions(spark, sf)
     docs = registry.document_catalog(spark, sf)
