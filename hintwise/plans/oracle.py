@@ -684,7 +684,7 @@ ORACLES["analyze_batch"] = with_([
     *text_ranking("questions", "log_catalog", S.HINTS_TOP_K), listed("text_hints"),
 ], """SELECT d.*, text AS query, tables, best FROM decoded d JOIN questions USING (query_id) JOIN listed USING (query_id)""")
 ORACLES["analyze"] = with_([
-    *MODEL, STRICT, TABLES, "questions AS (SELECT 0::BIGINT AS query_id, 'Find customers who placed orders above the average' AS text)",
+    *MODEL, STRICT, TABLES, "questions AS (SELECT 0::BIGINT AS query_id, 'Which suppliers deliver late and how many line items are returned' AS text)",
     LOG_CATALOG, *analyzed("questions"), *text_ranking("questions", "log_catalog", S.HINTS_TOP_K), listed("text_hints"),
 ], """SELECT d.*, text AS query, tables, best FROM decoded d JOIN questions USING (query_id) JOIN listed USING (query_id)""")
 ORACLES["route_queries"] = with_([

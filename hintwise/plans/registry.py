@@ -992,7 +992,7 @@ def analyze_batch(spark, sf):
     ))
 
 
-ONE_QUESTION = "Find customers who placed orders above the average"
+ONE_QUESTION = "Which suppliers deliver late and how many line items are returned"
 
 
 @query
