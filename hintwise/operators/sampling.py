@@ -3,14 +3,26 @@ another engine picks the same ones."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hintwise.functions.hashing import md5_number, seeded_md5
 from hintwise.operators.scaling import written
 from hintwise.schemas import SEED, SPLIT_SHARES
 
+# the functions below run in Python workers, which need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# most rows that each task looks for on its own
+FIRST_ROWS = 100_000
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
@@ -69,8 +81,33 @@ def split_report(df: DataFrame) -> DataFrame:
     return sizes.withColumn("share", F.col("rows") / F.sum("rows").over(W.partitionBy()))
 
 
+def _first_of_parts(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """Of every partition the first ``n`` rows in key order: the others cannot be among the first ``n`` of all. A task
+    holds a few times ``n`` rows."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def cut() -> pa.Table:
+            table = pa.Table.from_batches(held)
+            order = pc.sort_indices(table.select(keys), sort_keys=[(k, "ascending") for k in keys], null_placement="at_start")
+            return table.take(order[:n])
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > 4 * n:
+                held = cut().to_batches()
+                rows = sum(b.num_rows for b in held)
+        if held:
+            yield from cut().to_batches()
+
+    return df.mapInArrow(first, df.schema)
+
+
 def head_subset(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The first n rows in key order. Rows are dealt out by ranges of the keys, and only the range
-    in which the n-th row falls is cut."""
-    ranged = written(df.repartitionByRange(*keys).withColumn("_cell", F.spark_partition_id()), "key-ranges")
+    """The first n rows in key order. A task leaves out what cannot be among them; the rest is dealt out by
+    ranges of the keys, and only the range in which the n-th row falls is cut."""
+    sortable = all(isinstance(df.schema[k].dataType, T.IntegralType) or df.schema[k].dataType == T.StringType() for k in keys)
+    left = written(_first_of_parts(df, n, list(keys)), "first-of-parts") if sortable and n <= FIRST_ROWS else df
+    ranged = written(left.repartitionByRange(*keys).withColumn("_cell", F.spark_partition_id()), "key-ranges")
     return _first_of_cells(ranged, n, list(keys))
