@@ -20,8 +20,13 @@ IDENTIFIER = r"([a-zA-Z_][a-zA-Z0-9_]*)"
 PHRASES = [k for k in SQL_KEYWORDS if " " in k]
 
 
-def _has_any(keywords: Column, wanted: list[str]) -> Column:
-    return F.arrays_overlap(keywords, array_lit(wanted))
+def held_words(keywords: Column) -> Column:
+    """The keywords as one text, in which :func:`_holds` looks them up without taking the array apart."""
+    return F.concat(F.lit("|"), F.array_join(keywords, "|"), F.lit("|"))
+
+
+def _holds(held: Column, *wanted: str) -> Column:
+    return _contains_any(held, [f"|{w}|" for w in wanted])
 
 
 def _contains_any(text: Column, pieces: list[str]) -> Column:
@@ -55,22 +60,23 @@ def sql_keywords(sql: Column, upper: Column | None = None) -> Column:
     )
 
 
-def sql_complexity(sql: Column, keywords: Column, upper: Column | None = None) -> Column:
+def sql_complexity(sql: Column, keywords: Column, upper: Column | None = None, held: Column | None = None) -> Column:
     upper = F.upper(sql) if upper is None else upper
+    held = held_words(keywords) if held is None else held
     complex_signs = [
-        F.array_contains(keywords, "SUBQUERY"),
-        _has_any(keywords, SET_OPERATORS),
+        _holds(held, "SUBQUERY"),
+        _holds(held, *SET_OPERATORS),
         count_text(upper, "JOIN") >= 2,
         count_text(upper, "SELECT") > 1,
-        F.array_contains(keywords, "CASE"),
-        F.array_contains(keywords, "HAVING"),
+        _holds(held, "CASE"),
+        _holds(held, "HAVING"),
         _contains_any(upper, WINDOW_SIGNS),
     ]
     medium_signs = [
-        _has_any(keywords, JOINS),
-        F.array_contains(keywords, "GROUP BY"),
-        _has_any(keywords, AGGREGATES),
-        F.array_contains(keywords, "ORDER BY"),
+        _holds(held, *JOINS),
+        _holds(held, "GROUP BY"),
+        _holds(held, *AGGREGATES),
+        _holds(held, "ORDER BY"),
         F.size(keywords) > 5,
     ]
 
@@ -91,9 +97,9 @@ def sql_table_count(sql: Column, upper: Column | None = None) -> Column:
     return F.when(joins >= 2, "3+").when(joins == 1, "2").otherwise("1")
 
 
-def sql_category(sql: Column, upper: Column | None = None) -> Column:
+def sql_category(sql: Column, upper: Column | None = None, start: Column | None = None) -> Column:
     upper = F.upper(sql) if upper is None else upper
-    start = strip(upper)
+    start = strip(upper) if start is None else start
     return (
         F.when(_starts_with_any(start, DEFINING_WORDS), "Schema Definition")
         .when(_starts_with_any(start, RIGHTS_WORDS), "Security")
@@ -103,24 +109,29 @@ def sql_category(sql: Column, upper: Column | None = None) -> Column:
     )
 
 
-def sql_subcategories(sql: Column, keywords: Column, upper: Column | None = None) -> Column:
+def sql_subcategories(
+    sql: Column, keywords: Column, upper: Column | None = None, held: Column | None = None, start: Column | None = None,
+) -> Column:
     upper = F.upper(sql) if upper is None else upper
-    start = strip(upper)
-    tags = F.array_intersect(array_lit(SUBCATEGORIES), F.array(
-        F.when(start.startswith("SELECT"), "Read"),
-        F.when(_starts_with_any(start, ["INSERT", "UPDATE", "DELETE"]), "Write"),
-        F.when(_has_any(keywords, AGGREGATES), "Aggregation"),
-        F.when(F.array_contains(keywords, "WHERE"), "Filtering"),
-        F.when(F.array_contains(keywords, "ORDER BY"), "Sorting"),
-        F.when(_has_any(keywords, JOINS), "Joining"),
-        F.when(F.array_contains(keywords, "GROUP BY"), "Grouping"),
-        F.when(_has_any(keywords, ["LIMIT", "OFFSET", "DISTINCT"]), "Limiting"),
-        F.when(F.array_contains(keywords, "SUBQUERY"), "Subquery"),
-        F.when(_contains_any(upper, [*WINDOW_SIGNS, "PARTITION BY"]), "Windowing"),
-        F.when(_has_any(keywords, SET_OPERATORS), "Set Logic"),
-        F.when(_has_any(keywords, ["CREATE", "ALTER", "DROP"]), "Object DDL"),
-    ))
-    return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("Read")))
+    held = held_words(keywords) if held is None else held
+    start = strip(upper) if start is None else start
+    signs = {
+        "Read": start.startswith("SELECT"),
+        "Write": _starts_with_any(start, ["INSERT", "UPDATE", "DELETE"]),
+        "Aggregation": _holds(held, *AGGREGATES),
+        "Filtering": _holds(held, "WHERE"),
+        "Sorting": _holds(held, "ORDER BY"),
+        "Joining": _holds(held, *JOINS),
+        "Grouping": _holds(held, "GROUP BY"),
+        "Limiting": _holds(held, "LIMIT", "OFFSET", "DISTINCT"),
+        "Subquery": _holds(held, "SUBQUERY"),
+        "Windowing": _contains_any(upper, [*WINDOW_SIGNS, "PARTITION BY"]),
+        "Set Logic": _holds(held, *SET_OPERATORS),
+        "Object DDL": _holds(held, "CREATE", "ALTER", "DROP"),
+    }
+    # the tags in declared order as one text, which is split once
+    tags = F.concat_ws("|", *[F.when(signs[tag], F.lit(tag)) for tag in SUBCATEGORIES if tag in signs])
+    return F.split(F.coalesce(F.nullif(tags, F.lit("")), F.lit("Read")), r"\|")
 
 
 def referenced_tables(sql: Column) -> Column:

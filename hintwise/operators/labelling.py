@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hintwise.functions import sql_labels as L
+from hintwise.functions.text import strip
 from hintwise.operators.scaling import compute_once
 
 
@@ -15,16 +16,18 @@ def label_query_log(log: DataFrame, sql: str = "sql") -> DataFrame:
     One narrow pass, no shuffle: the upper-cased text and the keywords are computed once and
     feed the complexity and the tags.
     """
-    text, upper, keywords = F.col(sql), F.col("_upper"), F.col("keywords")
+    text, upper, keywords, held, start = F.col(sql), F.col("_upper"), F.col("keywords"), F.col("_held"), F.col("_start")
     staged = compute_once(
         log.withColumn("_upper", F.upper(text)), {"keywords": L.sql_keywords(text, upper)}
     )
-    return staged.withColumns({
-        "complexity": L.sql_complexity(text, keywords, upper),
-        "category": L.sql_category(text, upper),
-        "subcategories": L.sql_subcategories(text, keywords, upper),
+    staged = compute_once(staged, {"_held": L.held_words(keywords), "_start": strip(upper)})
+    labelled = compute_once(staged, {
+        "complexity": L.sql_complexity(text, keywords, upper, held),
+        "category": L.sql_category(text, upper, start),
+        "subcategories": L.sql_subcategories(text, keywords, upper, held, start),
         "table_count": L.sql_table_count(text, upper),
-    }).drop("_upper")
+    })
+    return labelled.drop("_upper", "_held", "_start")
 
 
 def with_referenced_tables(log: DataFrame, sql: str = "sql") -> DataFrame:

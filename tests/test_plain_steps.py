@@ -6,15 +6,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from hintwise.operators import pairs, sampling
+from hintwise.operators.labelling import label_query_log
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_parsing_is_free_of_lambdas(spark):
+def test_parsing_and_labels_are_free_of_lambdas(spark):
     raw = spark.createDataFrame([("1", "abcde", "t", "s")], "row_id string, question string, table string, sql string")
     assert "lambda" not in plan(pairs.usable_qa_rows(pairs.with_qa_columns(pairs.filter_questions(raw))))
+    labelled = plan(label_query_log(raw))
+    assert "lambda" not in labelled
+    # tags are put together once per row, and only handed on afterwards
+    assert labelled.count("Object DDL") == 1
 
 
 @pytest.mark.parametrize("text, expected", [
@@ -45,3 +50,12 @@ def test_first_rows_leave_their_tasks_alone(spark):
     expected = sorted(((r[0] is not None, r[0] or "", r[1]) for r in rows))[:900]
     assert sorted((r.k is not None, r.k or "", r.p) for r in found.collect()) == expected
     assert sampling._first_of_parts(df, 100, ["k", "p"]).count() == 600
+
+
+def test_classes_are_listed_once_per_text(spark):
+    from hintwise.operators import textmodel
+
+    df = spark.createDataFrame([("a b a", 1, "x"), (None, 0, "y"), ("b", None, "x")], "words string, y int, class string")
+    heads = [textmodel.Head("y", "y", 2)]
+    rows = {r.token: r.weights for r in textmodel.fit_text_labels(df, "words", heads).words.collect()}
+    assert set(rows) == {"a", "b"} and all(len(w) == 2 for w in rows.values())
