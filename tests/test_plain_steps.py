@@ -59,3 +59,15 @@ def test_classes_are_listed_once_per_text(spark):
     heads = [textmodel.Head("y", "y", 2)]
     rows = {r.token: r.weights for r in textmodel.fit_text_labels(df, "words", heads).words.collect()}
     assert set(rows) == {"a", "b"} and all(len(w) == 2 for w in rows.values())
+
+
+def test_names_of_pairs_are_read_once(spark, monkeypatch):
+    from hintwise.operators import textmodel
+
+    taken = []
+    monkeypatch.setattr(textmodel, "written", lambda df, name, real=textmodel.written: taken.append(name) or real(df, name))
+    df = spark.createDataFrame(
+        [(1, "red blue red", "Blue green"), (2, None, "red"), (3, "red", None), (4, "!", "!")], "k int, q string, n string")
+    found = {r.k: (r.shared, r.jaccard, r.idf_share) for r in textmodel.pair_features(df, "k", "q", "n").collect()}
+    assert taken[0] == "pair-names" and found[1][:2] == (1.0, 1 / 3) and 0.4 < found[1][2] < 0.6
+    assert found[4] == (0.0, 0.0, 0.0) and found[2][1:] == (0.0, 0.0) and found[3][1:] == (0.0, 0.0)
