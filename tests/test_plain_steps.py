@@ -71,3 +71,12 @@ def test_names_of_pairs_are_read_once(spark, monkeypatch):
     found = {r.k: (r.shared, r.jaccard, r.idf_share) for r in textmodel.pair_features(df, "k", "q", "n").collect()}
     assert taken[0] == "pair-names" and found[1][:2] == (1.0, 1 / 3) and 0.4 < found[1][2] < 0.6
     assert found[4] == (0.0, 0.0, 0.0) and found[2][1:] == (0.0, 0.0) and found[3][1:] == (0.0, 0.0)
+
+
+def test_encoders_get_short_batches(spark):
+    from hintwise.operators import ranking
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    ranking.embed_with(spark.createDataFrame([("a",)], "t string"), "t", lambda c: F.array(F.length(c)))
+    assert int(spark.conf.get(name)) <= 1000
