@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hintwise.llm.common import per_process, short_batches
+from hintwise.llm.common import hand_back, per_process, short_batches
 from hintwise.operators.scaling import written
 
 ORDER = 4
@@ -30,7 +30,7 @@ LEAST_DOCUMENTS = 200
 # a language that fewer texts calibrate has no limit
 LEAST_CALIBRATION = 8
 # characters that are scored at once, divided by the number of languages
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
 REJECT_QUANTILE = 0.999
 # added to the quantile, in nats per character; the second is divided by the root of the length
 SLACK, SHORT_SLACK = 0.5, 4.0
@@ -224,6 +224,7 @@ def count_runs(docs: DataFrame) -> DataFrame:
                 for a, b in _chunks(texts, CHUNK_CHARS // 4):
                     keys, n = np.unique(ngram_keys(*character_runs(texts[a:b]))[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": n})
+        hand_back()
 
     found = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(
         runs, "lang string, key bigint, n bigint")
@@ -316,6 +317,8 @@ def _scorer(spark: SparkSession, model: Model):
                 best[rows], sure[rows], entropy[rows] = at, 1 / odds, least
                 rejected[rows] = least > limits[at] + SLACK + SHORT_SLACK / np.sqrt(n)
             yield pd.DataFrame({"lang_pred": names[best], "score": sure, "cross_entropy": entropy, "rejected": rejected})
+        del m
+        hand_back()
 
     return score
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hintwise.llm.common import keyed, per_process, short_batches
+from hintwise.llm.common import hand_back, keyed, per_process, short_batches
 from hintwise.operators.scaling import written
 
 GENERATOR = 0b110001110101  # the Golay code's generator polynomial
@@ -65,6 +65,7 @@ def fingerprints(
         for texts in batches:
             values = np.fromiter((fingerprint(t, shingle_words) for t in texts), np.uint64, len(texts))
             yield pd.Series(values.view(np.int64))
+        hand_back()
 
     return docs.select("doc_id", *more, of("text").alias("fp"))
 
@@ -140,6 +141,7 @@ def golay_keys(fps: DataFrame, probe: bool) -> DataFrame:
                     yield pd.DataFrame({
                         "key": both[fresh].astype(np.int32), "fp": np.repeat(fp, fresh.sum(axis=1)),
                     })
+        hand_back()
 
     return fps.select("fp").mapInPandas(keys, "key int, fp bigint")
 
