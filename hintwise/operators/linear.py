@@ -2,7 +2,9 @@
 
 :func:`fit_text_labels_lr` fits all classes and tags of all heads at once. Every step of the optimizer is
 one job over the stored rows: a task sums the gradient of its rows into one matrix, matrices are added
-chunk by chunk, and the driver gets one matrix, whatever the number of rows, tasks or tags.
+chunk by chunk, and the driver gets one matrix, whatever the number of rows, tasks or tags. Beyond
+``DRIVER_WEIGHT_BYTES`` no process holds the matrix: words are dealt to chunks and rows to parts, a part gets the weights of its own
+words, and the optimizer's vectors stay with their chunks; the driver sees their dot products only.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hintwise.operators.ranking import term_counts
-from hintwise.operators.scaling import dense_positions, lookup_join, small_enough, written
+from hintwise.operators.scaling import deleted, dense_positions, lookup_join, shared_folder, small_enough, written
 from hintwise.operators.textmodel import PAIR_FEATURES, Head
 
 REGULARIZATION = 0.01
@@ -31,8 +34,14 @@ MEMORY = 12
 CHUNK_CELLS = 1 << 16
 # entries of rows that are multiplied at once
 BLOCK_ENTRIES = 1 << 16
-# largest matrix of weights that driver and tasks hold
-MOST_WEIGHT_BYTES = 1 << 29
+# largest matrix of weights that driver and tasks hold; the driver keeps about thirty of its size
+DRIVER_WEIGHT_BYTES = 1 << 22
+# largest matrix of weights at all: beyond the one above, it is dealt to tasks
+MOST_WEIGHT_BYTES = 1 << 36
+# of dealt weights: cells of a chunk, entries times classes of a part of the rows, remembered steps
+DEALT_CELLS = 1 << 13
+PART_CELLS = 1 << 24
+DEALT_MEMORY = 5
 
 
 @dataclass(frozen=True)
@@ -162,21 +171,243 @@ def summed_gradient(rows: DataFrame, weights: np.ndarray, heads: tuple[Head, ...
 
     schema = "chunk int, cells binary"
     parts = rows.mapInArrow(partial, schema).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(added, schema).collect()
-    held.unpersist()
+    held.destroy()
     if not parts:
         return 0.0, np.zeros(weights.shape)
     cells = np.concatenate([np.frombuffer(p.cells) for p in sorted(parts)])
     return float(cells[-1]), cells[:-1].reshape(weights.shape)
 
 
+def descent(products: np.ndarray) -> np.ndarray:
+    """The direction of limited-memory BFGS as factors of its vectors: the gradient, the steps from the oldest on, the
+    gradient changes alike. ``products`` are the dot products of any two of them."""
+    size = (len(products) - 1) // 2
+    way = np.zeros(len(products))
+    way[0] = 1.0
+    pairs = [(1 + i, 1 + size + i) for i in range(size) if products[1 + i, 1 + size + i] > 0]
+    factors = []
+    for s, y in reversed(pairs):
+        factors.append(products[s] @ way / products[s, y])
+        way[y] -= factors[-1]
+    if pairs:
+        s, y = pairs[-1]
+        way *= products[s, y] / products[y, y]
+    for (s, y), a in zip(pairs, reversed(factors)):
+        way[s] += a - products[y] @ way / products[s, y]
+    return way
+
+
+def _vectors_of(state: pa.RecordBatch | pa.Table, i: int) -> np.ndarray:
+    """The gradient, steps and gradient changes of a chunk, one below the other."""
+    held = [state.column(n)[i] for n in ("slope", "moves", "changes")]
+    return np.stack([np.frombuffer(b) for b in [held[0].as_py(), *held[1].as_py(), *held[2].as_py()]])
+
+
+def _moved(state: pa.RecordBatch | pa.Table, i: int, way: np.ndarray) -> np.ndarray:
+    """The weights of a chunk, moved by ``way``, factors of its vectors."""
+    at = np.frombuffer(state.column("at")[i].as_py())
+    return at - way @ _vectors_of(state, i) if way.any() else at
+
+
+def _parts_of(cells: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(chunk, terms, cells) by chunk."""
+    return sorted(((c, np.frombuffer(t, np.int32), np.frombuffer(x)) for c, t, x in zip(
+        *(cells.column(n).to_pylist() for n in ("chunk", "terms", "cells")))), key=lambda p: p[0])
+
+
+class DealtFit:
+    """The fit of weights that are too many for one process. ``state`` is a stored table with one row per chunk of words: its
+    weights, gradient, last steps and gradient changes, and its shares of the loss and of the dot products. Rows are dealt to parts, by
+    their rarest word where that is not frequent, so that few parts share a rare word; a part and a chunk exchange the cells
+    of the words that both have (``routes``). An evaluation is one job, and writes the next state."""
+
+    STATE = "chunk int, at binary, slope binary, moves array<binary>, changes array<binary>, products array<double>, loss double, square double, peak double"
+    CELLS = "part int, chunk int, terms binary, cells binary, loss double"
+
+    def __init__(self, rows: DataFrame, vocabulary: DataFrame, heads: tuple[Head, ...], size: int, n: int, regularization: float):
+        self.spark: SparkSession = rows.sparkSession
+        self.vocabulary, self.heads, self.size, self.regularization = vocabulary, heads, size, regularization
+        self.n = max(n, 1)
+        self.width = sum(h.size for h in heads)
+        self.per_chunk = max(1, DEALT_CELLS // self.width)
+        entries = rows.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).first().n
+        parts = max(self.spark.sparkContext.defaultParallelism, math.ceil(entries * self.width / PART_CELLS))
+        # a word in more than one of ``parts`` texts would fill a part of its own
+        rare = F.exp(1 - F.col("rare.idf")) * parts < 1
+        part = F.pmod(F.when(rare, F.xxhash64("rare.term")).otherwise(F.col("hash")), F.lit(parts)).cast("int")
+        self.rows = rows.select(part.alias("part"), "terms", "values", "classes").repartition(parts, "part").sortWithinPartitions(
+            "part").persist(StorageLevel.DISK_ONLY)
+        self.routes = written(self.rows.groupBy("part").applyInArrow(self._routed(), "part int, chunk int, terms binary"), "lr-routes")
+        self.folder = None
+        self.state = self._start()
+
+    def _routed(self):
+        size, per_chunk = self.size, self.per_chunk
+
+        def routed(rows: pa.Table) -> pa.Table:
+            # the bias is the word after the last, and every row's
+            terms = np.append(np.unique(np.asarray(rows.column("terms").combine_chunks().flatten())), size).astype(np.int32)
+            chunks, starts = np.unique(terms // per_chunk, return_index=True)
+            return pa.table({
+                "part": pa.array(np.full(len(chunks), rows.column("part")[0].as_py(), np.int32)), "chunk": pa.array(chunks.astype(np.int32)),
+                "terms": pa.array([t.tobytes() for t in np.split(terms, starts[1:])], pa.binary())})
+
+        return routed
+
+    def _start(self) -> DataFrame:
+        size, per_chunk, width = self.size, self.per_chunk, self.width
+
+        def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk in batch.column("id").to_pylist():
+                    zero = np.zeros((min(size + 1, (chunk + 1) * per_chunk) - chunk * per_chunk) * width).tobytes()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([chunk], pa.int32()), *[pa.array([zero], pa.binary())] * 2, *[pa.array([[]], pa.list_(pa.binary()))] * 2,
+                        pa.array([[]], pa.list_(pa.float64())), *[pa.array([0.0])] * 3],
+                        names=["chunk", "at", "slope", "moves", "changes", "products", "loss", "square", "peak"])
+
+        return self.spark.range(size // per_chunk + 1).mapInArrow(start, self.STATE)
+
+    def _stepped(self, way: np.ndarray, remember: bool) -> DataFrame:
+        """The state after a move by ``way``, factors of the vectors."""
+        heads, size, per_chunk, width, n, regularization = self.heads, self.size, self.per_chunk, self.width, self.n, self.regularization
+
+        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("chunk").slice(i, 1), pa.array([_moved(batch, i, way).tobytes()], pa.binary())], names=["chunk", "cells"])
+
+        def asked(weights: pa.Table, routes: pa.Table) -> pa.Table:
+            chunk = weights.column("chunk")[0].as_py()
+            own = np.frombuffer(weights.column("cells")[0].as_py()).reshape(-1, width)
+            cells = [own[np.frombuffer(t, np.int32) - chunk * per_chunk].tobytes() for t in routes.column("terms").to_pylist()]
+            return pa.table([routes.column("part"), routes.column("chunk"), routes.column("terms"), pa.array(cells, pa.binary()),
+                             pa.array(np.zeros(len(cells)))], names=["part", "chunk", "terms", "cells", "loss"])
+
+        def gradients(rows: pa.Table, cells: pa.Table) -> pa.Table:
+            own = _parts_of(cells)
+            terms = np.concatenate([t for _, t, _ in own])
+            weights = np.concatenate([x for _, _, x in own]).reshape(-1, width)
+            gradient, loss = np.zeros(weights.shape), 0.0
+            for batch in rows.to_batches():
+                listed = batch.column("terms")
+                batch = batch.set_column(batch.schema.get_field_index("terms"), "terms", pa.ListArray.from_arrays(
+                    listed.offsets, pa.array(np.searchsorted(terms, np.asarray(listed.values)))))
+                loss += batch_gradient(batch, weights, heads, gradient)
+            ends = np.cumsum([len(t) for _, t, _ in own])[:-1]
+            part = cells.column("part")[0].as_py()
+            return pa.table({
+                "part": pa.array(np.full(len(own), part, np.int32)), "chunk": pa.array([c for c, _, _ in own], pa.int32()),
+                "terms": pa.array([t.tobytes() for _, t, _ in own], pa.binary()),
+                "cells": pa.array([x.tobytes() for x in np.split(gradient, ends)], pa.binary()),
+                "loss": pa.array([loss] + [0.0] * (len(own) - 1))})
+
+        def stepped(state: pa.Table, cells: pa.Table) -> pa.Table:
+            chunk, vectors, at, there = state.column("chunk")[0].as_py(), _vectors_of(state, 0), _moved(state, 0, way * 0), _moved(state, 0, way)
+            total = np.zeros((len(at) // width, width))
+            for _, terms, part in _parts_of(cells):
+                total[terms - chunk * per_chunk] += part.reshape(-1, width)
+            slope = total.ravel() / n + regularization * there
+            past = (len(vectors) - 1) // 2
+            moves, changes = list(vectors[1:1 + past]), list(vectors[1 + past:])
+            if remember:
+                moves, changes = [*moves, there - at][-DEALT_MEMORY:], [*changes, slope - vectors[0]][-DEALT_MEMORY:]
+            kept = np.stack([slope, *moves, *changes])
+            return pa.table([
+                pa.array([chunk], pa.int32()), pa.array([there.tobytes()], pa.binary()), pa.array([slope.tobytes()], pa.binary()),
+                *[pa.array([[v.tobytes() for v in vs]], pa.list_(pa.binary())) for vs in (moves, changes)],
+                pa.array([(kept @ kept.T).ravel()], pa.list_(pa.float64())), pa.array([math.fsum(cells.column("loss").to_pylist())]),
+                pa.array([float(there @ there)]), pa.array([float(np.abs(slope).max())])],
+                names=["chunk", "at", "slope", "moves", "changes", "products", "loss", "square", "peak"])
+
+        weights = self.state.select("chunk", "at", "slope", "moves", "changes").mapInArrow(moved, "chunk int, cells binary")
+        local = weights.groupBy("chunk").cogroup(self.routes.groupBy("chunk")).applyInArrow(asked, self.CELLS)
+        back = self.rows.groupBy("part").cogroup(local.groupBy("part")).applyInArrow(gradients, self.CELLS)
+        return self.state.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(stepped, self.STATE)
+
+    def _evaluated(self, way: np.ndarray, remember: bool = True) -> tuple[DataFrame, str, float, float, np.ndarray]:
+        """The stored state after a move, its folder, the value there, the largest component of the gradient, and the dot products."""
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            products, loss, square, peak = 0.0, 0.0, 0.0, 0.0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    products = products + np.asarray(batch.column("products")[i].values)
+                loss, square = loss + math.fsum(batch.column("loss").to_pylist()), square + math.fsum(batch.column("square").to_pylist())
+                peak = max([peak, *batch.column("peak").to_pylist()])
+            if np.ndim(products):
+                yield pa.RecordBatch.from_arrays([pa.array([products], pa.list_(pa.float64())), *[pa.array([x]) for x in (loss, square, peak)]],
+                                                 names=["products", "loss", "square", "peak"])
+
+        folder = shared_folder(self.spark, "lr-state")
+        self._stepped(way, remember).write.parquet(folder)
+        state = self.spark.read.schema(self.STATE).parquet(folder)
+        parts = state.select("products", "loss", "square", "peak").mapInArrow(
+            summed, "products array<double>, loss double, square double, peak double").collect()
+        products = np.sum([p.products for p in parts], axis=0)
+        size = math.isqrt(len(products))
+        value = math.fsum(p.loss for p in parts) / self.n + self.regularization / 2 * math.fsum(p.square for p in parts)
+        return state, folder, value, max(p.peak for p in parts), products.reshape(size, size)
+
+    def _take(self, state: DataFrame, folder: str) -> None:
+        if self.folder:
+            deleted(self.spark, self.folder)
+        self.state, self.folder = state, folder
+
+    def minimize(self, tolerance: float, max_steps: int) -> tuple[int, bool]:
+        """As :func:`minimize`: (steps, whether the gradient fell below ``tolerance``)."""
+        state, folder, value, peak, products = self._evaluated(np.zeros(1), remember=False)
+        self._take(state, folder)
+        for step in range(max_steps):
+            if peak <= tolerance:
+                return step, True
+            way, length = descent(products), 1.0
+            fall = products[0] @ way
+            while True:
+                state, folder, new_value, peak, new_products = self._evaluated(length * way)
+                if new_value <= value - 1e-4 * length * fall + 1e-13 * abs(value) or length < 1e-9:
+                    break
+                deleted(self.spark, folder)
+                length /= 2
+            self._take(state, folder)
+            value, products = new_value, new_products
+            # what shuffles of earlier steps left on disk goes with the plans that made them
+            if step % 8 == 7:
+                self.spark.sparkContext._jvm.System.gc()
+        return max_steps, False
+
+    def words(self) -> DataFrame:
+        width, per_chunk = self.width, self.per_chunk
+
+        def named(words: pa.Table, state: pa.Table) -> pa.Table:
+            chunk = state.column("chunk")[0].as_py()
+            own = np.frombuffer(state.column("at")[0].as_py()).reshape(-1, width)[np.asarray(words.column("term")) - chunk * per_chunk]
+            offsets = np.arange(0, own.size + 1, width, dtype=np.int32)
+            return pa.table([words.column("token"), words.column("idf"), pa.ListArray.from_arrays(offsets, own.ravel())], names=["token", "idf", "weights"])
+
+        listed = self.vocabulary.select("token", "idf", "term", F.floor(F.col("term") / per_chunk).cast("int").alias("chunk"))
+        # the last chunk may hold nothing but the bias
+        own = self.state.select("chunk", "at").join(F.broadcast(listed.agg(F.max("chunk").alias("_last"))), F.col("chunk") <= F.col("_last")).drop("_last")
+        return written(listed.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(named, "token string, idf double, weights array<double>"), "lr-weights")
+
+    def bias(self) -> tuple[float, ...]:
+        last = self.state.where(F.col("chunk") == self.size // self.per_chunk).select("at").first().at
+        return tuple(np.frombuffer(last)[-self.width:].tolist())
+
+    def close(self) -> None:
+        self.rows.unpersist()
+        deleted(self.spark, self.folder)
+
+
 def _vectors(counts: DataFrame, key: str, words: DataFrame, small: bool) -> DataFrame:
-    """(key, terms, values): tf-idf of the known words, scaled to length one."""
+    """(key, rare, terms, values): tf-idf of the known words, scaled to length one, and the rarest of them with its idf."""
     weighted = lookup_join(counts, words, "token", "left", small=small)
     entry = F.when(F.col("term").isNotNull(), F.struct("term", (F.col("n") * F.col("idf")).alias("x")))
-    gathered = weighted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("v"))
+    rarest = F.max(F.when(F.col("term").isNotNull(), F.struct("idf", "term")))
+    gathered = weighted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("v"), rarest.alias("rare"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, e: t + e["x"] * e["x"]))
     return gathered.withColumn("l", length).select(
-        key, F.transform("v", lambda e: e["term"].cast("int")).alias("terms"),
+        key, "rare", F.transform("v", lambda e: e["term"].cast("int")).alias("terms"),
         F.transform("v", lambda e: e["x"] / F.col("l")).alias("values"))
 
 
@@ -190,8 +421,8 @@ def fit_text_labels_lr(
     the sum of all squared weights, bias included: softmax over the classes of a single-label head, one
     sigmoid per tag of a multi-label head. Every word of the training texts has its own weight, unless
     ``min_texts`` asks that it occur in more texts. ``key`` is unique per text; a null text has no words.
-    The weights are one matrix on the driver; where it would take more than ``MOST_WEIGHT_BYTES`` nothing is
-    fitted and a larger ``min_texts`` has to be chosen.
+    The weights are one matrix on the driver up to ``DRIVER_WEIGHT_BYTES``, and dealt to tasks beyond that; where they would take
+    more than ``MOST_WEIGHT_BYTES`` nothing is fitted and a larger ``min_texts`` has to be chosen.
     """
     counts = written(term_counts(train, key, text), "lr-terms")
     width, n = sum(h.size for h in heads), train.count()
@@ -200,15 +431,24 @@ def fit_text_labels_lr(
         df.select("token", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")), "token", "term"), "lr-vocabulary")
     size = vocabulary.count()
     if (size + 1) * width * 8 > MOST_WEIGHT_BYTES:
-        raise ValueError(f"{size} words and {width} classes do not fit one matrix of weights; raise min_texts")
+        raise ValueError(f"{size} words and {width} classes are too large a matrix of weights; raise min_texts")
     members, offset = [], 0
     for head in heads:
         members.append(head.members(offset))
         offset += head.size
     rows = written(_vectors(counts, key, vocabulary, small_enough(vocabulary)).join(
         train.select(key, F.array_compact(F.concat(*members)).cast("array<int>").alias("classes")), key
-    ).select("terms", "values", "classes"), "lr-rows")
+    ).select(F.xxhash64(key).alias("hash"), "rare", "terms", "values", "classes"), "lr-rows")
     kinds = tuple(heads)
+    if (size + 1) * width * 8 > DRIVER_WEIGHT_BYTES:
+        fit = DealtFit(rows, vocabulary, kinds, size, n, regularization)
+        steps, done = fit.minimize(tolerance, max_steps)
+        if not done:
+            warnings.warn(f"logistic regression stopped after {max_steps} steps, short of its tolerance", stacklevel=2)
+        words, bias = fit.words(), fit.bias()
+        fit.close()
+        return LinearTextModel(words, bias, kinds, steps, small_enough(words))
+    rows = rows.select("terms", "values", "classes")
 
     def evaluate(weights: np.ndarray) -> tuple[float, np.ndarray]:
         loss, gradient = summed_gradient(rows, weights, kinds)

@@ -131,3 +131,22 @@ def test_pair_relevance_equals_a_dense_fit(spark):
                                   "shared double, jaccard double, idf_share double, label double")
     by = linear.score_pair_relevance(linear.fit_pair_relevance(split), split).groupBy("shared").agg(F.max("score").alias("s")).collect()
     assert {r.shared: r.s > 0.9 for r in by} == {1.0: True, 0.0: False}
+
+
+@pytest.mark.parametrize("cells", [1 << 13, 20])
+def test_dealt_weights_equal_a_dense_fit(spark, monkeypatch, cells):
+    """Weights that are dealt to tasks, and never one matrix anywhere."""
+    def refused(*args):
+        raise AssertionError("the driver got the matrix")
+
+    monkeypatch.setattr(linear, "DRIVER_WEIGHT_BYTES", 0)
+    monkeypatch.setattr(linear, "DEALT_CELLS", cells)
+    monkeypatch.setattr(linear, "summed_gradient", refused)
+    rows = texts(40)
+    df = spark.createDataFrame(rows, "id bigint, text string, y int, tags array<int>").repartition(3)
+    model = linear.fit_text_labels_lr(df, "id", "text", HEADS, regularization=0.05)
+    vocabulary, want = dense_fit(rows, 0.05)
+    got = {r.token: r.weights for r in model.words.collect()}
+    assert sorted(got) == vocabulary
+    assert np.abs(np.array([got[w] for w in vocabulary]) - want[:-1]).max() < 1e-7
+    assert np.abs(np.array(model.bias) - want[-1]).max() < 1e-7
