@@ -277,3 +277,30 @@ def test_spread_keeps_rows(spark, sf):
     assert derived.spread(orders).count() == orders.count()
     assert derived.spread(spark.range(100, numPartitions=32)).rdd.getNumPartitions() == 32
     assert F is not None
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_only_scores_that_reach_the_best_are_compared(monkeypatch, sparse):
+    """Whole blocks are rounded and ordered once; of later ones, what reaches the k-th best score so far. Ties go by name."""
+    rng = np.random.default_rng(4)
+    if sparse:
+        _, held = sparse_blocks(rng, 400, 12, 6, 40)
+        _, (asked,) = sparse_blocks(rng, 30, 12, 6, 30)
+    else:
+        import pyarrow as pa
+
+        def dense(at, n):
+            v = rng.integers(-1, 2, (n, 4)) + 0.5
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            none = np.zeros(0)
+            return blocks._Block(at, pa.array([f"t{(7 * i) % 400:05d}" for i in range(at, at + n)]), np.arange(0, 4 * n + 1, 4), none, v.ravel(), none, none)
+
+        held, asked = [dense(at, 40) for at in range(0, 400, 40)], dense(0, 30)
+    scores = np.hstack([blocks.block_scores(asked, b, sparse) for b in held])
+    names = np.argsort(np.argsort([x for b in held for x in b.ids.to_pylist()]))
+    rounded, compared = [], blocks.compared
+    monkeypatch.setattr(blocks, "compared", lambda x: rounded.append(x.size) or compared(x))
+    best, entry, multiplied = blocks.cell_best(asked, held, 5, sparse, names, np.arange(0, 400, 40))
+    want = np.lexsort((np.broadcast_to(names, scores.shape), -scores))[:, :5]
+    assert (entry == want).all() and (best == np.take_along_axis(scores, want, axis=1)).all()
+    assert sum(rounded) < multiplied * 40 / 2
