@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,11 +16,14 @@ from hintwise.operators.hints import hint_names
 from hintwise.operators.ranking import (
     TextCatalog, fit_vocabulary, rank_by_text, scaled_scores, term_counts, tfidf_vectors,
 )
-from hintwise.operators.scaling import lookup_join, written
+from hintwise.operators.scaling import lookup_join, small_enough, written
 from hintwise.operators.textmodel import TextModel, predict_text_labels
 from hintwise.schemas import HINTS_TOP_K
 from hintwise.sources.readers import parse_catalog_list, split_requests, validate_requests
 
+# requests that a task ranks, about
+PART_REQUESTS = 1 << 16
+
 
 def analyze_batch(
     queries: DataFrame, model: TextModel, catalog: DataFrame | TextCatalog | None = None,
@@ -70,16 +75,21 @@ def rank_requests(requests: DataFrame, top_k: int = 10) -> DataFrame:
     total number of entries listed.
     """
     valid = validate_requests(requests).where("reason IS NULL").drop("reason")
+    # a task has about as many requests whatever their number
+    parts = max(int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(valid.count() / PART_REQUESTS))
     listed = parse_catalog_list(valid, "tables").select("query_id", "entry_pos", "table")
     entries = written(listed.select("table").distinct(), "request-entries").withColumn("doc", F.col("table"))
     vocabulary = fit_vocabulary(entries, "table", "doc")
     entry_vectors = tfidf_vectors(entries, "table", "doc", vocabulary).select(
         "table", F.col("terms").alias("e_terms"), l2_normalize(F.col("weights")).alias("e_weights")
     )
-    asked = tfidf_vectors(valid, "query_id", "query", vocabulary).select(
+    asked = tfidf_vectors(valid, "query_id", "query", vocabulary, parts=parts).select(
         "query_id", F.col("terms").alias("q_terms"), l2_normalize(F.col("weights")).alias("q_weights")
     )
-    met = lookup_join(listed, entry_vectors, "table").join(asked, "query_id")
+    # small vectors are looked up after the requests have been dealt, so that the names alone travel and are sorted
+    small = small_enough(entry_vectors)
+    met = (lookup_join(listed.join(asked, "query_id"), entry_vectors, "table", small=True) if small
+           else lookup_join(listed, entry_vectors, "table", small=False).join(asked, "query_id"))
     score = F.round(_sparse_dot(
         F.col("e_terms"), F.col("e_weights"), F.col("q_terms"), F.col("q_weights")
     ), SCORE_DIGITS)

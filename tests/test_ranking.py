@@ -304,3 +304,13 @@ def test_only_scores_that_reach_the_best_are_compared(monkeypatch, sparse):
     want = np.lexsort((np.broadcast_to(names, scores.shape), -scores))[:, :5]
     assert (entry == want).all() and (best == np.take_along_axis(scores, want, axis=1)).all()
     assert sum(rounded) < multiplied * 40 / 2
+
+
+def test_requests_are_dealt_by_their_number(spark, monkeypatch):
+    """No task gets more requests than a part holds, and entries' vectors join only after the requests are dealt."""
+    monkeypatch.setattr(serving, "PART_REQUESTS", 4)
+    requests = spark.createDataFrame([(i, f"orders of customer {i}", "orders, customer, logs") for i in range(90)], "query_id bigint, query string, tables string")
+    ranked = serving.rank_requests(requests, 2)
+    got = collected(ranked)
+    assert len(got) == 90 and all([t for t, _ in v] == ["customer", "orders"] for v in got.values())
+    assert "hashpartitioning(query_id#" in (plan := ranked._jdf.queryExecution().executedPlan().toString()) and ", 23)" in plan
