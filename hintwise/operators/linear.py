@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hintwise.operators.ranking import term_counts
+from hintwise.operators.ranking import term_counts, text_parts
 from hintwise.operators.scaling import deleted, dense_positions, lookup_join, shared_folder, small_enough, written
 from hintwise.operators.textmodel import PAIR_FEATURES, Head
 
@@ -424,7 +424,7 @@ def fit_text_labels_lr(
     The weights are one matrix on the driver up to ``DRIVER_WEIGHT_BYTES``, and dealt to tasks beyond that; where they would take
     more than ``MOST_WEIGHT_BYTES`` nothing is fitted and a larger ``min_texts`` has to be chosen.
     """
-    counts = written(term_counts(train, key, text), "lr-terms")
+    counts = written(term_counts(train, key, text, text_parts(train, text)), "lr-terms")
     width, n = sum(h.size for h in heads), train.count()
     df = counts.where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_texts)
     vocabulary = written(dense_positions(

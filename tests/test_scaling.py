@@ -84,3 +84,25 @@ def test_compute_once_keeps_filters_above(spark):
     assert once.count() == 9
     plan = once._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("upper(") == 1
+
+
+def test_large_lookups_have_more_tasks(spark, monkeypatch):
+    """A task of a lookup by shuffle joins about ``LOOKUP_ROWS`` rows, whatever the number of rows."""
+    monkeypatch.setattr(scaling, "LOOKUP_ROWS", 10)
+    big = spark.createDataFrame([(i, f"k{i}") for i in range(230)] + [(-1, None), (-2, "k3")], "i int, k string")
+    words = spark.createDataFrame([(f"k{i}", i) for i in range(0, 230, 2)], "k string, v int")
+    met = scaling.lookup_join(big, words, "k", "left", small=False)
+    got = {r.i: r.v for r in met.collect()}
+    assert got == {**{i: i if i % 2 == 0 else None for i in range(230)}, -1: None, -2: None}
+    assert "hashpartitioning(k#" in (plan := met._jdf.queryExecution().executedPlan().toString()) and ", 24)" in plan
+
+
+def test_words_of_large_texts_are_counted_in_more_tasks(spark, monkeypatch):
+    from hintwise.operators import ranking
+
+    docs = spark.createDataFrame([(f"t{i}", "one two two") for i in range(40)], "table string, doc string")
+    assert ranking.text_parts(docs, "doc") is None
+    monkeypatch.setattr(ranking, "PART_CHARS", 20)
+    assert ranking.text_parts(docs, "doc") == 22
+    counted = ranking.term_counts(docs, "table", "doc", 22)
+    assert counted.count() == 80 and "22), REPARTITION_BY_NUM" in counted._jdf.queryExecution().executedPlan().toString()
