@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hintwise.operators import blocks, hints, ranking
+from hintwise.operators import blocks, hints, ranking, scaling
 from hintwise.operators.blocks import grid_shape
 from hintwise.plans import registry, serving
 from hintwise.sources import derived
@@ -225,6 +225,36 @@ def test_whole_rankings(spark, data, monkeypatch, pack):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("held,names", [(1, blocks.RANKED_NAMES), (1 << 20, blocks.RANKED_NAMES), (1, 0)])
+def test_whole_rankings_by_groups_of_questions(spark, data, monkeypatch, held, names):
+    """One question or several blocks of them in a task; names that a task may not hold; ties, a name that is null, vectors with a null."""
+    monkeypatch.setattr(blocks, "PACK_ROWS", 4)
+    monkeypatch.setattr(blocks, "RANKED_SCORES", held)
+    monkeypatch.setattr(blocks, "RANKED_NAMES", names)
+    monkeypatch.setattr(blocks, "RANKED_BATCH", 7)
+    questions, catalog, q, c = data
+    same(collected(ranking.rank_all(q, c)), brute(questions, catalog, None))
+    odd = spark.createDataFrame([(None, catalog[4][1]), ("unknown", [None, 1.0]), ("nothing", None)], "table string, vec array<double>")
+    want = {i: [("unknown", None), *sorted([*v, (None, dict(v)["t004"]), ("nothing", 0.0)], key=lambda e: (-e[1], e[0] or ""))]
+            for i, v in brute(questions[:20], catalog, None).items()}
+    got = collected(ranking.rank_all(q.where("query_id < 20"), c.union(odd)).withColumn("score", F.nanvl("score", F.lit(None))))
+    assert {i: [t for t, _ in v] for i, v in got.items()} == {i: [t for t, _ in v] for i, v in want.items()}
+    assert {v[0][1] for v in got.values()} == {None}
+
+
+def test_whole_rankings_shuffle_and_write_no_pairs(data, monkeypatch):
+    monkeypatch.setattr(blocks, "PACK_ROWS", 16)
+    stored, kept = [], blocks.written
+    for module in (blocks, scaling):
+        monkeypatch.setattr(module, "written", lambda df, name: stored.append(kept(df, name)) or stored[-1])
+    _, catalog, q, c = data
+    ranked = ranking.rank_all(q, c)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("CartesianProduct")]
+    assert not any(step in above for step in ("Exchange", "Window", "Sort"))
+    assert stored and max(df.count() for df in stored) <= len(catalog)
+
+
 def test_scores_of_listed_pairs(spark, data):
     questions, catalog, q, c = data
     every = {(r.query_id, r.table): r.score for r in ranking.cosine_scores(q, c).collect()}
