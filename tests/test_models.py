@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hintwise.functions import vectors as V
-from hintwise.operators import decoding, evaluation, linear, textmodel
+from hintwise.operators import decoding, evaluation, linear, ranking, scaling, textmodel
 from hintwise.operators.textmodel import Head
 
 
@@ -41,6 +41,39 @@ def test_naive_bayes_by_hand(spark):
     assert out[9].m[1] == pytest.approx(math.log(1 / 4) + math.log(1 / 3) - math.log(3 / 9))
 
 
+def test_frequent_words_of_a_large_model_stay_where_the_texts_are(spark, monkeypatch):
+    """Only words that are rare or unknown meet the rest of the model; without the frequent ones, with all words looked up by
+    shuffle, and with a small model, the logits are the same."""
+    rows = [(1, "the good the fine " * 20, 1, [1, 0]), (2, "the bad the odd" * 9, 0, [0, 0]), (3, "bad rare", 0, [1, 0]), (4, None, 1, [0, 1])]
+    train = spark.createDataFrame(rows, "id bigint, text string, y int, tags array<int>")
+    heads = [Head("h", "y", 2), Head("m", "tags", 2, multi=True)]
+    asked = spark.createDataFrame([(1, "the the the good"), (2, "the unseen rare rare"), (2, "bad fine"), (3, "unseen"), (4, ""), (5, None),
+                                   (None, "the rare"), (None, "the")], "id bigint, text string")
+
+    def predicted(model, counts=None):
+        return {r.id: pytest.approx([*r.h, *r.m]) for r in textmodel.predict_text_labels(model, asked, "id", "text", counts).collect()}
+
+    def values(found):
+        return {i: v.expected for i, v in found.items()}
+
+    small = textmodel.fit_text_labels(train, "text", heads)
+    assert small.small
+    want = predicted(small)
+    monkeypatch.setattr(scaling, "BROADCAST_BYTES", scaling.measured_bytes(small.words.where("token = 'the'").select("token", "weights")) + 1)
+    large = textmodel.fit_text_labels(train, "text", heads)
+    stored, kept = {}, scaling.written
+    monkeypatch.setattr(scaling, "written", lambda df, name: stored.setdefault(name, kept(df, name)))
+    assert not large.small
+    assert values(predicted(large)) == want
+    assert {r.token for r in stored["lookup-side"].collect()} == {"unseen", "rare", "good", "bad", "fine"}
+    monkeypatch.setattr(scaling, "written", kept)
+    assert values(predicted(large, ranking.term_counts(asked, "id", "text"))) == want
+    monkeypatch.setattr(scaling, "BROADCAST_BYTES", 1)
+    none = textmodel.fit_text_labels(train, "text", heads)
+    assert not none.small and none.least is None
+    assert values(predicted(none)) == want
+
+
 def test_classes_without_training_texts_are_never_predicted(spark):
     train = spark.createDataFrame([(1, "good " * 50, 1), (2, "bad fine", 0)], "id bigint, text string, y int")
     model = textmodel.fit_text_labels(train, "text", [Head("h", "y", 4)])
