@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hintwise.functions.text import array_lit
 from hintwise.operators.ranking import term_counts, text_parts
-from hintwise.operators.scaling import deleted, dense_positions, lookup_join, shared_folder, small_enough, written
+from hintwise.operators.scaling import compute_once, deleted, dense_positions, lookup_join, shared_folder, small_enough, written
 from hintwise.operators.textmodel import PAIR_FEATURES, Head
 
 REGULARIZATION = 0.01
@@ -582,7 +582,8 @@ def _vectors(counts: DataFrame, key: str, words: DataFrame, small: bool) -> Data
     rarest = F.max(F.when(F.col("term").isNotNull(), F.struct("idf", "term")))
     gathered = weighted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("v"), rarest.alias("rare"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, e: t + e["x"] * e["x"]))
-    return gathered.withColumn("l", length).select(
+    # once per text, not again for each of its words
+    return compute_once(gathered, {"l": length}).select(
         key, "rare", F.transform("v", lambda e: e["term"].cast("int")).alias("terms"),
         F.transform("v", lambda e: e["x"] / F.col("l")).alias("values"))
 
