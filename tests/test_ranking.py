@@ -211,6 +211,34 @@ def test_at_most_k_rows_per_question_and_cell(spark, data, monkeypatch):
     assert per_question.where(F.col("count") > 2 * cells).isEmpty() and 4 <= cells < 16
 
 
+@pytest.mark.parametrize("held,group", [(2, 1 << 15), (4, 7), (16, 1)])
+@pytest.mark.parametrize("k", [2, 1000])
+def test_best_of_all_without_a_grid(spark, data, monkeypatch, held, group, k):
+    """Where a grid would copy too much: ties go by name across all blocks, and only questions are shuffled."""
+    monkeypatch.setattr(blocks, "PACK_ROWS", 8)
+    monkeypatch.setattr(blocks, "HELD_BLOCKS", held)
+    monkeypatch.setattr(blocks, "GROUP_ROWS", group)
+    monkeypatch.setattr(blocks, "GRID_VALUES", 0)
+    monkeypatch.setattr(blocks, "_score_cells", None)
+    questions, catalog, q, c = data
+    ranked = ranking.rank_top_k(q, c, k, -1.0)
+    same(collected(ranked), brute(questions, catalog, k))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_best_texts_without_a_grid(spark, sf, monkeypatch):
+    texts = [f"{a} {b} {c}" for a in ("red", "blue", "grey") for b in ("box", "can", "jar", "box") for c in ("big", "small", f"n{a}")]
+    catalog = spark.createDataFrame([(f"t{(7 * i) % 97}", t) for i, t in enumerate(texts)], '"table" string, doc string'.replace('"', ""))
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[::3], "unknown", "", None, "box box jar"])], "query_id bigint, text string")
+    monkeypatch.setattr(blocks, "PACK_ROWS", 4)
+    monkeypatch.setattr(blocks, "HELD_BLOCKS", 2)
+    want = ranking.rank_by_text(asked, catalog, 5).collect()
+    monkeypatch.setattr(blocks, "GRID_VALUES", 0)
+    monkeypatch.setattr(blocks, "_score_cells", None)
+    assert sorted(ranking.rank_by_text(asked, catalog, 5).collect()) == sorted(want) and len(want) == 5 * 16
+
+
 @pytest.mark.parametrize("pack", [1024, 16])
 def test_whole_rankings(spark, data, monkeypatch, pack):
     monkeypatch.setattr(blocks, "PACK_ROWS", pack)
