@@ -150,3 +150,16 @@ def test_dealt_weights_equal_a_dense_fit(spark, monkeypatch, cells):
     assert sorted(got) == vocabulary
     assert np.abs(np.array([got[w] for w in vocabulary]) - want[:-1]).max() < 1e-7
     assert np.abs(np.array(model.bias) - want[-1]).max() < 1e-7
+
+
+def test_dealt_weights_take_few_steps(spark, monkeypatch):
+    """The second derivatives by the most frequent words scale the steps."""
+    monkeypatch.setattr(linear, "DRIVER_WEIGHT_BYTES", 0)
+    monkeypatch.setattr(linear, "OFTEN_CELLS", 13 * 8 ** 2)
+    rows = texts(40)
+    df = spark.createDataFrame(rows, "id bigint, text string, y int, tags array<int>").repartition(3)
+    model = linear.fit_text_labels_lr(df, "id", "text", HEADS, regularization=0.05)
+    vocabulary, want = dense_fit(rows, 0.05)
+    got = {r.token: r.weights for r in model.words.collect()}
+    assert len(vocabulary) > 7 and model.steps <= 22
+    assert np.abs(np.array([got[w] for w in vocabulary]) - want[:-1]).max() < 1e-7
